@@ -7,10 +7,11 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The characters Python's str.strip() removes and str.splitlines() breaks at.
-SPACE = r"\t\n\x0B\f\r \x1C-\x1F\x85\xA0  -     　"
-LINE_BREAK = r"\n\r\x0B\f\x1C-\x1E\x85  "
+SPACE = r"\t\n\x0B\f\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+LINE_BREAK = r"\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}"
 
 # Native digits, each set in the order 0 to 9.
 DEVANAGARI_DIGITS = "०१२३४५६७८९"
@@ -78,9 +79,11 @@ def count_literal(value: Column, literal: str) -> Column:
     return (F.length(value) - F.length(F.replace(value, F.lit(literal), F.lit("")))) / F.lit(len(literal))
 
 
-@F.pandas_udf("string")
-def _unescape(values: pd.Series) -> pd.Series:
-    return values.map(html.unescape, na_action="ignore")
+def _entity_udf():
+    def unescape(values: pd.Series) -> pd.Series:
+        return values.map(html.unescape, na_action="ignore")
+
+    return F.pandas_udf(unescape, T.StringType())
 
 
 def strip_markup(value: Column) -> Column:
@@ -89,7 +92,7 @@ def strip_markup(value: Column) -> Column:
     Entities are resolved first, so an escaped tag disappears like a real one. Only texts that hold an
     ampersand are sent to Python; the rest stays in the JVM.
     """
-    plain = F.coalesce(_unescape(F.when(F.contains(value, F.lit("&")), value)), value)
+    plain = F.coalesce(_entity_udf()(F.when(F.contains(value, F.lit("&")), value)), value)
     spaced = F.regexp_replace(F.regexp_replace(plain, "<[^>]+>", " "), r"[ \t]+", " ")
     return strip(F.regexp_replace(spaced, rf"[{SPACE}]*[{LINE_BREAK}][{SPACE}]*", "\n"))
 
