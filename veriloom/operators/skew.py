@@ -44,12 +44,15 @@ def salted_join(
     how: str = "left",
     slice_rows: int = SLICE_ROWS,
     salts: int = SALTS,
+    sample: DataFrame | None = None,
 ) -> DataFrame:
     """Join many ``left`` rows to one ``right`` row per key, spreading hot keys over ``salts`` tasks.
 
-    Right rows of hot keys are copied ``salts`` times; all other keys take salt 0 on both sides.
+    Right rows of hot keys are copied ``salts`` times; all other keys take salt 0 on both sides. ``sample`` is
+    where hot keys are looked for, if ``left`` itself is costly to compute twice.
     """
-    hot = F.broadcast(candidate_keys(left, [key], row_id, slice_rows).withColumn("_hot", F.lit(True)))
+    sample = left if sample is None else sample
+    hot = F.broadcast(candidate_keys(sample, [key], row_id, slice_rows).withColumn("_hot", F.lit(True)))
     left_salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(F.col(row_id), F.lit("salt")), F.lit(salts))).otherwise(0)
     right_salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     salted_left = left.join(hot, key, "left").withColumn("_salt", left_salt.cast("int")).drop("_hot")
