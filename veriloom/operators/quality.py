@@ -2,30 +2,58 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veriloom import constants as K
 from veriloom.functions import text as X
-from veriloom.operators import readings
 
-FIRST_BAND = 16
-BAND_GROWTH = 4
-BANDS = 6
+SMALL_TABLE = 10_000
+
+
+def _distance_udf():
+    def one(a: str, b: str) -> int:
+        # Myers' bit-vector edit distance: one column of the table is two integers of len(long) bits.
+        long, short = (a, b) if len(a) >= len(b) else (b, a)
+        places: dict[str, int] = {}
+        for i, c in enumerate(long):
+            places[c] = places.get(c, 0) | (1 << i)
+        full, top = (1 << len(long)) - 1, 1 << (len(long) - 1)
+        up, down, distance = full, 0, len(long)
+        for c in short:
+            same = places.get(c, 0)
+            diagonal = (((same & up) + up) ^ up) | same
+            right_up = down | (full & ~(diagonal | up))
+            right_down = up & diagonal
+            if right_up & top:
+                distance += 1
+            elif right_down & top:
+                distance -= 1
+            right_up = (right_up << 1) | 1
+            vertical = same | down
+            up = ((right_down << 1) | ~(vertical | right_up)) & full
+            down = right_up & vertical & full
+        return distance
+
+    def distances(left: pd.Series, right: pd.Series) -> pd.Series:
+        found = [None if a is None or b is None else one(a, b) for a, b in zip(left, right)]
+        return pd.Series(found, dtype="Int64")
+
+    return F.pandas_udf(distances, T.LongType())
 
 
 def edit_distance(a: Column, b: Column) -> Column:
-    """Exact edit distance of two texts, found inside growing bands.
+    """Exact edit distance of two texts of any length.
 
-    A banded search costs length times band and gives -1 if the distance lies outside; only pairs that far apart
-    go on to the next band, and past the last band to the full table.
+    Equal texts and small ones stay in the JVM. Long pairs go to Python in Arrow batches, where the bit-vector
+    method takes 64 table cells per machine word; everything else sends nulls there.
     """
-    tries = [F.when(a == b, 0)]
-    for i in range(BANDS):
-        band = FIRST_BAND * BAND_GROWTH**i
-        within = F.levenshtein(a, b, band)
-        tries.append(F.when(within >= 0, within))
-    return F.coalesce(*tries, F.levenshtein(a, b))
+    small = F.length(a) * F.length(b) <= SMALL_TABLE
+    in_python = (a != b) & ~small
+    far = _distance_udf()(F.when(in_python, a), F.when(in_python, b))
+    return F.coalesce(far, F.when(a == b, 0).when(small, F.levenshtein(a, b)))
 
 
 def cer(hypothesis: Column, reference: Column) -> Column:

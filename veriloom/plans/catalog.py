@@ -389,12 +389,12 @@ def select_reading(spark, folder):
     "read_confidence_proxy",
     r"""WITH c AS (SELECT doc_id, length(text) AS n, length(text) - length(regexp_replace(text, '\p{L}+', '', 'g')) AS letters,
       length(text) - length(regexp_replace(text, '[A-Za-z]+', '', 'g')) AS latin FROM documents)
-    SELECT doc_id, round(least(0.98, 0.55 * CASE WHEN letters > 0 THEN latin / letters ELSE 0 END + 0.30 * ((doc_id % 4 + 1) / 4) + 0.15 * CASE WHEN n >= 40 THEN 1 ELSE greatest(0.5, n / 40) END), 3) AS confidence FROM c""",
+    SELECT doc_id, round_even(least(0.98, 0.55 * CASE WHEN letters > 0 THEN latin / letters ELSE 0 END + 0.30 * ((doc_id % 4 + 1) / 4) + 0.15 * CASE WHEN n >= 40 THEN 1 ELSE greatest(0.5, n / 40) END), 4) AS confidence FROM c""",
 )
 def read_confidence_proxy(spark, folder):
     documents = A.table(spark, folder, "documents")
     score = S.read_confidence(F.col("text"), F.lit("en-IN"), F.col("doc_id") % 4 + 1, F.lit(4))
-    return documents.select("doc_id", F.round(score, 3).alias("confidence"))
+    return documents.select("doc_id", score.alias("confidence"))
 
 
 def _native_union(spark: SparkSession, folder: str) -> DataFrame:
@@ -621,8 +621,8 @@ def json_repair(spark, folder):
     cut = wide.select("document_id", text.alias("t")).select(
         "document_id", F.expr("substring(t, 1, 1 + cast(pmod(xxhash64(document_id), length(t)) AS int))").alias("raw")
     )
-    got = cut.select("document_id", J.romanisations(F.col("raw")).alias("r"), J.parse_object(F.col("raw")).isNotNull().alias("parsed"))
-    return got.select("document_id", "parsed", *[F.col(f"r.{f}").alias(f) for f in K.ROMANISED_FIELDS])
+    got = J.with_romanisations(cut, "raw")
+    return got.select("document_id", F.col("answer").isNotNull().alias("parsed"), *K.ROMANISED_FIELDS)
 
 
 @query(
@@ -930,9 +930,8 @@ def sample_scores(spark, folder):
     documents = manifest.select(F.col("doc_id").alias("document_id"), "filename")
     # One copy of a record may repeat another copy's id; scoring is per distinct document.
     documents = documents.groupBy("document_id").agg(F.max("filename").alias("filename"))
-    processed = P.process_documents(samplegen.perfect_reads(manifest), documents)
-    results = rules.validate(P.values(processed), as_of=AS_OF)
-    return quality.rule_catches(manifest, results)
+    out = P.verify(documents, samplegen.perfect_reads(manifest), as_of=AS_OF)
+    return quality.rule_catches(manifest, out["results"])
 
 
 @query("process_documents")
