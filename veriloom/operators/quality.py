@@ -50,7 +50,7 @@ def edit_distance(a: Column, b: Column) -> Column:
     Equal texts and small ones stay in the JVM. Long pairs go to Python in Arrow batches, where the bit-vector
     method takes 64 table cells per machine word; everything else sends nulls there.
     """
-    small = F.length(a) * F.length(b) <= SMALL_TABLE
+    small = F.length(a).cast("bigint") * F.length(b) <= SMALL_TABLE
     in_python = (a != b) & ~small
     far = _distance_udf()(F.when(in_python, a), F.when(in_python, b))
     return F.coalesce(far, F.when(a == b, 0).when(small, F.levenshtein(a, b)))
@@ -74,7 +74,8 @@ def usable_reads(reads: DataFrame) -> DataFrame:
 def scored_reads(reads: DataFrame, manifest: DataFrame) -> DataFrame:
     """Error rate of each usable read of each clean document."""
     truth = clean_documents(manifest).select(F.col("doc_id").alias("document_id"), "script_type", "rendered_text")
-    joined = usable_reads(reads).join(truth, "document_id")
+    # Merged, not broadcast: the texts have no size bound, and comparing them should be spread over all tasks.
+    joined = usable_reads(reads).join(truth.hint("merge"), "document_id")
     return joined.select("document_id", "script_type", "engine", cer(F.col("text"), F.col("rendered_text")).alias("cer"))
 
 
