@@ -69,8 +69,8 @@ def mandatory_fields_present(fields: Fields) -> Column:
 
 
 def survey_number_format(fields: Fields) -> Column:
-    raw = fields["survey_number"]
-    value = X.strip(raw)
+    """Needs ``survey_text``, the stripped survey number."""
+    raw, value = fields["survey_number"], fields["survey_text"]
     return (
         F.when(X.is_blank(raw), outcome("fail", SURVEY_EMPTY))
         .when(value.rlike(SURVEY_FULL), outcome("pass", SURVEY_OK))
@@ -79,24 +79,40 @@ def survey_number_format(fields: Fields) -> Column:
     )
 
 
-def parse_date(raw: Column) -> Column:
-    """Date from Y-M-D, D-M-Y or D/M/Y text; null when the text is none of these or no such day exists."""
-    value = X.strip(raw)
-    parts = F.split(X.to_western(value), "[-/]")
-    piece = lambda i, width: F.lpad(F.trim(F.get(parts, F.lit(i))), width, "0")
-    iso = F.when(value.rlike(DATE_YMD), F.concat_ws("-", piece(0, 4), piece(1, 2), piece(2, 2))).when(
-        value.rlike(DATE_DMY), F.concat_ws("-", piece(2, 4), piece(1, 2), piece(0, 2))
-    )
-    return F.when(~iso.startswith("0000"), iso.try_cast("date"))
+def date_parts(value: Column) -> Column:
+    """Pieces of a stripped date text, native digits made Western."""
+    return F.split(X.to_western(value), "[-/]")
+
+
+def parse_date(value: Column, parts: Column) -> Column:
+    """Date from stripped Y-M-D, D-M-Y or D/M/Y text and its pieces; null for other text and days that do not exist."""
+    def iso(year: int, day: int) -> Column:
+        padded = [F.lpad(F.trim(F.get(parts, F.lit(i))), 2, "0") for i in (1, day)]
+        return F.concat(F.nullif(F.get(parts, F.lit(year)), F.lit("0000")), F.lit("-"), padded[0], F.lit("-"), padded[1])
+
+    return F.when(value.rlike(DATE_YMD), iso(0, 2)).when(value.rlike(DATE_DMY), iso(2, 0)).try_cast("date")
+
+
+# Values the default rules share, in layers; each is computed once per record however often a rule looks at it.
+STAGES: list[dict[str, Callable[[Fields], Column]]] = [
+    {
+        "survey_text": lambda f: X.strip(f["survey_number"]),
+        "date_text": lambda f: X.strip(f["registration_date"]),
+    },
+    {"date_parts": lambda f: date_parts(f["date_text"])},
+    {"date": lambda f: parse_date(f["date_text"], f["date_parts"])},
+]
 
 
 def date_plausibility(as_of: Column | str) -> Callable[[Fields], Column]:
-    """``as_of`` is the day the check is made for; never the clock, so a rerun gives the same results."""
+    """``as_of`` is the day the check is made for; never the clock, so a rerun gives the same results.
+
+    Needs ``date``, the parsed registration date.
+    """
     today = as_of if isinstance(as_of, Column) else F.lit(str(as_of)).cast("date")
 
     def check(fields: Fields) -> Column:
-        raw = fields["registration_date"]
-        day = parse_date(raw)
+        raw, day = fields["registration_date"], fields["date"]
         return (
             F.when(X.is_blank(raw), outcome("fail", DATE_MISSING))
             .when(day.isNull(), outcome("fail", F.concat(F.lit("'"), raw, F.lit(DATE_BAD))))
@@ -188,7 +204,10 @@ def cross_document_consistency(
 
 @dataclass(frozen=True)
 class RowRule:
-    """A rule decided by one record: ``check`` maps field columns to ``struct(result, message)``."""
+    """A rule decided by one record: ``check`` maps field columns to ``struct(result, message)``.
+
+    ``check`` sees the six fields and the shared values of ``STAGES``.
+    """
 
     name: str
     check: Callable[[Fields], Column]
@@ -234,13 +253,16 @@ def validate(
     rules = default_rules(as_of) if rules is None else rules
     if isinstance(config, dict):
         rules = [r for r in rules if config.get(r.name, True)]
-    fields = {f: F.col(f) for f in K.FIELDS if f in records.columns}
     parts = []
     row_rules = [r for r in rules if isinstance(r, RowRule)]
     if row_rules:
+        staged, fields = records, {f: F.col(f) for f in K.FIELDS if f in records.columns}
+        for layer in STAGES:
+            staged = staged.withColumns({f"_{name}": body(fields) for name, body in layer.items()})
+            fields |= {name: F.col(f"_{name}") for name in layer}
         checks = [F.struct(F.lit(r.name).alias("rule_name"), r.check(fields).alias("o")) for r in row_rules]
         parts.append(
-            records.select("document_id", F.explode(F.array(*checks)).alias("r")).select(
+            staged.select("document_id", F.explode(F.array(*checks)).alias("r")).select(
                 "document_id", "r.rule_name", "r.o.result", "r.o.message"
             )
         )
