@@ -1,0 +1,111 @@
+import random
+import re
+import unicodedata
+
+from veriloom import constants as K
+from veriloom.functions import extract as E
+
+SEPS = " :：،-|\t"
+
+
+def _fold(s):
+    return s.replace("ि", "ी")
+
+
+def _debris(s):
+    real = lambda c: unicodedata.category(c)[0] in "LN" and c != "ऽ"
+    return len(s) <= 3 and not any(real(c) for c in s)
+
+
+def brute_label_value(text, words):
+    """Line by line, word by word: what the single regular expression must agree with."""
+    rows = text.splitlines()
+    for n, row in enumerate(rows):
+        for word in words:
+            _, hit, tail = _fold(row.lower()).partition(_fold(word))
+            if not hit:
+                continue
+            tail = row[len(row) - len(tail):]
+            ending = re.match("[ऀ-॥॰-ॿ]{0,2}", tail).end()
+            value = tail[ending:].strip(SEPS).strip()
+            if value and value[0] != "_" and not _debris(value):
+                return value[:120].strip(SEPS)
+            for below in rows[n + 1:n + 3]:
+                value = below.strip(SEPS)
+                if value and not _debris(value) and all(w not in value.lower() for w in words):
+                    return value[:120].strip(SEPS)
+    return None
+
+
+def test_label_search_agrees_with_brute_force(column_values):
+    draw = random.Random(7)
+    pieces = [
+        *K.LABEL_WORDS["village"], *K.LABEL_WORDS["mutawalli_name"], "Village", "MUTAWALLI", "मुतवल्लि-नाम", "ः", "म्", "x" * 130,
+        "भिवंडी", "शेख", "ab", "१२", "ऽ", "_", "____", "1", ":", " : ", " - ", "|", "\t", " ", "\n", "\n", "\n\n", "\r\n", " ",
+    ]
+    texts = ["".join(draw.choices(pieces, k=draw.randint(1, 14))) for _ in range(1500)]
+    for field in ("village", "mutawalli_name"):
+        got = column_values(lambda c: E.label_value(_unified(c), field, c.isNotNull()), texts)
+        want = [brute_label_value(t, K.LABEL_WORDS[field]) or None for t in texts]
+        wrong = [(t, g, w) for t, g, w in zip(texts, got, want) if g != w]
+        assert not wrong, wrong[:3]
+
+
+def _unified(c):
+    from veriloom.functions import text as X
+
+    return X.unify_lines(c)
+
+
+def read(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "document_id int, text string")
+    out = {}
+    for r in E.extract_fields(df).collect():
+        out.setdefault(r.document_id, {})[r.field_name] = (r.field_value, r.confidence)
+    return [out[i] for i in range(len(texts))]
+
+
+def test_reads_a_form(spark):
+    marathi = "\n".join([
+        "वक्फ नोंदणी - मालमत्ता तपशील", "मालमत्ता: WQ/MH/2001/00123", "मुतवल्ली का नाम: शेख अब्दुल रहीम", "सर्वे क्रमांक: ४१२/२-A",
+        "नोंदणी तारीख: 14-03-1998", "क्षेत्रफळ: 1.24 गुंठे", "गाव: मौजे शहापूर",
+    ])
+    assert read(spark, [marathi])[0] == {
+        "property_id": ("WQ/MH/2001/00123", 0.97), "mutawalli_name": ("शेख अब्दुल रहीम", 0.6), "survey_number": ("412/2-A", 0.9),
+        "registration_date": ("1998-03-14", 0.87), "extent": ("1.24 गुंठे", 0.93), "village": ("मौजे शहापूर", 0.6),
+    }
+
+
+def test_empty_and_null_texts_still_give_six_rows(spark):
+    for fields in read(spark, ["", None, "12345"]):
+        assert set(fields) == set(K.FIELDS)
+        assert all(v == (None, 0.15) for v in fields.values())
+
+
+def test_corner_cases(spark):
+    texts = [
+        "क्षेत्रफलम्१.२४हेक्टर१२गुंठे",  # the case ending must not swallow the value
+        "stamp 9/9\nSurvey no\n\n412/2",  # the number beside the label wins over one elsewhere
+        "stamp 9/9",  # found, but nothing corroborates it
+        "Registration Date 1999-13-45",  # padded, not range-checked
+        "Property ID: ____",
+        "extent 2 sq. ft",
+        "x412/2",  # no word edge before the digits
+        "date 2001-1-2 and 3/4/1999",
+    ]
+    got = read(spark, texts)
+    assert got[0]["extent"] == ("१.२४हेक्टर१२गुंठे", 0.5)
+    assert got[1]["survey_number"] == ("412/2", 0.9)
+    assert got[2]["survey_number"] == ("9/9", 0.75)
+    assert got[3]["registration_date"] == ("1999-13-45", 0.87)
+    assert got[4]["property_id"] == (None, 0.15)
+    assert got[5]["extent"] == ("2 sq. ft", 0.93)
+    assert got[6]["survey_number"] == (None, 0.15)
+    assert got[7]["registration_date"] == ("2001-01-02", 0.72)
+
+
+def test_long_and_wide_forms_are_inverse(spark):
+    df = spark.createDataFrame([(1, "village: Bhiwandi"), (2, "")], "document_id int, text string")
+    long = E.extract_fields(df)
+    again = E.to_long(E.to_readings(long))
+    assert sorted(map(str, long.collect())) == sorted(map(str, again.collect()))

@@ -71,7 +71,8 @@ def fold_matra(value: Column) -> Column:
 
 def identity_key(value: Column) -> Column:
     """Form in which two identifiers count as equal: no outer blanks, no case."""
-    return F.lower(F.upper(strip(value)))
+    # Upper first folds letters such as ß; the empty text keeps the optimizer from dropping that step.
+    return F.lower(F.concat(F.upper(strip(value)), F.lit("")))
 
 
 def count_chars(value: Column, char_class: str) -> Column:

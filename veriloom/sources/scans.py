@@ -18,6 +18,7 @@ def read_scans(spark: SparkSession, path: str, with_content: bool = False) -> Da
     """Files under ``path`` with size, guessed mime type and reason for refusal.
 
     Content is left out unless asked for; it should be read again by path where it is needed and never shuffled.
+    Spark's file sources pass over empty files, so an empty upload is refused where its size is known: in ``ingest``.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
