@@ -183,8 +183,9 @@ def cross_document_consistency(
     columns = ["document_id", "filename", "property_id"]
     members = records.select(*columns)
     if registry is not None:
-        shared = registry.select(*columns).join(
-            members.filter(~X.is_blank(F.col("property_id"))).select("property_id").distinct(), "property_id", "left_semi"
+        asked = members.filter(~X.is_blank(F.col("property_id"))).select("property_id").distinct()
+        shared = skew.salted_join(
+            registry.select(*columns), asked, "property_id", "document_id", "left_semi", slice_rows
         )
         older = shared.join(members.select("document_id"), "document_id", "left_anti")
         members = members.withColumn("_mine", F.lit(True)).unionByName(older.withColumn("_mine", F.lit(False)))
