@@ -137,33 +137,29 @@ def duplicate_groups(
 
     ``others`` is null for groups above ``list_limit`` members, where one list per member would grow with the
     square of the group; ``duplicate_members`` gives those groups whole, one row per member. Members of hot keys
-    get their count from a broadcast of exact counts and are never brought together.
+    take their count from a broadcast of exact counts and are spread over many tasks instead of meeting in one.
     """
-    rows = members.select(id_col, key, label, *(["_mine"] if "_mine" in members.columns else [])).filter(
-        ~X.is_blank(F.col(key))
-    )
+    carried = [id_col, key, label, *(["_mine"] if "_mine" in members.columns else [])]
+    rows = members.select(*carried).filter(~X.is_blank(F.col(key)))
     hot = F.broadcast(skew.hot_counts(rows, [key], id_col, max(list_limit, slice_rows // 4), slice_rows))
-    tagged = rows.join(hot, key, "left")
-    carried = [c for c in rows.columns]
-    large = tagged.filter("_hot_rows IS NOT NULL").select(
-        *carried, (F.col("_hot_rows") - 1).alias("n_others"), F.lit(None).cast("array<string>").alias("others")
-    )
-    group = Window.partitionBy(key)
+    pieces = F.ceil(F.col("_hot_rows") / F.lit(max(1, slice_rows // 4)))
+    piece = F.when(F.col("_hot_rows").isNotNull(), F.pmod(F.xxhash64(id_col, F.lit("piece")), pieces)).otherwise(0)
+    group = Window.partitionBy(key, "_piece")
     entry = F.struct(F.col(label).alias("label"), F.col(id_col).alias("id"))
-    small = (
-        tagged.filter("_hot_rows IS NULL")
-        .withColumn("_n", F.count(F.lit(1)).over(group))
-        .withColumn("_all", F.collect_list(F.when(F.col("_n").between(2, list_limit), entry)).over(group))
-    )
     own = F.col(id_col)
     names = F.transform(F.array_sort(F.filter("_all", lambda e: e["id"] != own)), lambda e: e["label"])
-    small = small.select(
-        *carried,
-        (F.col("_n") - 1).alias("n_others"),
-        F.when(F.col("_n") <= list_limit, F.when(F.col("_n") > 1, names).otherwise(F.array().cast("array<string>")))
-        .alias("others"),
+    return (
+        rows.join(hot, key, "left")
+        .withColumn("_piece", piece)
+        .withColumn("_n", F.coalesce("_hot_rows", F.count(F.lit(1)).over(group)))
+        .withColumn("_all", F.collect_list(F.when(F.col("_n").between(2, list_limit), entry)).over(group))
+        .select(
+            *carried,
+            (F.col("_n") - 1).alias("n_others"),
+            F.when(F.col("_n") <= list_limit, F.when(F.col("_n") > 1, names).otherwise(F.array().cast("array<string>")))
+            .alias("others"),
+        )
     )
-    return small.unionByName(large)
 
 
 def duplicate_members(members: DataFrame, key: str = "property_id", **kwargs) -> DataFrame:
