@@ -178,3 +178,22 @@ def test_cold_start_reports(spark):
     assert tuple(reports.throughput(slow, docs).first())[::3] == (14, 9000)
     assert {r.band: r["count"] for r in reports.confidence_bands(docs.filter("false")).collect()} == {"high": 0, "medium": 0, "low": 0}
     assert reports.dashboard(docs, none, "2024-01-01").first().approved_today == 0
+
+
+def test_whole_queue_is_numbered_in_slices(spark):
+    docs = documents(spark, 70).withColumn("status", F.lit("extracted"))
+    got = R.queue_neighbours(docs, slice_rows=3).orderBy("position").collect()
+    ids = [f"d{i:02d}" for i in range(70)]
+    assert [(r.position, r.document_id) for r in got] == [(i + 1, d) for i, d in enumerate(ids)]
+    assert [r.previous_id for r in got] == [None, *ids[:-1]] and [r.next_id for r in got] == [*ids[1:], None]
+    after = {r.document_id: r.advance_to for r in R.next_after_action(docs, "uploaded_by", slice_rows=3).collect()}
+    assert after["d00"] == "d01" and after["d69"] == "d00"
+    assert R.next_after_action(docs.limit(1), "uploaded_by").first().advance_to is None
+
+
+def test_shipped_defaults(spark):
+    configs = tables.default_rule_configs(spark)
+    changed = configs.filter("key = 'date_plausibility'").withColumn("enabled", F.lit(False))
+    merged = {r.key: r.enabled for r in G.insert_absent(changed, configs, "key").collect()}
+    assert merged == {r: r != "date_plausibility" for r in K.RULE_ORDER}
+    assert tables.default_error_rates(spark).count() == 8

@@ -20,21 +20,19 @@ def _distance_udf():
         places: dict[str, int] = {}
         for i, c in enumerate(long):
             places[c] = places.get(c, 0) | (1 << i)
-        full, top = (1 << len(long)) - 1, 1 << (len(long) - 1)
-        up, down, distance = full, 0, len(long)
+        width = len(long)
+        full, last = (1 << width) - 1, width - 1
+        up, down, distance = full, 0, width
         for c in short:
             same = places.get(c, 0)
+            vertical = same | down
             diagonal = (((same & up) + up) ^ up) | same
-            right_up = down | (full & ~(diagonal | up))
+            right_up = down | ((diagonal | up) ^ full)
             right_down = up & diagonal
-            if right_up & top:
-                distance += 1
-            elif right_down & top:
-                distance -= 1
+            distance += (right_up >> last & 1) - (right_down >> last & 1)
             right_up = (right_up << 1) | 1
-            vertical = same | down
-            up = ((right_down << 1) | ~(vertical | right_up)) & full
-            down = right_up & vertical & full
+            up = ((right_down << 1) | ((vertical | right_up) ^ full)) & full
+            down = right_up & vertical
         return distance
 
     def distances(left: pd.Series, right: pd.Series) -> pd.Series:

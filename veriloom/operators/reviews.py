@@ -115,14 +115,22 @@ def corrections_report(reviews: DataFrame, documents: DataFrame, id_col: str = "
 
 
 def queue_neighbours(
-    documents: DataFrame, partition: list[str], slice_rows: int = skew.SLICE_ROWS
+    documents: DataFrame, partition: list[str] | None = None, slice_rows: int = skew.SLICE_ROWS
 ) -> DataFrame:
-    """Position in the review queue with previous and next document, inside each partition (an uploader, a day)."""
+    """Position in the review queue with previous and next document.
+
+    Inside each partition (an uploader, a day), or in the whole queue, which is then cut into slices like any other
+    large group.
+    """
     waiting = documents.filter(F.col("status").isin(K.QUEUE_STATUSES))
-    return skew.ranked(
-        waiting, partition, ["uploaded_at", "document_id"], "document_id", rank="position",
+    keys = partition or ["_queue"]
+    if not partition:
+        waiting = waiting.withColumn("_queue", F.lit(0))
+    out = skew.ranked(
+        waiting, keys, ["uploaded_at", "document_id"], "document_id", rank="position",
         lag={"previous_id": "document_id"}, lead={"next_id": "document_id"}, slice_rows=slice_rows,
     )
+    return out if partition else out.drop("_queue")
 
 
 def next_after_action(documents: DataFrame, partition: str, slice_rows: int = skew.SLICE_ROWS) -> DataFrame:

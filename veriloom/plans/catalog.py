@@ -358,6 +358,17 @@ def queue_neighbours(spark, folder):
     return found.select("document_id", "uploaded_by", "position", "previous_id", "next_id")
 
 
+@query(
+    "queue_positions",
+    A.with_views("reg_documents")
+    + """SELECT document_id, row_number() OVER w AS position, lag(document_id) OVER w AS previous_id, lead(document_id) OVER w AS next_id
+    FROM reg_documents WHERE status IN ('extracted', 'validated') WINDOW w AS (ORDER BY uploaded_at, document_id)""",
+)
+def queue_positions(spark, folder):
+    found = reviews.queue_neighbours(A.view(spark, folder, "reg_documents"))
+    return found.select("document_id", "position", "previous_id", "next_id")
+
+
 @query(
     "next_after_action",
     A.with_views("reg_documents")
