@@ -36,6 +36,11 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _text(name: str) -> Column:
+    """A number that may be null, shown as text: data frame libraries disagree on null integers."""
+    return F.col(name).cast("string").alias(name)
+
+
 # ---- rules -------------------------------------------------------------------------------------------------
 
 _ID_LABELS = "[CASE WHEN coalesce(property_id, '') = '' THEN 'Property ID' END, CASE WHEN coalesce(mutawalli_name, '') = '' THEN 'Mutawalli name' END, CASE WHEN coalesce(survey_number, '') = '' THEN 'Survey number' END]"
@@ -329,12 +334,12 @@ def dashboard_stats(spark, folder):
     return out.withColumn("avg_confidence", F.round("avg_confidence", 9))
 
 
-@query("corrections_history", A.with_views("reg_documents", "reg_reviews") + "SELECT review_id, document_id, filename, reviewer_id, action, notes, reviewed_at, duration_seconds FROM reg_reviews JOIN reg_documents USING (document_id)")
+@query("corrections_history", A.with_views("reg_documents", "reg_reviews") + "SELECT review_id, document_id, filename, reviewer_id, action, notes, reviewed_at, cast(duration_seconds AS string) AS duration_seconds FROM reg_reviews JOIN reg_documents USING (document_id)")
 def corrections_history(spark, folder):
     joined = reviews.corrections_report(
         A.view(spark, folder, "reg_reviews"), A.view(spark, folder, "reg_documents"), "review_id"
     )
-    return joined.select("review_id", "document_id", "filename", "reviewer_id", "action", "notes", "reviewed_at", "duration_seconds")
+    return joined.select("review_id", "document_id", "filename", "reviewer_id", "action", "notes", "reviewed_at", _text("duration_seconds"))
 
 
 @query("latest_flag_reason", A.with_views("reg_reviews") + "SELECT document_id, notes AS reason, reviewer_id, reviewed_at FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY reviewed_at DESC, review_id DESC) AS rn FROM reg_reviews WHERE action = 'flag') WHERE rn = 1")
@@ -350,33 +355,34 @@ def review_history(spark, folder):
 @query(
     "queue_neighbours",
     A.with_views("reg_documents")
-    + """SELECT document_id, uploaded_by, row_number() OVER w AS position, lag(document_id) OVER w AS previous_id, lead(document_id) OVER w AS next_id
+    + """SELECT document_id, uploaded_by, row_number() OVER w AS position, cast(lag(document_id) OVER w AS string) AS previous_id, cast(lead(document_id) OVER w AS string) AS next_id
     FROM reg_documents WHERE status IN ('extracted', 'validated') WINDOW w AS (PARTITION BY uploaded_by ORDER BY uploaded_at, document_id)""",
 )
 def queue_neighbours(spark, folder):
     found = reviews.queue_neighbours(A.view(spark, folder, "reg_documents"), ["uploaded_by"])
-    return found.select("document_id", "uploaded_by", "position", "previous_id", "next_id")
+    return found.select("document_id", "uploaded_by", "position", _text("previous_id"), _text("next_id"))
 
 
 @query(
     "queue_positions",
     A.with_views("reg_documents")
-    + """SELECT document_id, row_number() OVER w AS position, lag(document_id) OVER w AS previous_id, lead(document_id) OVER w AS next_id
+    + """SELECT document_id, row_number() OVER w AS position, cast(lag(document_id) OVER w AS string) AS previous_id, cast(lead(document_id) OVER w AS string) AS next_id
     FROM reg_documents WHERE status IN ('extracted', 'validated') WINDOW w AS (ORDER BY uploaded_at, document_id)""",
 )
 def queue_positions(spark, folder):
     found = reviews.queue_neighbours(A.view(spark, folder, "reg_documents"))
-    return found.select("document_id", "position", "previous_id", "next_id")
+    return found.select("document_id", "position", _text("previous_id"), _text("next_id"))
 
 
 @query(
     "next_after_action",
     A.with_views("reg_documents")
-    + """SELECT document_id, coalesce(lead(document_id) OVER w, CASE WHEN first_value(document_id) OVER w <> document_id THEN first_value(document_id) OVER w END) AS advance_to
+    + """SELECT document_id, cast(coalesce(lead(document_id) OVER w, CASE WHEN first_value(document_id) OVER w <> document_id THEN first_value(document_id) OVER w END) AS string) AS advance_to
     FROM reg_documents WHERE status IN ('extracted', 'validated') WINDOW w AS (PARTITION BY uploaded_by ORDER BY uploaded_at, document_id)""",
 )
 def next_after_action(spark, folder):
-    return reviews.next_after_action(A.view(spark, folder, "reg_documents"), "uploaded_by")
+    found = reviews.next_after_action(A.view(spark, folder, "reg_documents"), "uploaded_by")
+    return found.select("document_id", _text("advance_to"))
 
 
 # ---- readings and text -------------------------------------------------------------------------------------
@@ -657,7 +663,7 @@ def page_text(spark, folder):
 
 @query(
     "response_payload",
-    """SELECT doc_id, md5(text) AS text_hash, doc_id % 3 = 1 AS truncated, CASE WHEN doc_id % 4 < 3 THEN cast(3 AS bigint) ELSE NULL END AS width FROM documents""",
+    """SELECT doc_id, md5(text) AS text_hash, doc_id % 3 = 1 AS truncated, CASE WHEN doc_id % 4 < 3 THEN '3' END AS width FROM documents""",
 )
 def response_payload(spark, folder):
     documents = A.table(spark, folder, "documents")
@@ -674,7 +680,7 @@ def response_payload(spark, folder):
     return documents.select("doc_id", response.alias("r"), vector.alias("v")).select(
         "doc_id", F.md5(J.transcript(F.col("r"))).alias("text_hash"), J.is_truncated(F.col("r")).alias("truncated"),
         F.size(J.vector(F.col("v"))).cast("bigint").alias("width"),
-    ).withColumn("width", F.when(F.col("width") >= 0, F.col("width")))
+    ).withColumn("width", F.when(F.col("width") >= 0, _text("width")))
 
 
 # ---- quality -----------------------------------------------------------------------------------------------
@@ -755,7 +761,7 @@ def similar_topk(spark, folder):
     "property_match",
     _NEAR
     + """SELECT query_id AS document_id, string_agg(document_id, ' ' ORDER BY rank) AS candidates, CASE WHEN min(rank) FILTER (ql = cl) IS NULL THEN 'new_property' ELSE 'existing_property' END AS match_status,
-      arg_min(document_id, rank) FILTER (ql = cl) AS matched_document_id FROM k WHERE rank <= 5 GROUP BY 1""",
+      cast(arg_min(document_id, rank) FILTER (ql = cl) AS string) AS matched_document_id FROM k WHERE rank <= 5 GROUP BY 1""",
 )
 def property_match(spark, folder):
     vectors = _embeddings(spark, folder)
@@ -767,7 +773,7 @@ def property_match(spark, folder):
     found = similarity.similar_documents(vectors.drop("label"), fields)
     return found.select(
         "document_id", F.array_join(F.transform("candidates", lambda c: c["document_id"].cast("string")), " ").alias("candidates"),
-        "match_status", "matched_document_id",
+        "match_status", _text("matched_document_id"),
     )
 
 
@@ -835,12 +841,12 @@ _GATE = (
 @query(
     "reupload_gate",
     _GATE
-    + """SELECT request_id, document_id, CASE WHEN used IS NOT NULL AND file_reason IS NULL AND used + fine_before < 3 THEN cast(used + fine_before + 1 AS int) END AS attempt,
+    + """SELECT request_id, document_id, CASE WHEN used IS NOT NULL AND file_reason IS NULL AND used + fine_before < 3 THEN cast(cast(used + fine_before + 1 AS int) AS string) END AS attempt,
       CASE WHEN used IS NULL THEN 'unknown_document' WHEN used + fine_before >= 3 THEN 'attempts_exhausted' ELSE file_reason END AS reject_reason FROM a""",
 )
 def reupload_gate(spark, folder):
     gated = reviews.gate_reuploads(A.view(spark, folder, "reg_requests"), A.view(spark, folder, "reg_documents"))
-    return gated.select("request_id", "document_id", "attempt", "reject_reason")
+    return gated.select("request_id", "document_id", _text("attempt"), "reject_reason")
 
 
 @query(
@@ -897,7 +903,7 @@ def insert_absent(spark, folder):
 
 @query(
     "upsert_embeddings",
-    """SELECT vec_id AS document_id, CASE WHEN label >= 7 THEN 'old ' || label ELSE 'new ' || label END AS searchable_text, CASE WHEN label < 3 THEN NULL ELSE cast(len(embedding) AS bigint) END AS width FROM embeddings WHERE label <> 9""",
+    """SELECT vec_id AS document_id, CASE WHEN label >= 7 THEN 'old ' || label ELSE 'new ' || label END AS searchable_text, CASE WHEN label < 3 THEN NULL ELSE cast(len(embedding) AS string) END AS width FROM embeddings WHERE label <> 9""",
 )
 def upsert_embeddings(spark, folder):
     vectors = _embeddings(spark, folder)
@@ -906,7 +912,7 @@ def upsert_embeddings(spark, folder):
     text = F.when(F.col("label") >= 7, F.lit("  ")).otherwise(F.concat(F.lit("new "), "label"))
     new = vectors.select("document_id", text.alias("searchable_text"), F.when(F.col("label") >= 3, F.col("embedding")).alias("embedding"))
     merged = registry.upsert_embeddings(current, new)
-    return merged.select("document_id", "searchable_text", F.when(F.col("embedding").isNotNull(), F.size("embedding").cast("bigint")).alias("width"))
+    return merged.select("document_id", "searchable_text", F.when(F.col("embedding").isNotNull(), F.size("embedding").cast("string")).alias("width"))
 
 
 @query("add_missing_column", A.with_views("reg_documents") + "SELECT document_id, cast(CASE WHEN status = 'flagged' THEN reupload_count ELSE 0 END AS int) AS reupload_count FROM reg_documents")
