@@ -103,3 +103,14 @@ def test_upload_refusals(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, f string, m string, s bigint")
     got = [r.o for r in df.select("i", V.reject_reason(F.col("f"), F.col("m"), F.col("s")).alias("o")).orderBy("i").collect()]
     assert got == [None, None, "unsupported_type", "too_large", "empty", "unsupported_type", "unsupported_type"]
+
+
+def test_markup_of_whole_pages_against_plain_python(spark):
+    import html
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    for r in pages.select("html", X.strip_markup(F.col("html")).alias("text")).collect():
+        bare = re.sub("<[^>]+>", " ", html.unescape(r.html))
+        rows = [re.sub("[ \\t]+", " ", row).strip() for row in bare.splitlines()]
+        assert r.text == "\n".join(row for row in rows if row)

@@ -614,7 +614,7 @@ def _answers(spark: SparkSession, folder: str) -> DataFrame:
     "model_json_fields",
     A.with_views("reg_fields_long")
     + """SELECT document_id, field_name, nullif(trim(field_value), '') AS field_value, CASE WHEN field_value IS NULL THEN 0.0 ELSE 0.9 END AS flat_confidence,
-      CASE WHEN document_id % 3 = 2 AND field_name = 'village' THEN least(1.0, (document_id % 150) / 100) WHEN field_value IS NULL THEN 0.2 ELSE 0.6 END AS graded_confidence FROM reg_fields_long""",
+      CASE WHEN document_id % 3 = 2 AND field_name = 'village' THEN least(1.0, (document_id % 150) / 100) WHEN document_id % 3 = 1 THEN NULL WHEN field_value IS NULL THEN 0.2 ELSE 0.6 END AS graded_confidence FROM reg_fields_long""",
 )
 def model_json_fields(spark, folder):
     answers = _answers(spark, folder)
