@@ -125,7 +125,8 @@ def queue_neighbours(
     waiting = documents.filter(F.col("status").isin(K.QUEUE_STATUSES))
     keys = partition or ["_queue"]
     if not partition:
-        waiting = waiting.withColumn("_queue", F.lit(0))
+        # One value for every row, but not a literal: joins on a literal key would lose their key.
+        waiting = waiting.withColumn("_queue", F.pmod(F.xxhash64("document_id"), F.lit(1)))
     out = skew.ranked(
         waiting, keys, ["uploaded_at", "document_id"], "document_id", rank="position",
         lag={"previous_id": "document_id"}, lead={"next_id": "document_id"}, slice_rows=slice_rows,
