@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from veriloom.llm import packing, simhash
+from veriloom.llm import decontam, importance, packing, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op2_packing": packing.query,
+    "op4_benchmark_decontamination": decontam.query,
+    "op7_quality_resampling": importance.query,
     "op8_simhash_near_duplicates": simhash.query,
 }
 ORACLES: dict[str, str] = {}

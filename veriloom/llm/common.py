@@ -29,6 +29,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcast if counting shows that it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float | None:
     """The ``k``-th largest value of a double column, exactly, by ever finer histograms of ``bins`` counts.
 
