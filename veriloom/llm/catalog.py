@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from veriloom.llm import decontam, importance, packing, simhash, toxicity
+from veriloom.llm import decontam, html, importance, lm, packing, quoting, simhash, toxicity, urls, vectors
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_packing": packing.query,
+    "op3_language_model": lm.query,
     "op4_benchmark_decontamination": decontam.query,
+    "op5_quotation_linking": quoting.query,
+    "op6_html_extraction": html.query,
     "op7_quality_resampling": importance.query,
     "op8_simhash_near_duplicates": simhash.query,
+    "op9_url_filter": urls.query,
+    "op10_embedding_near_duplicates": vectors.query,
 }
 ORACLES: dict[str, str] = {}

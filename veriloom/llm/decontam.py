@@ -21,8 +21,6 @@ id and text and rows of both repeated give one result; ties keep every item; emp
 
 from __future__ import annotations
 
-from math import comb
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,13 +64,6 @@ def _block(fp: str, i: int) -> Column:
     return F.shiftrightunsigned(F.col(fp), i * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
 
 
-def _near_blocks(radius: int) -> list[int]:
-    """All differences of a block within ``radius`` bits."""
-    found = [d for d in range(1 << BLOCK_BITS) if bin(d).count("1") <= radius]
-    assert len(found) == sum(comb(BLOCK_BITS, k) for k in range(radius + 1))
-    return found
-
-
 def contained(
     documents: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, size: int = SHINGLE_WORDS
 ) -> DataFrame:
@@ -109,7 +100,8 @@ def contained(
 
     item_prints = stored(with_simhash(item_rows, ["item_id", "n_words"]))
     window_prints = with_simhash(bags, window)
-    deltas = F.array(*[F.lit(d) for d in _near_blocks(radius // BLOCKS)])
+    # all differences of a block within its share of the radius; a constant that the optimizer folds
+    deltas = F.filter(F.sequence(F.lit(0), F.lit((1 << BLOCK_BITS) - 1)), lambda d: F.bit_count(d) <= radius // BLOCKS)
     index = item_prints.select(
         "item_id", F.col("fp").alias("item_fp"), F.col("n_words").alias("item_words"),
         F.explode(F.array(*[F.struct(F.lit(i).alias("block"), _block("fp", i).alias("value")) for i in range(BLOCKS)])).alias("b"),

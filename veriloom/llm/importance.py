@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,30 +51,58 @@ def _shape(word: str) -> int:
     return kind * 131 + ord(tail) % 128
 
 
-def ngrams(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
-    """Bucket numbers of all n-grams of a text, with repeats; ``buckets`` is a power of two."""
-    words = (text or "").split()
-    if not words:
-        return np.zeros(0, np.int64)
+def ngrams(texts: Iterable[str | None], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers of the n-grams of some texts, one row per word, and where each text's rows begin.
+
+    A row has three numbers: of the word, of the pair and of the shapes of the triple that end there; what precedes a
+    text are two blanks. ``buckets`` is a power of two.
+    """
     if len(WORDS) > KNOWN_WORDS:
         WORDS.clear()
+    words: list[str] = []
+    starts = []
+    for text in texts:
+        words += ("", "")
+        starts.append(len(words))
+        words += (text or "").split()
+    starts = np.array(starts, np.int64)
     n = len(words)
     try:
         packed = np.fromiter(map(WORDS.__getitem__, words), np.uint64, n)
     except KeyError:
         for word in words:
             if word not in WORDS:
-                WORDS[word] = _shape(word) << 32 | zlib.crc32(word.encode("utf-8", "replace"))
+                WORDS[word] = (_shape(word) << 32 | zlib.crc32(word.encode("utf-8", "replace"))) if word else 8191 << 32
         packed = np.fromiter(map(WORDS.__getitem__, words), np.uint64, n)
     hashed, shapes = packed & np.uint64(0xFFFFFFFF), packed >> np.uint64(32)
-    shapes[1:] += np.uint64(2048) * (hashed[1:] == hashed[:-1])
-    shapes[2:] += np.uint64(4096) * (hashed[2:] == hashed[:-2])
+    shapes[1:] += np.uint64(16384) * (hashed[1:] == hashed[:-1])
+    shapes[2:] += np.uint64(32768) * (hashed[2:] == hashed[:-2])
     mix = np.uint64(0x9E3779B97F4A7C15)
-    padded = np.concatenate([np.full(2, 8191, np.uint64), shapes])
-    triples = (padded[2:] * mix + padded[1:-1]) * mix + padded[:-2]
-    pairs = hashed[1:] * mix + hashed[:-1] * np.uint64(3)
-    mixed = np.concatenate([(hashed + np.uint64(1)) * mix, pairs * mix + np.uint64(2), triples * mix + np.uint64(5)])
-    return ((mixed ^ (mixed >> np.uint64(29))) * mix >> np.uint64(40)).astype(np.int64) & (buckets - 1)
+    found = np.zeros((n, 3), np.uint64)
+    found[:, 0] = (hashed + np.uint64(1)) * mix
+    found[1:, 1] = (hashed[1:] * mix + hashed[:-1] * np.uint64(3)) * mix + np.uint64(2)
+    found[2:, 2] = ((shapes[2:] * mix + shapes[1:-1]) * mix + shapes[:-2]) * mix + np.uint64(5)
+    keep = np.ones(n, bool)
+    keep[starts - 1] = keep[starts - 2] = False
+    found = found[keep]
+    found ^= found >> np.uint64(29)
+    found *= mix
+    found >>= np.uint64(40)
+    return found.astype(np.int64) & (buckets - 1), starts - 2 * np.arange(1, len(starts) + 1)
+
+
+def _blocks(texts: Iterable[str | None], chars: int = 1 << 20) -> Iterator[list[str | None]]:
+    """Texts in groups of about ``chars`` characters; a longer text is a group of its own."""
+    block: list[str | None] = []
+    size = 0
+    for text in texts:
+        block.append(text)
+        size += len(text or "")
+        if size >= chars:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
 
 
 def _counts(texts: DataFrame) -> np.ndarray:
@@ -83,8 +111,8 @@ def _counts(texts: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                total += np.bincount(ngrams(text), minlength=BUCKETS)
+            for block in _blocks(batch["text"]):
+                total += np.bincount(ngrams(block)[0].ravel(), minlength=BUCKETS)
         found = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": found, "n": total[found]})
 
@@ -100,10 +128,14 @@ def weighted(documents: DataFrame, ratio: np.ndarray) -> DataFrame:
     @F.pandas_udf("log_weight double, n_grams long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [ngrams(t) for t in batch]
-            yield pd.DataFrame({
-                "log_weight": np.array([ratio[g].sum() for g in found], float), "n_grams": np.array([len(g) for g in found], np.int64),
-            })
+            sums, sizes = [np.zeros(0)], [np.zeros(0, np.int64)]
+            for block in _blocks(batch):
+                found, starts = ngrams(block)
+                running = np.concatenate([[0.0], np.cumsum(ratio[found].sum(axis=1))])
+                stops = np.append(starts[1:], len(found))
+                sums.append(running[stops] - running[starts])
+                sizes.append(3 * (stops - starts))
+            yield pd.DataFrame({"log_weight": np.concatenate(sums), "n_grams": np.concatenate(sizes)})
 
     return documents.withColumn("_w", run(F.col("text"))).withColumns({"log_weight": F.col("_w.log_weight"), "n_grams": F.col("_w.n_grams")}).drop("_w")
 
@@ -139,29 +171,26 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 
 
 def resampled(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """``documents`` with ``log_weight``, ``n_grams``, ``key`` and ``selected``."""
+    """``(doc_id, text_hash, log_weight, n_grams, key, selected)`` for each row of ``documents``."""
     ratio, least = fit(documents, labels)
-    marked = weighted(documents, ratio)
+    marked = weighted(documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), ratio).drop("text")
     draw = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("gumbel")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    good = (F.col("n_grams") == 0) | (F.col("log_weight") >= F.lit(least) * F.col("n_grams"))
     # measured from the border, so that the sampling compares like with like whatever a text's length
     border = F.col("log_weight") - (F.lit(least) * F.col("n_grams") if math.isfinite(least) else F.lit(0.0))
-    key = border - F.log(-F.log(draw))
-    keyed = marked.withColumn("key", key)
-    small = stored(keyed.select("key", good.alias("good")))
-    k = small.filter("good").count()
-    border_key = kth_largest(small, "key", k)
-    return keyed.withColumn("selected", F.lit(True) if not math.isfinite(least) else F.col("key") >= F.lit(math.inf if border_key is None else border_key))
+    marked = stored(marked.withColumn("good", (F.col("n_grams") == 0) | (border >= 0)).withColumn("key", border - F.log(-F.log(draw))))
+    lowest = kth_largest(marked, "key", marked.filter("good").count())
+    selected = F.lit(True) if not math.isfinite(least) else F.col("key") >= F.lit(math.inf if lowest is None else lowest)
+    return marked.drop("good").withColumn("selected", selected)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return resampled(documents, table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "n_grams", "key", "selected")
+    return resampled(documents, table(spark, sf_dir, "labels")).drop("text_hash")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents drawn."""
-    names = docs.columns
-    packed = docs.select("doc_id", "text", F.struct(*names).alias("row"))
-    kept = resampled(packed, table(spark, sf_dir, "labels")).filter("selected")
-    return kept.select(*[F.col("row").getField(n).alias(n) for n in names])
+    drawn = resampled(docs, table(spark, sf_dir, "labels")).filter("selected").select("doc_id", "text_hash").distinct()
+    left, right = docs.alias("d"), drawn.alias("k")
+    same = F.expr("d.doc_id <=> k.doc_id AND xxhash64(d.text) = k.text_hash")
+    return left.join(right, same, "left_semi").select(*[F.col(f"d.{n}") for n in docs.columns])
