@@ -32,7 +32,7 @@ MAX_SEGMENTS = 256
 CLOSING_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 WINDOW_TOKENS = 1 << 19
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_500_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
