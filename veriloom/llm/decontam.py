@@ -2,7 +2,7 @@
 
 1. Places: words of a document where a shingle of some benchmark item begins. A window as similar as asked shares most
    of its shingles with the item, and moving its start to the first shared shingle loses none, so windows that begin at
-   a place are enough.
+   a place are enough, and only in documents with at least as many places as the similarity asks shared shingles.
 2. Windows: from each place, as many words as the items with that shingle have (shifted left at the end of a document).
    A window has a SimHash of its shingles, weighted by how often each occurs.
 3. Multi-index Hamming blocks: fingerprints are cut into ``BLOCKS`` blocks of 16 bits. Two fingerprints within
@@ -47,11 +47,11 @@ def shingles(array: str, size: int = SHINGLE_WORDS) -> Column:
 
 
 def with_simhash(windows: DataFrame, key: list[str]) -> DataFrame:
-    """``key`` and ``fp`` from rows ``(key, h, n)``: bit by bit the sign of the summed weights of its shingles.
+    """``key`` and ``fp`` from a row ``(key, h)`` per shingle: bit by bit the sign of its sum, so repeats weigh more.
 
-    Sixty-four plain sums, so the aggregation is generated code with a fixed buffer.
+    Sixty-four plain sums: they are added up before the shuffle, which moves one row per window.
     """
-    sums = [F.sum(F.col("n") * (F.shiftrightunsigned(F.col("h"), i).bitwiseAND(F.lit(1)) * 2 - 1)).alias(f"b{i}") for i in range(64)]
+    sums = [F.sum(F.shiftrightunsigned(F.col("h"), i).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{i}") for i in range(64)]
     summed = windows.groupBy(*key).agg(*sums)
     bits = None
     for i in range(64):
@@ -69,16 +69,15 @@ def contained(
 ) -> DataFrame:
     """``(doc_id, text_hash, item_id, similarity, start, n_words)``: the best window of each document for each item."""
     split_items = items.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    split_items = split_items.select("item_id", F.size("w").alias("n_words"), shingles("w", size).alias("hs"))
-    item_rows = split_items.select("item_id", "n_words", F.explode("hs").alias("h")).groupBy("item_id", "n_words", "h").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    item_rows = stored(item_rows)
-    sizes = small(stored(item_rows.select("h", "n_words").distinct()))
+    split_items = stored(split_items.select("item_id", F.size("w").alias("n_words"), shingles("w", size).alias("item_hs")))
+    wanted = small(stored(split_items.select(
+        "item_id", "n_words", F.ceil(F.size("item_hs") * similarity - 1e-9).alias("need"), F.explode(F.array_distinct("item_hs")).alias("h")
+    )))
 
     keyed = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
     seen = keyed.select("doc_id", "text_hash", F.size("w").alias("doc_words"), F.posexplode(shingles("w", size)).alias("at", "h"))
-    places = seen.join(sizes, "h").select(
+    shared = seen.join(wanted, "h").groupBy("doc_id", "text_hash", "doc_words", "item_id", "n_words", "need").agg(F.collect_set("at").alias("at"))
+    places = shared.filter(F.size("at") >= F.col("need")).withColumn("at", F.explode("at")).select(
         "doc_id", "text_hash",
         F.greatest(F.lit(0), F.least(F.col("at"), F.col("doc_words") - F.col("n_words"))).alias("start"),
         F.least(F.col("n_words"), F.col("doc_words")).alias("length"),
@@ -91,15 +90,13 @@ def contained(
     texts = texts.dropDuplicates(["doc_id", "text_hash"])
     split_texts = texts.select("doc_id", "text_hash", words(F.col("text")).alias("w")).select("doc_id", "text_hash", shingles("w", size).alias("hs"))
     p, t = places.alias("p"), split_texts.alias("t")
-    cut = p.join(t, F.expr("p.doc_id <=> t.doc_id AND p.text_hash = t.text_hash")).select(
-        "p.doc_id", "p.text_hash", "p.start", "p.length",
-        F.explode(F.expr(f"slice(t.hs, p.start + 1, greatest(1, p.length - {size - 1}))")).alias("h"),
-    )
     window = ["doc_id", "text_hash", "start", "length"]
-    bags = stored(cut.groupBy(*window, "h").agg(F.count(F.lit(1)).alias("n")))
+    windows = stored(p.join(t, F.expr("p.doc_id <=> t.doc_id AND p.text_hash = t.text_hash")).select(
+        *[f"p.{k}" for k in window], F.expr(f"slice(t.hs, p.start + 1, greatest(1, p.length - {size - 1}))").alias("hs")
+    ))
 
-    item_prints = stored(with_simhash(item_rows, ["item_id", "n_words"]))
-    window_prints = with_simhash(bags, window)
+    item_prints = with_simhash(split_items.select("item_id", "n_words", F.explode("item_hs").alias("h")), ["item_id", "n_words"])
+    window_prints = with_simhash(windows.select(*window, F.explode("hs").alias("h")), window)
     # all differences of a block within its share of the radius; a constant that the optimizer folds
     deltas = F.filter(F.sequence(F.lit(0), F.lit((1 << BLOCK_BITS) - 1)), lambda d: F.bit_count(d) <= radius // BLOCKS)
     index = item_prints.select(
@@ -115,16 +112,17 @@ def contained(
         .filter((F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius) & (F.col("length") <= F.col("item_words")))
         .select(*window, "item_id").distinct()
     )
-    c, i, b = candidates.alias("c"), item_rows.alias("i"), bags.alias("b")
-    on = " AND ".join(["c.doc_id <=> b.doc_id", *(f"c.{k} = b.{k}" for k in window[1:]), "i.h = b.h"])
-    totals = item_rows.groupBy("item_id").agg(F.sum("n").alias("item_total"))
-    shared = (
-        c.join(i, "item_id").join(b, F.expr(on)).groupBy("c.doc_id", "c.text_hash", "c.start", "c.length", "item_id")
-        .agg(F.sum(F.least(F.col("i.n"), F.col("b.n"))).alias("shared"))
+    on = " AND ".join(["c.doc_id <=> w.doc_id", *(f"c.{k} = w.{k}" for k in window[1:])])
+    both = candidates.alias("c").join(windows.alias("w"), F.expr(on)).join(split_items.alias("i"), F.expr("c.item_id = i.item_id"))
+    both = both.select(*[f"c.{k}" for k in window], "c.item_id", "w.hs", "i.item_hs")
+    # of each shared shingle the lesser of both counts; without repeats that is the size of the intersection
+    plain = (F.size(F.array_distinct("hs")) == F.size("hs")) | (F.size(F.array_distinct("item_hs")) == F.size("item_hs"))
+    counted = F.expr(
+        "aggregate(array_intersect(hs, item_hs), 0, (n, x) -> n + least(size(filter(hs, y -> y = x)), size(filter(item_hs, y -> y = x))))"
     )
-    window_total = F.greatest(F.lit(1), F.col("length") - (size - 1))
-    value = F.col("shared") / (F.col("item_total") + window_total - F.col("shared"))
-    best = shared.join(totals, "item_id").withColumn("similarity", value).filter(F.col("similarity") >= similarity)
+    shared = F.when(plain, F.size(F.array_intersect("hs", "item_hs"))).otherwise(counted)
+    value = F.col("shared") / (F.size("hs") + F.size("item_hs") - F.col("shared"))
+    best = both.withColumn("shared", shared).withColumn("similarity", value).filter(F.col("similarity") >= similarity)
     top = F.max(F.struct("similarity", (-F.col("start")).alias("s"), "length")).alias("top")
     found = best.groupBy("doc_id", "text_hash", "item_id").agg(top)
     return found.select(
