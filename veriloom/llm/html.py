@@ -47,6 +47,8 @@ MARKED = re.compile(
     re.I,
 )
 
+UNFINISHED = re.compile(r"</?[a-zA-Z][^>]*$|<!--")
+
 
 class Lines(HTMLParser):
     """Collects lines ``[parts, chars, tags, skipped, region, heading]``."""
@@ -156,6 +158,8 @@ class Lines(HTMLParser):
             self._end_line()
 
     def finish(self) -> list[tuple[str, int, int, bool, int, bool]]:
+        if UNFINISHED.match(self.rawdata):  # a tag cut off by the end of the page is no text
+            self.rawdata = ""
         self.close()
         self._end_line()
         return self.lines

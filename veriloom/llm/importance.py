@@ -32,6 +32,7 @@ BUCKETS = 1 << 16
 TARGET_SAMPLE = 20_000
 CALIBRATION_SAMPLE = 4_000
 SMOOTHING = 1.0
+PRIOR_SHARE = 0.1
 WORDS: dict[str, int] = {}
 KNOWN_WORDS = 400_000
 
@@ -140,24 +141,25 @@ def weighted(documents: DataFrame, ratio: np.ndarray) -> DataFrame:
     return documents.withColumn("_w", run(F.col("text"))).withColumns({"log_weight": F.col("_w.log_weight"), "n_grams": F.col("_w.n_grams")}).drop("_w")
 
 
-def _sample(labels: DataFrame, quality: int, size: int, salt: str) -> DataFrame:
+def _sample(labels: DataFrame, quality: int, size: int, target: bool) -> DataFrame:
+    """Labelled ids, three fifths of them for the target model and the rest to calibrate it on texts it has not met."""
     rows = labels.filter("doc_id is not null").filter(F.col("quality") == quality).filter(remainder("doc_id", 4) != 2)
-    return rows.select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(size)
+    rows = rows.filter((F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)) < 3) == F.lit(target))
+    return rows.select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id").limit(size)
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """The log ratio per bucket and the least mean log ratio of a good document."""
-    good = documents.select("doc_id", "text").join(F.broadcast(_sample(labels, 1, TARGET_SAMPLE, "target")), "doc_id")
+    good = documents.select("doc_id", "text").join(F.broadcast(_sample(labels, 1, TARGET_SAMPLE, True)), "doc_id")
     target, raw = _counts(good), _counts(documents)
     if not target.sum():
         return np.zeros(BUCKETS), -math.inf
     raw_share = (raw + SMOOTHING) / (raw.sum() + SMOOTHING * BUCKETS)
     # the target model is smoothed towards the raw one: a bucket it has not met enough keeps a ratio near one
-    prior = 50.0
-    strength = prior * BUCKETS * raw_share
+    strength = PRIOR_SHARE * target.sum() * raw_share
     target_share = (target + strength) / (target.sum() + strength.sum())
     ratio = np.log(target_share / raw_share)
-    known = _sample(labels, 1, CALIBRATION_SAMPLE, "calibrate").unionByName(_sample(labels, 0, CALIBRATION_SAMPLE, "calibrate"))
+    known = _sample(labels, 1, CALIBRATION_SAMPLE, False).unionByName(_sample(labels, 0, CALIBRATION_SAMPLE, False))
     measured = weighted(documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "quality"), ratio)
     rows = measured.filter("n_grams > 0").select("quality", (F.col("log_weight") / F.col("n_grams")).alias("mean")).toPandas()
     kinds = [np.sort(rows.loc[rows["quality"] == k, "mean"].to_numpy(float)) for k in (0, 1)]
