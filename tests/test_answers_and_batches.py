@@ -1,0 +1,67 @@
+"""Answers whose entries are not strings, blanks beyond ASCII, and several rows of a document in a batch."""
+
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from veriloom import schemas
+from veriloom.functions import extract as E
+from veriloom.functions import model_json as J
+from veriloom.operators import reviews as R
+from veriloom.streaming import verify as V
+
+
+def _answer(spark, given, with_confidence):
+    df = spark.createDataFrame([("d", json.dumps(given))], "document_id string, raw string")
+    row = J.with_answer(df, "raw", "mapper", with_confidence).first()
+    return row["village"]["value"], row["village"]["confidence"]
+
+
+def test_a_number_is_no_text_even_if_a_nested_entry_has_the_name(spark):
+    assert _answer(spark, {"village": 5, "note": {"village": "zz"}}, False) == (None, 0.0)
+    assert _answer(spark, {"note": {"village": "zz"}}, False) == (None, 0.0)
+    assert _answer(spark, {"village": " zz "}, False) == ("zz", 0.9)
+    assert _answer(spark, {"village": ["zz"]}, False) == (None, 0.0)
+
+
+@pytest.mark.parametrize(
+    "given, confidence",
+    [(0.4, 0.4), (7, 1.0), (-1, 0.0), (True, 1.0), (False, 0.0), ("0.9", 0.6), (None, 0.6), ([0.1], 0.6), (1e-3, 0.001), (3, 1.0)],
+)
+def test_only_numbers_and_booleans_are_confidences(spark, given, confidence):
+    assert _answer(spark, {"village": "  zz ", "confidence": {"village": given}}, True) == ("  zz ", confidence)
+
+
+def test_absent_values_and_confidences_of_another_type(spark):
+    assert _answer(spark, {"village": "  "}, True) == (None, 0.2)
+    assert _answer(spark, {"village": "a", "confidence": "high"}, True) == ("a", 0.6)
+    assert _answer(spark, {"village": 4, "confidence": {"village": 0.7}}, True) == (None, 0.7)
+
+
+@pytest.mark.parametrize("blank", [" ", "\u00a0", "\u2009", "\u3000", ""])
+@pytest.mark.parametrize("text, confidence", [("area 2.50%sha only", 0.78), ("extent: 2.50%sha", 0.93)])
+def test_any_blank_may_stand_before_a_unit(spark, blank, text, confidence):
+    df = spark.createDataFrame([("d", text % blank)], "document_id string, text string")
+    got = E.with_readings(df, "text").first()["extent"]
+    assert (got["value"], got["confidence"]) == (f"2.50{blank}ha", confidence)
+
+
+def test_the_latest_row_of_a_document_wins(spark):
+    rows = [("a", "old", "2024-01-01"), ("a", "new", "2024-03-01"), ("a", None, "2024-02-01"), ("b", "x", None), ("b", "y", None)]
+    df = spark.createDataFrame(rows, "document_id string, filename string, uploaded_at string")
+    assert {r["document_id"]: r["filename"] for r in V.latest(df).collect()} == {"a": "new", "b": "y"}
+    assert V.latest(df).columns == df.columns
+    assert V.latest(df.filter(F.lit(False))).count() == 0
+
+
+def test_no_audit_rows_for_unknown_documents(spark):
+    documents = spark.createDataFrame([("a", "validated")], "document_id string, status string")
+    fields = spark.createDataFrame(
+        [("f1", "a", "village", "x", None, 0.3, "m"), ("f2", "z", "village", "x", None, 0.3, "m")], schemas.EXTRACTED_FIELDS
+    )
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, d, "r", "correct", None, at, 30, {"village": "y"}) for i, d in (("r1", "a"), ("r2", "z"))]
+    given = spark.createDataFrame(rows, schemas.REVIEWS)
+    assert [r["review_id"] for r in R.apply(documents, fields, given)["corrections"].collect()] == ["r1"]

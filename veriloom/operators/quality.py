@@ -84,6 +84,11 @@ def benchmark(reads: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
+def by_error_rate(rates: DataFrame) -> DataFrame:
+    """Rates in the order they are shown: by script, lowest error rate first, equal rates by engine."""
+    return rates.orderBy("script_type", "cer", "engine")
+
+
 def unusable_engines(reads: DataFrame) -> DataFrame:
     failed = F.col("error").isNotNull() & (F.col("error") != "") & X.is_blank(F.col("text"))
     return reads.filter(failed).groupBy("engine").agg(F.count(F.lit(1)).alias("n"))

@@ -91,7 +91,7 @@ def apply(documents: DataFrame, fields: DataFrame, reviews: DataFrame) -> dict[s
         "documents": reviewed_documents(documents, accepted),
         "fields": corrected_fields(fields, accepted),
         "reviews": accepted,
-        "corrections": correction_audit(reviews, fields),
+        "corrections": correction_audit(accepted, fields),
         "touched": accepted.filter(F.size("corrections") > 0).select("document_id").distinct(),
         "rejects": rejects,
     }

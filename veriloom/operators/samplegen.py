@@ -39,6 +39,10 @@ def property_id(index: Column, seed: int) -> Column:
     )
 
 
+def _name(index: Column, seed: int, given: list[str], family: list[str]) -> Column:
+    return F.concat(_pick(index, seed, "given", given), F.lit(" "), _pick(index, seed, "family", family))
+
+
 def _survey(index: Column, seed: int) -> Column:
     plain = F.format_string("%d/%d", _draw(index, seed, "block", *SURVEY_BLOCKS), _draw(index, seed, "part", *SURVEY_PARTS))
     suffix = F.concat(F.lit("-"), _pick(index, seed, "suffix", ["A", "B", "C"]))
@@ -62,7 +66,7 @@ def _clean(indices: DataFrame, seed: int) -> DataFrame:
     by_script = lambda u, m: F.when(urdu, u).otherwise(m)
     values = {
         "property_id": property_id(i, seed),
-        "mutawalli_name": by_script(_pick(i, seed, "name", K.URDU_NAMES), _pick(i, seed, "name", K.MARATHI_NAMES)),
+        "mutawalli_name": by_script(_name(i, seed, K.URDU_GIVEN, K.URDU_FAMILY), _name(i, seed, K.MARATHI_GIVEN, K.MARATHI_FAMILY)),
         "survey_number": _survey(i, seed),
         "registration_date": _date(i, seed, "date", _draw(i, seed, "date-year", *PLAUSIBLE_YEARS)),
         "extent": _extent(i, seed, by_script(_pick(i, seed, "unit", K.URDU_UNITS), _pick(i, seed, "unit", K.MARATHI_UNITS))),

@@ -598,11 +598,13 @@ _JSON_SQL = "to_json({" + ", ".join(f"'{f}': {f}" for f in K.FIELDS) + "})"
 
 
 def _answers(spark: SparkSession, folder: str) -> DataFrame:
-    """A model answer per record: bare, fenced, or with confidences, by record number."""
+    """A model answer per record: bare, fenced, or with confidences that are numbers, text, true or false, by record number."""
     wide = A.view(spark, folder, "reg_fields_wide")
     plain = F.to_json(F.struct(*K.FIELDS))
     key = F.col("document_id")
-    confidence = F.concat(F.lit(',"confidence":{"village":'), (key % 150).cast("string"), F.lit('e-2}}'))
+    hundredths = F.concat((key % 150).cast("string"), F.lit("e-2"))
+    given = F.when(key % 4 == 0, hundredths).when(key % 4 == 1, '"0.9"').when(key % 4 == 2, "true").otherwise("false")
+    confidence = F.concat(F.lit(',"note":{"village":"other"},"confidence":{"village":'), given, F.lit("}}"))
     graded = F.concat(F.expr("substring(plain, 1, length(plain) - 1)"), confidence)
     return wide.withColumn("plain", plain).select(
         "document_id",
@@ -614,17 +616,21 @@ def _answers(spark: SparkSession, folder: str) -> DataFrame:
     "model_json_fields",
     A.with_views("reg_fields_long")
     + """SELECT document_id, field_name, nullif(trim(field_value), '') AS field_value, CASE WHEN field_value IS NULL THEN 0.0 ELSE 0.9 END AS flat_confidence,
-      CASE WHEN document_id % 3 = 2 AND field_name = 'village' THEN least(1.0, (document_id % 150) / 100) WHEN document_id % 3 = 1 THEN NULL WHEN field_value IS NULL THEN 0.2 ELSE 0.6 END AS graded_confidence FROM reg_fields_long""",
+      CASE WHEN document_id % 3 <> 1 AND trim(field_value) <> '' THEN field_value END AS graded_value,
+      CASE WHEN document_id % 3 = 2 AND field_name = 'village' AND document_id % 4 = 0 THEN least(1.0, (document_id % 150) / 100)
+        WHEN document_id % 3 = 2 AND field_name = 'village' AND document_id % 4 = 2 THEN 1.0
+        WHEN document_id % 3 = 2 AND field_name = 'village' AND document_id % 4 = 3 THEN 0.0
+        WHEN document_id % 3 = 1 THEN NULL WHEN field_value IS NULL THEN 0.2 ELSE 0.6 END AS graded_confidence FROM reg_fields_long""",
 )
 def model_json_fields(spark, folder):
     answers = _answers(spark, folder)
     flat = J.with_answer(answers, "raw", "mapper")
     graded = J.with_answer(answers, "raw", "second", with_confidence=True)
-    both = flat.join(graded.select("document_id", *[F.col(f"{f}.confidence").alias(f"_g_{f}") for f in K.FIELDS]), "document_id")
+    both = flat.join(graded.select("document_id", *[F.col(f).alias(f"_g_{f}") for f in K.FIELDS]), "document_id")
     entries = [
         F.struct(
             F.lit(f).alias("field_name"), F.col(f"{f}.value").alias("field_value"),
-            F.col(f"{f}.confidence").alias("flat_confidence"), F.col(f"_g_{f}").alias("graded_confidence"),
+            F.col(f"{f}.confidence").alias("flat_confidence"), F.col(f"_g_{f}.value").alias("graded_value"), F.col(f"_g_{f}.confidence").alias("graded_confidence"),
         )
         for f in K.FIELDS
     ]
