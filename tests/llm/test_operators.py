@@ -113,6 +113,19 @@ def test_simhash_components_match_brute_force(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_simhash_stage_keeps_one_of_each_group(spark):
+    rng = random.Random(9)
+    one, two, three, four = (text_of(rng, 60) for _ in range(4))
+    rows = [(7, one), (3, one), (3, one), (None, one), (None, two), (None, two), (5, three), (5, four), (9, None), (8, ""), (6, four)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0, "h") for i, t in rows], DOCS + ", hash string")
+    got = simhash.stage(spark, docs, "").collect()
+    assert sorted(((r.doc_id is None, r.doc_id, r.text) for r in got), key=str) == sorted(
+        [(False, 3, one), (True, None, two), (False, 5, three), (False, 5, four), (False, 8, "")], key=str
+    )
+    assert got[0].asDict().keys() == set(docs.columns) and {r.hash for r in got} == {"h"}
+    assert simhash.stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_packing_is_a_round_trip(corpus):
     docs, _ = corpus
     from public_tokenizers import path

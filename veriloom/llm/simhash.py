@@ -101,16 +101,22 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.unionByName(hub)
 
 
-def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row per document: its id, ``fp`` and ``component_id``, the least id among all it can reach."""
-    marked = stored(documents.select(F.col(id_column).alias("doc_id"), with_fingerprints(documents, text).alias("fp")))
+def near_duplicates(
+    documents: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = RADIUS, carried: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per document: its id, ``fp``, ``component_id``, the least id among all it can reach, and ``component``.
+
+    ``component`` is the least fingerprint it can reach and so tells groups apart that have no id to be named by.
+    ``carried`` names further columns to keep.
+    """
+    marked = stored(documents.select(F.col(id_column).alias("doc_id"), with_fingerprints(documents, text).alias("fp"), *carried))
     prints = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     components = connected_components(links(prints.select("fp"), radius))
     named = prints.join(components.withColumnRenamed("id", "fp"), "fp", "left")
     named = named.select("fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = named.join(smallest, "component").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = named.join(smallest, "component").select("fp", "component", "component_id")
+    return marked.join(classes, "fp").select("doc_id", "fp", "component_id", "component", *carried)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -120,8 +126,18 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group; of rows that repeat this id, one."""
-    found = near_duplicates(docs)
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns)
+    """Keep one document of each group, that with the least id; of rows that repeat its id and text, one.
+
+    Null ids come last, so a group without any id keeps a document too; of different texts under the chosen id in one
+    group the one with the least hash stays.
+    """
+    found = near_duplicates(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")), carried=("hash",))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")).alias("k")
+    keep = found.groupBy("component").agg(least).select("k.*")
+
+    def name(row_id) -> Column:
+        return F.coalesce(F.col(row_id).cast("string"), F.lit(""))
+
+    rows = docs.select(name("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.struct(*docs.columns).alias("row"))
+    kept = rows.join(keep.select(name("doc_id").alias("id"), "hash").distinct(), ["id", "hash"], "left_semi")
+    return kept.dropDuplicates(["id", "hash"]).select(*[F.col("row").getField(n).alias(n) for n in docs.columns])
