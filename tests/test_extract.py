@@ -45,7 +45,7 @@ def test_label_search_agrees_with_brute_force(column_values):
     ]
     texts = ["".join(draw.choices(pieces, k=draw.randint(1, 14))) for _ in range(1500)]
     for field in ("village", "mutawalli_name"):
-        got = column_values(lambda c: E.label_value(_unified(c), field, c.isNotNull()), texts)
+        got = column_values(lambda c: E.label_value(_unified(c), field, c.isNotNull(), K.LABEL_VALUE_CHARS), texts)
         want = [brute_label_value(t, K.LABEL_WORDS[field]) or None for t in texts]
         wrong = [(t, g, w) for t, g, w in zip(texts, got, want) if g != w]
         assert not wrong, wrong[:3]

@@ -47,13 +47,13 @@ def test_search_and_queue(spark):
 
 def test_detail_never_multiplies_children(spark):
     docs = documents(spark, 3).select("document_id")
-    fields = spark.createDataFrame([("d00", "village", "x"), ("d00", "extent", "y")], "document_id string, field_name string, field_value string")
+    fields = spark.createDataFrame([("d00", "village", "x"), ("d00", "extent", "y"), ("d00", "owner", "z"), ("d00", "village", "w")], "document_id string, field_name string, field_value string")
     results = spark.createDataFrame(
         [("d00", "custom", "fail", "m"), ("d00", "date_plausibility", "pass", "m"), ("d00", "mandatory_fields_present", "fail", "m")],
         "document_id string, rule_name string, result string, message string",
     )
     got = {r.document_id: r for r in G.detail(docs, fields, results).collect()}
-    assert [f.field_name for f in got["d00"].fields] == ["extent", "village"]
+    assert [(f.field_name, f.field_value) for f in got["d00"].fields] == [("extent", "y"), ("village", "w"), ("village", "x"), ("owner", "z")]
     assert [v.rule_name for v in got["d00"].validations] == ["mandatory_fields_present", "date_plausibility", "custom"]
     assert got["d01"].fields == [] and got["d01"].validations == []
 
@@ -189,6 +189,9 @@ def test_whole_queue_is_numbered_in_slices(spark):
     after = {r.document_id: r.advance_to for r in R.next_after_action(docs, "uploaded_by", slice_rows=3).collect()}
     assert after["d00"] == "d01" and after["d69"] == "d00"
     assert R.next_after_action(docs.limit(1), "uploaded_by").first().advance_to is None
+    whole = {r.document_id: r.advance_to for r in R.next_after_action(docs, slice_rows=3).collect()}
+    assert whole == dict(zip(ids, [*ids[1:], ids[0]], strict=True))
+    assert R.next_after_action(docs.limit(1)).first().advance_to is None
 
 
 def test_shipped_defaults(spark):

@@ -40,8 +40,8 @@ def test_seed_queue(queue):
     assert got["d3", "date_plausibility"] == ("warning", rules.DATE_BEFORE_REGISTER)
     assert got["d5", "date_plausibility"] == ("fail", rules.DATE_MISSING)
     shared = "Property ID WQ/MH/2024/00812 also appears in %s — possible duplicate filing."
-    assert got["d1", "cross_document_consistency"] == ("fail", shared % "s818.tiff")
-    assert got["d7", "cross_document_consistency"] == ("fail", shared % "s812.tiff")
+    assert got["d1", "cross_document_consistency"] == ("fail", shared % "1 other document")
+    assert got["d7", "cross_document_consistency"] == ("fail", shared % "1 other document")
     assert got["d5", "cross_document_consistency"] == ("warning", rules.ID_MISSING)
     assert got["d4", "cross_document_consistency"] == ("pass", rules.ID_UNIQUE)
 
@@ -94,22 +94,37 @@ def test_hot_ids_are_counted_and_never_gathered(spark):
     # A third of all records share one id; one in three rows is looked at to find such ids.
     rows = [(f"d{i:03d}", f"f{i:03d}", "HOT" if i % 3 == 0 else f"P{i // 2}") for i in range(240)]
     members = spark.createDataFrame(rows, "document_id string, filename string, property_id string")
-    got = {r.document_id: r for r in rules.duplicate_groups(members, list_limit=5, slice_rows=3).collect()}
+    got = {r.document_id: r for r in rules.duplicate_groups(members, slice_rows=3).collect()}
     assert len(got) == 240
     by_id = {}
     for d, f, p in rows:
         by_id.setdefault(p, []).append((f, d))
     for d, f, p in rows:
-        others = sorted(x for x in by_id[p] if x[1] != d)
-        assert got[d].n_others == len(others)
-        assert got[d].others == ([x[0] for x in others] if len(by_id[p]) <= 5 else None)
-    whole = rules.duplicate_members(members, list_limit=5, slice_rows=3)
+        assert got[d].n_others == len(by_id[p]) - 1
+    whole = rules.duplicate_members(members, slice_rows=3)
     assert whole.filter("property_id = 'HOT'").count() == 80
-    results = rules.cross_document_consistency(members, list_limit=5, slice_rows=3)
+    results = rules.cross_document_consistency(members, slice_rows=3)
     message = results.filter("document_id = 'd000'").first().message
     assert message == "Property ID HOT also appears in 79 other documents — possible duplicate filing."
 
 
+def test_groups_of_every_size_have_one_form(spark):
+    sizes = {"A": 1, "B": 2, "C": 1001, "D": 5000}
+    rows = [(f"{k}{i:04d}", f"f{k}{i:04d}", k) for k, n in sizes.items() for i in range(n)]
+    members = spark.createDataFrame(rows, "document_id string, filename string, property_id string")
+    results = rules.cross_document_consistency(members)
+    found = results.groupBy(F.substring("document_id", 1, 1).alias("k"), "result", "message").count().collect()
+    told = {r.k: (r.result, r.message, r["count"]) for r in found}
+    assert len(found) == len(told) == 4
+    assert told["A"] == ("pass", rules.ID_UNIQUE, 1)
+    for k in "BCD":
+        many = f"{sizes[k] - 1} other document" + "s" * (sizes[k] > 2)
+        assert told[k] == ("fail", f"Property ID {k} also appears in {many}{rules.ID_DUPLICATE}", sizes[k])
+    named = {r.property_id: r.members for r in rules.duplicate_names(members, members.filter("document_id IN ('B0000', 'D0001')")).collect()}
+    assert {k: len(m) for k, m in named.items()} == {"B": 2, "D": 5000}
+    assert [m.id for m in named["D"]] == sorted(f"D{i:04d}" for i in range(5000))
+
+
 def test_registry_and_batch_see_each_other(spark, queue):
     registry = queue
     batch = record(
@@ -121,7 +136,9 @@ def test_registry_and_batch_see_each_other(spark, queue):
     )
     got = outcomes(rules.validate(batch, as_of=AS_OF, registry=registry))
     assert {d for d, _ in got} == {"n1", "n2", "d7"}
-    assert "new2, s815.tiff" in got["n1", "cross_document_consistency"][1]
+    assert "also appears in 2 other documents" in got["n1", "cross_document_consistency"][1]
+    named = rules.duplicate_names(registry.unionByName(batch), batch.filter("document_id = 'n1'")).collect()
+    assert [[(m.label, m.id) for m in r.members] for r in named] == [[("new1", "n1"), ("new2", "n2"), ("s815.tiff", "d4")]]
     assert got["d7", "cross_document_consistency"][0] == "pass"
 
 

@@ -85,29 +85,26 @@ def page(documents: DataFrame, number: int = 1, size: int = K.PAGE_SIZE, order:
     return asked.unionByName(last.select(*columns, "serial"))
 
 
+def _gathered(rows: DataFrame, name: str, known: list[str], out: str) -> DataFrame:
+    """All rows of each document as one array: known names in their order, then the others by name and content."""
+    place = F.array_position(F.array(*[F.lit(k) for k in known]), F.col(name))
+    entry = F.struct(*[F.col(c) for c in rows.columns if c != "document_id"])
+    order = F.struct(F.when(place > 0, place).otherwise(len(known) + 1).alias("at"), F.col(name).alias("name"), entry.alias("entry"))
+    grouped = rows.groupBy("document_id").agg(F.array_sort(F.collect_list(order)).alias("_all"))
+    return grouped.select("document_id", F.transform("_all", lambda e: e["entry"]).alias(out))
+
+
 def detail(documents: DataFrame, fields: DataFrame, results: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Documents with their fields and rule results as arrays.
 
-    Each child is reduced to one row per document before it is joined, so the two never multiply; the arrays
-    hold one entry per known field and rule, whatever the child tables hold.
+    Each child is reduced to one row per document before it is joined, so the two never multiply. The arrays hold
+    every row of the child tables, repeated and unknown names included. ``keys`` limits the documents.
     """
     if keys is not None:
         keys = keys.select("document_id").distinct()
         documents, fields, results = (t.join(keys, "document_id", "left_semi") for t in (documents, fields, results))
-    entry = F.struct(*[F.col(c) for c in fields.columns if c != "document_id"])
-    by_field = fields.groupBy("document_id").agg(
-        *[F.max(F.when(F.col("field_name") == f, entry)).alias(f"_f_{f}") for f in K.FIELDS]
-    )
-    by_field = by_field.select(
-        "document_id", F.filter(F.array(*[f"_f_{f}" for f in K.FIELDS]), lambda e: e.isNotNull()).alias("fields")
-    )
-    verdict = F.struct("rule_name", "result", "message")
-    by_rule = results.groupBy("document_id").agg(
-        *[F.max(F.when(F.col("rule_name") == r, verdict)).alias(f"_r_{r}") for r in K.RULE_ORDER],
-        F.array_sort(F.collect_set(F.when(~F.col("rule_name").isin(K.RULE_ORDER), verdict))).alias("_r_other"),
-    )
-    known = F.filter(F.array(*[f"_r_{r}" for r in K.RULE_ORDER]), lambda e: e.isNotNull())
-    by_rule = by_rule.select("document_id", F.concat(known, F.col("_r_other")).alias("validations"))
+    by_field = _gathered(fields, "field_name", K.FIELDS, "fields")
+    by_rule = _gathered(results.select("document_id", "rule_name", "result", "message"), "rule_name", K.RULE_ORDER, "validations")
     joined = documents.join(by_field, "document_id", "left").join(by_rule, "document_id", "left")
     empty_fields = F.array().cast(by_field.schema["fields"].dataType)
     empty_rules = F.array().cast(by_rule.schema["validations"].dataType)

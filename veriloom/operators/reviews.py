@@ -134,10 +134,16 @@ def queue_neighbours(
     return out if partition else out.drop("_queue")
 
 
-def next_after_action(documents: DataFrame, partition: str, slice_rows: int = skew.SLICE_ROWS) -> DataFrame:
-    """Document shown after acting on one: the next in the queue, or the first that is left."""
-    neighbours = queue_neighbours(documents, [partition], slice_rows)
+def next_after_action(documents: DataFrame, partition: str | None = None, slice_rows: int = skew.SLICE_ROWS) -> DataFrame:
+    """Document shown after acting on one: the next in the queue, or the first that is left.
+
+    The queue is the whole one, or that of each value of ``partition``.
+    """
+    neighbours = queue_neighbours(documents, [partition] if partition else None, slice_rows)
     waiting = documents.filter(F.col("status").isin(K.QUEUE_STATUSES))
+    if partition is None:
+        first = waiting.agg(F.min_by("document_id", F.struct("uploaded_at", "document_id"))).scalar()
+        return neighbours.select("document_id", F.coalesce("next_id", F.nullif(first, F.col("document_id"))).alias("advance_to"))
     firsts = waiting.groupBy(partition).agg(F.min_by("document_id", F.struct("uploaded_at", "document_id")).alias("_first"))
     other_first = F.when(F.col("_first") != F.col("document_id"), F.col("_first"))
     return skew.salted_join(neighbours, firsts, partition, "document_id", "left", slice_rows, sample=waiting).select(

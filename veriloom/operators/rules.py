@@ -9,15 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriloom import constants as K
 from veriloom.functions import text as X
 from veriloom.operators import skew
 
-LIST_LIMIT = 1000
-
 # Survey number shapes, date shapes and date limits.
 SURVEY_FULL = r"^\p{Nd}{3,4}/\p{Nd}{1,2}(-[A-Za-z])?$"
 SURVEY_SHORT = r"^\p{Nd}{1,2}/\p{Nd}{1,2}(-[A-Za-z])?$"
@@ -126,55 +124,45 @@ def date_plausibility(as_of: Column | str) -> Callable[[Fields], Column]:
 
 
 def duplicate_groups(
-    members: DataFrame,
-    id_col: str = "document_id",
-    key: str = "property_id",
-    label: str = "filename",
-    list_limit: int = LIST_LIMIT,
+    members: DataFrame, id_col: str = "document_id", key: str = "property_id", label: str = "filename",
     slice_rows: int = skew.SLICE_ROWS,
 ) -> DataFrame:
-    """For each member with a key: how many others share it exactly, and their labels in order.
+    """For each member with a key: how many others share it exactly, as ``n_others``.
 
-    ``others`` is null for groups above ``list_limit`` members, where one list per member would grow with the
-    square of the group; ``duplicate_members`` gives those groups whole, one row per member. Members of hot keys
-    take their count from a broadcast of exact counts and are spread over many tasks instead of meeting in one.
+    The same form for groups of every size. Keys are counted before they are shuffled, and members of hot keys meet
+    their count in many tasks. ``duplicate_members`` and ``duplicate_names`` say who the others are.
     """
     carried = [id_col, key, label, *(["_mine"] if "_mine" in members.columns else [])]
     rows = members.select(*carried).filter(~X.is_blank(F.col(key)))
-    hot = F.broadcast(skew.hot_counts(rows, [key], id_col, max(list_limit, slice_rows // 4), slice_rows))
-    pieces = F.ceil(F.col("_hot_rows") / F.lit(max(1, slice_rows // 4)))
-    piece = F.when(F.col("_hot_rows").isNotNull(), F.pmod(F.xxhash64(id_col, F.lit("piece")), pieces)).otherwise(0)
-    group = Window.partitionBy(key, "_piece")
-    entry = F.struct(F.col(label).alias("label"), F.col(id_col).alias("id"))
-    own = F.col(id_col)
-    names = F.transform(F.array_sort(F.filter("_all", lambda e: e["id"] != own)), lambda e: e["label"])
-    return (
-        rows.join(hot, key, "left")
-        .withColumn("_piece", piece)
-        .withColumn("_n", F.coalesce("_hot_rows", F.count(F.lit(1)).over(group)))
-        .withColumn("_all", F.collect_list(F.when(F.col("_n").between(2, list_limit), entry)).over(group))
-        .select(
-            *carried,
-            (F.col("_n") - 1).alias("n_others"),
-            F.when(F.col("_n") <= list_limit, F.when(F.col("_n") > 1, names).otherwise(F.array().cast("array<string>")))
-            .alias("others"),
-        )
-    )
+    shared = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    counted = skew.salted_join(rows, shared, key, id_col, "left", slice_rows)
+    return counted.select(*carried, (F.coalesce("_n", F.lit(1)) - 1).alias("n_others"))
 
 
 def duplicate_members(members: DataFrame, key: str = "property_id", **kwargs) -> DataFrame:
     """Every member of every shared key, one row each: linear in the input for groups of any size."""
-    groups = duplicate_groups(members, key=key, **kwargs)
-    return groups.filter("n_others > 0").drop("others")
+    return duplicate_groups(members, key=key, **kwargs).filter("n_others > 0")
+
+
+def duplicate_names(
+    members: DataFrame, keys: DataFrame, id_col: str = "document_id", key: str = "property_id", label: str = "filename"
+) -> DataFrame:
+    """All members of the keys asked for, one row per key: ``(key, members)`` in order of label and id.
+
+    A list per key, not one per member, so it is as long as the group and not as its square; the others of a record
+    are the list without itself. Keys without members have no row.
+    """
+    asked = members.join(keys.select(key).distinct(), key, "left_semi").filter(~X.is_blank(F.col(key)))
+    entry = F.struct(F.col(label).alias("label"), F.col(id_col).alias("id"))
+    return asked.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("members"))
 
 
 def cross_document_consistency(
-    records: DataFrame, registry: DataFrame | None = None, list_limit: int = LIST_LIMIT,
-    slice_rows: int = skew.SLICE_ROWS,
+    records: DataFrame, registry: DataFrame | None = None, slice_rows: int = skew.SLICE_ROWS
 ) -> DataFrame:
     """Results of the duplicate check for ``records``, against themselves and the rest of ``registry``.
 
-    A record present in both counts once, in its ``records`` version.
+    A record present in both counts once, in its ``records`` version. The message says how many others there are.
     """
     columns = ["document_id", "filename", "property_id"]
     members = records.select(*columns)
@@ -185,14 +173,13 @@ def cross_document_consistency(
         )
         older = shared.join(members.select("document_id"), "document_id", "left_anti")
         members = members.withColumn("_mine", F.lit(True)).unionByName(older.withColumn("_mine", F.lit(False)))
-    groups = duplicate_groups(members, list_limit=list_limit, slice_rows=slice_rows)
+    groups = duplicate_groups(members, slice_rows=slice_rows)
     if registry is not None:
         groups = groups.filter("_mine").drop("_mine")
-    where = F.when(F.col("others").isNotNull(), F.array_join("others", ", ")).otherwise(
-        F.concat(F.col("n_others").cast("string"), F.lit(" other documents"))
-    )
-    shared_message = F.concat(F.lit("Property ID "), F.col("property_id"), F.lit(" also appears in "), where, F.lit(ID_DUPLICATE))
-    decided = F.when(F.col("n_others") > 0, outcome("fail", shared_message)).otherwise(outcome("pass", ID_UNIQUE))
+    n = F.col("n_others")
+    others = F.concat(n.cast("string"), F.when(n == 1, " other document").otherwise(" other documents"))
+    shared_message = F.concat(F.lit("Property ID "), F.col("property_id"), F.lit(" also appears in "), others, F.lit(ID_DUPLICATE))
+    decided = F.when(n > 0, outcome("fail", shared_message)).otherwise(outcome("pass", ID_UNIQUE))
     found = groups.select("document_id", decided.alias("o"))
     absent = records.filter(X.is_blank(F.col("property_id"))).select("document_id", outcome("warning", ID_MISSING).alias("o"))
     name = F.lit("cross_document_consistency").alias("rule_name")

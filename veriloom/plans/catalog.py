@@ -69,14 +69,12 @@ _RULE_DATE = f"""SELECT document_id, 'date_plausibility' AS rule_name,
        WHEN d > DATE '{AS_OF}' THEN '{rules.DATE_FUTURE}' WHEN d < DATE '1900-01-01' THEN '{rules.DATE_TOO_EARLY}'
        WHEN d < DATE '1980-01-01' THEN '{rules.DATE_BEFORE_REGISTER}' ELSE '{rules.DATE_OK}' END AS message
   FROM (SELECT *, {_PARSED} AS d FROM rec)"""
-_DUPLICATES = """SELECT r.document_id, r.property_id, len(g.l) - 1 AS n_others,
-  array_to_string(list_transform(list_filter(g.l, lambda e: e.document_id <> r.document_id), lambda e: e.filename), ', ') AS others
-  FROM allrec r JOIN (SELECT property_id, list_sort(list({'filename': filename, 'document_id': document_id})) AS l
-                   FROM allrec WHERE coalesce(property_id, '') <> '' GROUP BY property_id) g USING (property_id)"""
+_DUPLICATES = """SELECT document_id, property_id, count(*) OVER (PARTITION BY property_id) - 1 AS n_others
+  FROM allrec WHERE coalesce(property_id, '') <> ''"""
 _RULE_CROSS = f"""SELECT rec.document_id, 'cross_document_consistency' AS rule_name,
   CASE WHEN coalesce(rec.property_id, '') = '' THEN 'warning' WHEN n_others > 0 THEN 'fail' ELSE 'pass' END AS result,
   CASE WHEN coalesce(rec.property_id, '') = '' THEN '{rules.ID_MISSING}'
-       WHEN n_others > 0 THEN 'Property ID ' || rec.property_id || ' also appears in ' || others || '{rules.ID_DUPLICATE}'
+       WHEN n_others > 0 THEN 'Property ID ' || rec.property_id || ' also appears in ' || n_others || CASE WHEN n_others = 1 THEN ' other document' ELSE ' other documents' END || '{rules.ID_DUPLICATE}'
        ELSE '{rules.ID_UNIQUE}' END AS message FROM rec LEFT JOIN dup ON dup.document_id = rec.document_id"""
 _RECORDS = "SELECT d.document_id, d.filename, w.property_id, w.mutawalli_name, w.survey_number, w.registration_date, w.extent, w.village FROM reg_documents d LEFT JOIN reg_fields_wide w USING (document_id)"
 
@@ -128,10 +126,17 @@ def date_plausibility(spark, folder):
     return _results(spark, folder, ["date_plausibility"]).drop("rule_name")
 
 
-@query("duplicate_property_ids", _rules_sql() + "SELECT document_id, property_id, cast(n_others AS bigint) AS n_others, others FROM dup WHERE n_others > 0")
+@query("duplicate_property_ids", _rules_sql() + "SELECT document_id, property_id, cast(n_others AS bigint) AS n_others FROM dup WHERE n_others > 0")
 def duplicate_property_ids(spark, folder):
-    groups = rules.duplicate_groups(_records(spark, folder)).filter("n_others > 0")
-    return groups.select("document_id", "property_id", "n_others", F.array_join("others", ", ").alias("others"))
+    return rules.duplicate_members(_records(spark, folder)).select("document_id", "property_id", "n_others")
+
+
+@query("duplicate_names", _rules_sql() + "SELECT property_id, count(*) AS n_members, md5(string_agg(filename, ', ' ORDER BY filename, document_id)) AS names_hash FROM rec WHERE property_id <> '' GROUP BY 1 HAVING count(*) > 1")
+def duplicate_names(spark, folder):
+    records = _records(spark, folder)
+    named = rules.duplicate_names(records, rules.duplicate_members(records))
+    names = F.array_join(F.transform("members", lambda m: m["label"]), ", ")
+    return named.select("property_id", F.size("members").cast("bigint").alias("n_members"), F.md5(names).alias("names_hash"))
 
 
 @query("cross_document_results", _rules_sql() + "SELECT document_id, result, message FROM results WHERE rule_name = 'cross_document_consistency'")
@@ -208,16 +213,16 @@ def registry_page_past_end(spark, folder):
     "record_detail_counts",
     _rules_sql().replace("WITH reg_documents", "WITH reg_documents").rstrip()
     + """, reg_fields_long AS (""" + A.DUCK_SQL["reg_fields_long"] + """), f AS (SELECT document_id, count(*) AS n_fields FROM reg_fields_long WHERE field_value IS NOT NULL GROUP BY 1),
-    v AS (SELECT document_id, string_agg(rule_name || '=' || result, ' ' ORDER BY list_position(['mandatory_fields_present', 'survey_number_format', 'date_plausibility', 'cross_document_consistency'], rule_name)) AS verdicts FROM results WHERE result <> 'pass' GROUP BY 1)
+    v AS (SELECT document_id, string_agg(rule_name || '=' || result, ' ' ORDER BY list_position(['mandatory_fields_present', 'survey_number_format', 'date_plausibility', 'cross_document_consistency'], rule_name)) AS verdicts FROM results GROUP BY 1)
     SELECT d.document_id, coalesce(n_fields, 0) AS n_fields, coalesce(verdicts, '') AS verdicts FROM reg_documents d LEFT JOIN f USING (document_id) LEFT JOIN v USING (document_id)""",
 )
 def record_detail_counts(spark, folder):
     documents = A.view(spark, folder, "reg_documents").select("document_id")
-    fields = A.view(spark, folder, "reg_fields_long").filter("field_value IS NOT NULL").drop("field_no")
-    detail = registry.detail(documents, fields, _results(spark, folder).filter("result != 'pass'"))
+    detail = registry.detail(documents, A.view(spark, folder, "reg_fields_long").drop("field_no"), _results(spark, folder))
+    filled = F.filter("fields", lambda f: f["field_value"].isNotNull())
     verdicts = F.transform("validations", lambda v: F.concat(v["rule_name"], F.lit("="), v["result"]))
     return detail.select(
-        "document_id", F.size("fields").cast("bigint").alias("n_fields"), F.array_join(verdicts, " ").alias("verdicts")
+        "document_id", F.size(filled).cast("bigint").alias("n_fields"), F.array_join(verdicts, " ").alias("verdicts")
     )
 
 
@@ -385,6 +390,16 @@ def next_after_action(spark, folder):
     return found.select("document_id", _text("advance_to"))
 
 
+@query(
+    "next_after_action_whole_queue",
+    A.with_views("reg_documents")
+    + """SELECT document_id, cast(coalesce(lead(document_id) OVER w, CASE WHEN first_value(document_id) OVER w <> document_id THEN first_value(document_id) OVER w END) AS string) AS advance_to
+    FROM reg_documents WHERE status IN ('extracted', 'validated') WINDOW w AS (ORDER BY uploaded_at, document_id)""",
+)
+def next_after_action_whole_queue(spark, folder):
+    return reviews.next_after_action(A.view(spark, folder, "reg_documents")).select("document_id", _text("advance_to"))
+
+
 # ---- readings and text -------------------------------------------------------------------------------------
 
 
@@ -567,7 +582,7 @@ _EXTRACTED = f"""SELECT document_id,
 
 @query("extract_fields", A.with_views("reg_fields_wide") + _EXTRACTED)
 def extract_fields(spark, folder):
-    read = E.with_readings(_rendered(A.view(spark, folder, "reg_fields_wide")), "text")
+    read = E.with_readings(_rendered(A.view(spark, folder, "reg_fields_wide")), "text", label_chars=K.LABEL_VALUE_CHARS)
     short = {
         "property_id": "property", "mutawalli_name": "name", "survey_number": "survey", "registration_date": "date",
         "extent": "extent", "village": "village",
@@ -648,23 +663,37 @@ def json_repair(spark, folder):
     return got.select("document_id", F.col("answer").isNotNull().alias("parsed"), *K.ROMANISED_FIELDS)
 
 
+_PAGE_FILES = """WITH p AS (SELECT page_id // 4 AS document_id, CASE WHEN page_id % 12 < 4 AND page_id % 2 = 0 THEN page_id || '.md' WHEN page_id % 5 = 4 THEN page_id || '.json' ELSE page_id || '.HTML' END AS name, url AS text FROM pages),
+    k AS (SELECT *, suffix(lower(name), '.md') AS md FROM p WHERE regexp_matches(lower(name), '\\.(md|html|htm)$'))
+    """
+
+
 @query(
     "page_text",
-    """WITH p AS (SELECT page_id // 4 AS document_id, CASE WHEN page_id % 12 < 4 AND page_id % 2 = 0 THEN page_id || '.md' WHEN page_id % 5 = 4 THEN page_id || '.json' ELSE page_id || '.HTML' END AS name, url AS text FROM pages),
-    k AS (SELECT *, suffix(lower(name), '.md') AS md FROM p WHERE regexp_matches(lower(name), '\\.(md|html|htm)$'))
-    SELECT document_id, string_agg(text, chr(10) ORDER BY name) AS text FROM k WHERE md = (SELECT bool_or(md) FROM k k2 WHERE k2.document_id = k.document_id) GROUP BY 1""",
+    _PAGE_FILES + "SELECT document_id, string_agg(text, chr(10) ORDER BY name) AS text FROM k WHERE md = (SELECT bool_or(md) FROM k k2 WHERE k2.document_id = k.document_id) GROUP BY 1",
 )
 def page_text(spark, folder):
+    return readings.document_text(_page_files(spark, folder))
+
+
+@query(
+    "page_rows",
+    _PAGE_FILES + "SELECT document_id, name AS part, text FROM k WHERE md = (SELECT bool_or(md) FROM k k2 WHERE k2.document_id = k.document_id)",
+)
+def page_rows(spark, folder):
+    return readings.page_rows(_page_files(spark, folder))
+
+
+def _page_files(spark: SparkSession, folder: str) -> DataFrame:
     number = F.col("page_id").cast("string")
     name = (
         F.when((F.col("page_id") % 12 < 4) & (F.col("page_id") % 2 == 0), F.concat(number, F.lit(".md")))
         .when(F.col("page_id") % 5 == 4, F.concat(number, F.lit(".json")))
         .otherwise(F.concat(number, F.lit(".HTML")))
     )
-    pages = A.table(spark, folder, "pages").select(
+    return A.table(spark, folder, "pages").select(
         F.expr("page_id DIV 4").alias("document_id"), name.alias("name"), F.col("url").alias("text")
     )
-    return readings.document_text(pages).select("document_id", "text")
 
 
 @query(
@@ -962,7 +991,7 @@ def process_documents(spark, folder):
     documents = A.table(spark, folder, "documents").select(
         F.col("doc_id").alias("document_id"), F.concat(F.lit("scan_"), "lang", F.lit("_"), "doc_id", F.lit(".png")).alias("filename")
     )
-    done = P.process_documents(A.view(spark, folder, "reg_readings"), documents)
+    done = P.process_documents(A.view(spark, folder, "reg_readings"), documents, label_chars=K.LABEL_VALUE_CHARS)
     return done.select(
         "document_id", "engine", "script_type", "overall_confidence", F.size("notes").alias("n_notes"),
         *[F.col(f"{f}.value").alias(f) for f in K.FIELDS],
