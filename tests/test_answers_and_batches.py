@@ -10,6 +10,7 @@ from veriloom import schemas
 from veriloom.functions import extract as E
 from veriloom.functions import model_json as J
 from veriloom.operators import reviews as R
+from veriloom.plans import verify as P
 from veriloom.streaming import verify as V
 
 
@@ -65,3 +66,26 @@ def test_no_audit_rows_for_unknown_documents(spark):
     rows = [(i, d, "r", "correct", None, at, 30, {"village": "y"}) for i, d in (("r1", "a"), ("r2", "z"))]
     given = spark.createDataFrame(rows, schemas.REVIEWS)
     assert [r["review_id"] for r in R.apply(documents, fields, given)["corrections"].collect()] == ["r1"]
+
+
+def test_reviews_end_in_new_results_of_what_they_touched(spark):
+    documents = spark.createDataFrame([("a", "a.png", "validated"), ("b", "b.png", "validated")], "document_id string, filename string, status string")
+    rows = [(f"{d}-{f}", d, f, v, None, 0.3, "m") for d in "ab" for f, v in (("property_id", f"P{d}"), ("survey_number", "412/2"))]
+    fields = spark.createDataFrame(rows, schemas.EXTRACTED_FIELDS)
+    given = spark.createDataFrame([("r1", "a", "r", "correct", None, dt.datetime(2024, 1, 1), 30, {"property_id": "Pb"})], schemas.REVIEWS)
+    old = spark.createDataFrame([(d, "any", "pass", "m") for d in "ab"], "document_id string, rule_name string, result string, message string")
+    out = R.apply(documents, fields, given, old, as_of="2024-06-30")
+    got = {(r.document_id, r.rule_name): r.result for r in out["results"].collect()}
+    assert got.pop(("b", "any")) == "pass" and {d for d, _ in got} == {"a"} and len(got) == 4
+    assert got["a", "cross_document_consistency"] == "fail"
+    assert {r.document_id: r.status for r in out["documents"].collect()} == {"a": "reviewed", "b": "validated"}
+
+
+def test_a_document_without_reads_still_has_fields_and_results(spark):
+    documents = spark.createDataFrame([("a", "a_ur_1.png"), ("b", "b.png")], "document_id string, filename string")
+    reads = spark.createDataFrame([("b", "e", 1, "extent: 2 ha", 0.9, None)], "document_id string, engine string, priority int, text string, confidence double, error string")
+    out = P.verify(documents, reads, as_of="2024-06-30")
+    fields = {(r.document_id, r.field_name): r.field_value for r in out["fields"].collect()}
+    assert len(fields) == 12 and {v for (d, _), v in fields.items() if d == "a"} == {None} and fields["b", "extent"] == "2 ha"
+    assert out["results"].filter("document_id = 'a'").count() == 4
+    assert {r.document_id for r in out["documents"].filter("status = 'validated'").collect()} == {"a", "b"}

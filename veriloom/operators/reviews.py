@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from veriloom import constants as K
 from veriloom.functions import display as V
-from veriloom.operators import skew
-from veriloom.operators.registry import derived_id
+from veriloom.functions.extract import to_readings
+from veriloom.operators import rules, skew
+from veriloom.operators.registry import derived_id, replace_children
 
 
 def split_known(reviews: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -80,21 +81,34 @@ def reviewed_documents(documents: DataFrame, reviews: DataFrame) -> DataFrame:
     )
 
 
-def apply(documents: DataFrame, fields: DataFrame, reviews: DataFrame) -> dict[str, DataFrame]:
+def apply(
+    documents: DataFrame, fields: DataFrame, reviews: DataFrame, results: DataFrame | None = None, **validation
+) -> dict[str, DataFrame]:
     """Apply a batch of reviews.
 
     Gives the new ``documents`` and ``fields``, the accepted ``reviews``, the ``corrections`` audit rows, the
-    ``touched`` document ids to validate again, and ``rejects`` for unknown documents.
+    ``touched`` document ids, and ``rejects`` for unknown documents. ``validation`` (``as_of`` and other arguments of
+    ``rules.validate``) adds ``revalidated``, the results of touched documents with their new values, checked against
+    all documents; with ``results`` given as well, these replace theirs there. The status is the review's, whatever the
+    rules say.
     """
     accepted, rejects = split_known(reviews, documents)
-    return {
+    changed = corrected_fields(fields, accepted)
+    touched = accepted.filter(F.size("corrections") > 0).select("document_id").distinct()
+    out = {
         "documents": reviewed_documents(documents, accepted),
-        "fields": corrected_fields(fields, accepted),
+        "fields": changed,
         "reviews": accepted,
         "corrections": correction_audit(accepted, fields),
-        "touched": accepted.filter(F.size("corrections") > 0).select("document_id").distinct(),
+        "touched": touched,
         "rejects": rejects,
     }
+    if validation:
+        values = to_readings(changed).select("document_id", *[F.col(f"{f}.value").alias(f) for f in K.FIELDS])
+        out["revalidated"] = rules.revalidate(touched, rules.records(documents, values), **validation)
+        if results is not None:
+            out["results"] = replace_children(results, out["revalidated"], touched)
+    return out
 
 
 def history(reviews: DataFrame, id_col: str = "id", slice_rows: int = skew.SLICE_ROWS) -> DataFrame:

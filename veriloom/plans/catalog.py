@@ -864,6 +864,25 @@ def apply_reviews(spark, folder):
     return out["fields"].join(statuses, "document_id").select("document_id", "field_name", "field_value", "confidence", "source", "status")
 
 
+_CORRECTED = (
+    A.with_views("reg_documents", "reg_fields_wide", "reg_reviews", "reg_fields_long") + _EDITS
+    + """, lv AS (SELECT document_id, field_name, arg_max(v, {'t': reviewed_at, 'i': review_id}) AS v FROM edits GROUP BY 1, 2), newrec AS (SELECT d.document_id, d.filename, """
+    + ", ".join(f"coalesce((SELECT any_value(v) FROM lv WHERE lv.document_id = d.document_id AND field_name = '{f}'), w.{f}) AS {f}" for f in K.FIELDS)
+    + " FROM reg_documents d LEFT JOIN reg_fields_wide w USING (document_id))"
+)
+
+
+@query(
+    "apply_reviews_results",
+    _rules_sql("SELECT * FROM newrec WHERE document_id IN (SELECT document_id FROM edits)", "SELECT * FROM newrec").replace(
+        A.with_views("reg_documents", "reg_fields_wide"), _CORRECTED, 1
+    ) + "SELECT * FROM results",
+)
+def apply_reviews_results(spark, folder):
+    documents = A.view(spark, folder, "reg_documents")
+    return reviews.apply(documents, _field_rows(spark, folder), _reviews(spark, folder), as_of=AS_OF)["revalidated"]
+
+
 _GATE = (
     A.with_views("reg_documents", "reg_requests")
     + f""", r AS (SELECT q.*, d.reupload_count AS used, {_REASON} AS file_reason FROM reg_requests q LEFT JOIN reg_documents d USING (document_id)),
