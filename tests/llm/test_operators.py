@@ -126,6 +126,36 @@ def test_simhash_stage_keeps_one_of_each_group(spark):
     assert simhash.stage(spark, docs.limit(0), "").count() == 0
 
 
+def test_simhash_stage_groups_edited_copies(spark):
+    rng = random.Random(17)
+    texts = []
+    for n in (20, 60, 100, 200, 400, 1000):
+        base = text_of(rng, n).split()
+        for edits in (0, 1, 1, 2, 3, 5, 8, 12, 20):
+            copy = list(base)
+            for at in rng.sample(range(n), edits):
+                copy[at] = f"edit{rng.randrange(10**9)}"
+            texts.append(" ".join(copy))
+    common = text_of(rng, 30)
+    texts += [f"{text_of(rng, 30)} {common}" for _ in range(40)] + [text_of(rng, k) for k in (1, 4, 5, 6)] + ["", None]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOCS)
+
+    def bag(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    bags, parent, near = [bag(t) for t in texts], list(range(len(texts))), 0
+    for _ in range(4):
+        for i, a in enumerate(bags):
+            for j, b in enumerate(bags):
+                if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                    near += 0.8 <= len(a & b) / max(1, len(a | b)) < 0.95
+                    parent[i] = parent[j] = min(parent[i], parent[j])
+    assert near > 40
+    assert sorted(r.doc_id for r in simhash.stage(spark, docs, "").collect()) == [i for i, p in enumerate(parent) if i == p]
+
+
 def test_packing_is_a_round_trip(corpus):
     docs, _ = corpus
     from public_tokenizers import path

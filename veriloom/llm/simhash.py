@@ -22,31 +22,48 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import connected_components, stored
+from veriloom.llm.common import connected_components, small, stored
 
 SHINGLE_WORDS = 3
 RADIUS = 2
 HASH_SEED = 42
 CHUNK = 1 << 16
+STAGE_WORDS = 5
+STAGE_SIMILARITY = 0.8
+SAMPLED = 16
+CROWDED = 4
+MOST_CROWDED = 1 << 17
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     """Majority bits over the shingle hashes of one text, as an unsigned number."""
+    counts, n = np.zeros(64, np.int64), 0
+    for part in _hashes(text, words):
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+        n += len(part)
+    return int(sum(1 << int(i) for i in np.flatnonzero(counts * 2 > n)))
+
+
+def _hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of one text in order, a chunk at a time; none for a blank text."""
     tokens = (text or "").encode("utf-8", "replace").lower().split()
     if not tokens:
-        return 0
+        return
     flat = b" ".join(tokens)
     n = max(1, len(tokens) - words + 1)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[min(words, len(tokens)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
     for at in range(0, n, CHUNK):
-        part = [digest(flat[a:b], HASH_SEED) for a, b in zip(starts[at : at + CHUNK], stops[at : at + CHUNK], strict=True)]
-        bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(sum(1 << int(i) for i in np.flatnonzero(counts * 2 > n)))
+        yield np.array([digest(flat[a:b], HASH_SEED) for a, b in zip(starts[at : at + CHUNK], stops[at : at + CHUNK], strict=True)], "<u8")
+
+
+def shingle_set(text: str | None, words: int = STAGE_WORDS) -> np.ndarray:
+    """The distinct shingle hashes of one text, sorted, as signed numbers."""
+    parts = list(_hashes(text, words))
+    return np.unique(np.concatenate(parts).view(np.int64)) if parts else np.zeros(0, np.int64)
 
 
 def with_fingerprints(documents: DataFrame, text: str = "text", words: int = SHINGLE_WORDS) -> Column:
@@ -125,13 +142,101 @@ def query(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _shingle_sets(text: Column) -> Column:
+    @F.pandas_udf("array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([shingle_set(t) for t in batch], dtype=object)
+
+    return run(text)
+
+
+def _crowded(documents: DataFrame) -> np.ndarray:
+    """Shingles met often in a sample of the documents. They decide an order only, so a sample loses no pair."""
+    sample = documents.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
+    counts = stored(sample.select(F.explode(_shingle_sets(F.col("text"))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CROWDED))
+    return np.sort(counts.orderBy(F.desc("n"), "h").limit(MOST_CROWDED).select("h").toPandas()["h"].to_numpy(np.int64))
+
+
+def _prefixes(text: Column, crowded: np.ndarray, similarity: float) -> Column:
+    """A struct of a set's hash, its size, its prefix: the least shingles, crowded ones last, and if it ends in one.
+
+    Of two sets at least ``similarity`` alike, both prefixes share a shingle whatever the order is.
+    """
+
+    @F.pandas_udf("set_id long, size int, prefix array<long>, late boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: list[tuple] = []
+            for text in batch:
+                found = shingle_set(text)
+                n = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1 if len(found) else 0
+                last = np.isin(found, crowded)
+                digest = xxhash.xxh64_intdigest(found.tobytes(), HASH_SEED)
+                out.append((_signed(digest), len(found), np.concatenate([found[~last], found[last]])[:n], n > (~last).sum()))
+            yield pd.DataFrame(out, columns=["set_id", "size", "prefix", "late"])
+
+    return run(text)
+
+
+def similar_groups(documents: DataFrame, similarity: float = STAGE_SIMILARITY) -> DataFrame:
+    """``(doc_id, hash, component)`` per row of ``documents(doc_id, text, hash)``: groups linked by similar pairs.
+
+    Pairs are those whose sets of shingles have a Jaccard similarity of at least ``similarity``, with certainty. What
+    two sets share is at most what their prefixes share and what the set whose prefix ends first has after it, so pairs
+    whose prefixes share too little are passed over and all others compared exactly. First the members of a bucket are
+    held against one of them, that which shares most of its own prefix; pairs are listed only between members that this
+    leaves in different groups, so a large group of near copies is not paired.
+    """
+    crowded = _crowded(documents)
+    marked = stored(documents.withColumn("_p", _prefixes(F.col("text"), crowded, similarity)).select("doc_id", "hash", "_p.*"))
+    sets = marked.groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("size", "prefix", "late")], F.min("hash").alias("hash"))
+    end = F.struct("late", F.element_at("prefix", -1).alias("h")).alias("end")
+    rows = sets.filter("size > 0").select("set_id", "size", "hash", F.size("prefix").alias("own"), end, F.explode("prefix").alias("h"))
+    buckets = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    rows = stored(rows.join(buckets, "h", "left_semi"))
+    share = rows.groupBy("set_id").agg((F.count(F.lit(1)) / F.first("own")).alias("share"))
+    rows = rows.join(share, "set_id").withColumn("s", F.struct("set_id", "size", "hash", "own", "end")).select("h", "share", "s")
+
+    def alike(met: DataFrame) -> DataFrame:
+        """Similar pairs ``(u, v)`` from a row with both sets, ``a`` and ``b``, for each shingle their prefixes share."""
+        keys = [F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in "ab" for c in ("set_id", "size", "hash", "own", "end")]
+        counted = met.select(*keys)
+        counted = counted.groupBy(*counted.columns).agg(F.count(F.lit(1)).alias("n"))
+        after = F.when(F.col("a_end") <= F.col("b_end"), F.col("a_size") - F.col("a_own")).otherwise(F.col("b_size") - F.col("b_own"))
+        asked = F.lit(similarity / (1 + similarity)) * (F.col("a_size") + F.col("b_size"))
+        pairs = stored(counted.filter(F.col("n") + after >= asked - 1e-6).select("a_set_id", "a_hash", "b_set_id", "b_hash"))
+        wanted = pairs.select(F.explode(F.array(*[F.struct(F.col(f"{k}_set_id").alias("set_id"), F.col(f"{k}_hash").alias("hash")) for k in "ab"])).alias("w"))
+        wanted = small(stored(wanted.select("w.*").distinct()))
+        texts = documents.select("hash", "text").join(wanted, "hash").dropDuplicates(["set_id"])
+        whole = stored(texts.select("set_id", _shingle_sets(F.col("text")).alias("hs")))
+        u, v = (whole.select(F.col("set_id").alias(k), F.col("hs").alias(f"{k}_hs")) for k in "uv")
+        both = pairs.select(F.col("a_set_id").alias("u"), F.col("b_set_id").alias("v")).join(u, "u").join(v, "v")
+        shared = F.size(F.array_intersect("u_hs", "v_hs"))
+        return stored(both.filter(shared >= similarity * (F.size("u_hs") + F.size("v_hs") - shared) - 1e-9).select("u", "v"))
+
+    sizes = F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size") - 1e-9
+    hubs = rows.groupBy("h").agg(F.max(F.struct("share", "s")).alias("m")).select("h", F.col("m.s").alias("b"))
+    edges = alike(rows.select("h", F.col("s").alias("a")).join(hubs, "h").filter((F.col("a.set_id") != F.col("b.set_id")) & sizes))
+    components = stored(connected_components(edges))
+
+    placed = rows.withColumn("id", F.col("s.set_id")).join(components, "id", "left").select("h", "s", F.coalesce("component", "id").alias("component"))
+    split = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("h")
+    left = stored(placed.join(split, "h", "left_semi").select("h", F.col("s").alias("a"), F.col("component").alias("a_component")))
+    right = left.select("h", F.col("a").alias("b"), F.col("a_component").alias("b_component"))
+    apart = (F.col("a.set_id") < F.col("b.set_id")) & (F.col("a_component") != F.col("b_component"))
+    components = connected_components(edges.unionByName(alike(left.join(right, "h").filter(apart & sizes))))
+    named = marked.select("doc_id", "hash", "set_id").join(components.withColumnRenamed("id", "set_id"), "set_id", "left")
+    return named.select("doc_id", "hash", F.coalesce("component", "set_id").alias("component"))
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group, that with the least id; of rows that repeat its id and text, one.
 
     Null ids come last, so a group without any id keeps a document too; of different texts under the chosen id in one
     group the one with the least hash stays.
     """
-    found = near_duplicates(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")), carried=("hash",))
+    found = similar_groups(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")).alias("k")
     keep = found.groupBy("component").agg(least).select("k.*")
 
