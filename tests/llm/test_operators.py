@@ -311,6 +311,17 @@ def test_urls(spark):
     assert urls.judged(df.limit(0)).count() == 0
 
 
+def test_url_threshold_is_the_same_rule_at_every_size():
+    for n in (10, 1000):
+        good, bad = np.linspace(-1, -0.6, n).tolist(), np.linspace(0.4, 1, n).tolist()
+        assert urls.best_threshold(good, bad) == 0.0
+    rng = random.Random(6)
+    for n in (5, 60, 450):
+        good, bad = ([round(rng.gauss(m, 1), 2) for _ in range(n + m)] for m in (0, 1))
+        want = min(sorted({0.0, *good, *bad}), key=lambda p: (sum(g > p for g in good) * len(bad) + sum(b <= p for b in bad) * len(good), abs(p)))
+        assert urls.best_threshold(good, bad) == want
+
+
 def test_embeddings_match_brute_force(spark):
     rng = np.random.default_rng(4)
     centre = rng.standard_normal((6, 32))
