@@ -284,6 +284,21 @@ def test_quotes_link_to_what_they_quote(spark):
     assert quoting.linked(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_short_quotes_link_and_threads_are_ordered(spark):
+    rows = [
+        (5, 0, "u", "Is it far?"), (5, 1, "a", "> Is it far?\nYes."), (5, 2, "u", "> Yes.\nThanks"), (5, 3, "a", "> Thanks\n42 km"),
+        (5, 4, "u", "> Is it far?\nNo idea, sorry"), (5, 2, "u", "> Yes.\nThanks"), (None, 0, "u", "Yes."), (6, 0, "u", "a new thread"),
+    ]
+    found = quoting.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(found) == len(rows)
+    by = {(r.conv_id, r.turn): (r.parent_turn, r.depth, r.thread_turn, r.levels_linked, r.position) for r in found if r.conv_id}
+    assert by == {
+        (5, 0): (None, 0, 0, 0, 0), (5, 1): (0, 1, 0, 1, 1), (5, 4): (0, 1, 0, 1, 2), (5, 2): (1, 2, 0, 1, 3), (5, 3): (2, 3, 0, 1, 4),
+        (6, 0): (None, 0, 0, 0, 0),
+    }
+    assert [r.position for r in found if r.conv_id is None] == [None]
+
+
 def test_main_text():
     long = "Many words stand here in a row to make a paragraph that is long enough. " * 3
     page = (

@@ -5,13 +5,14 @@ hashed, and joined to the hashed own lines of all messages: the earliest message
 else the earliest of any conversation. The message that most lines of a level point at is the one quoted at this level;
 level one gives the parent. A line that announces a quote goes with it. What is left is the message's own text.
 
-A reply's depth is its number of steps to the message that starts its thread, found by doubling pointers; threads are
-ordered by depth, conversation and turn. Lines said by very many messages are reduced to their earliest sayer before any
+A reply's depth is its number of steps to the message that starts its thread, found by doubling pointers; a message's
+position is its place in its thread, counted from zero in the order of depth, conversation and turn. Lines said by very many messages are reduced to their earliest sayer before any
 join, so no group of equal lines is paired.
 
 Defined results: null texts are blank messages; nested quotes without a known origin count as quoted lines without a link;
-a message never links to itself or to a later one; null conversations or turns link to nothing; repeated rows give a row
-each; ties go to the earliest message; an empty table gives an empty result.
+a message never links to itself or to a later one; null conversations or turns link to nothing and have no position;
+repeated rows give a row each and share a position; ties go to the earliest message; lines of any length link; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.llm.common import stored, table
+from veriloom.operators.skew import ranked
 
 MARKS = re.compile(r"^\s*((?:>\s?)+)(.*)$", re.S)
 ANNOUNCES = re.compile(r"^\s*(?:on\b.+\bwrote|am\b.+\bschrieb.*|le\b.+\ba écrit|el\b.+\bescribió)\s*:\s*$", re.I)
-LEAST_LINE_CHARS = 8
+SLICE_ROWS = 20_000
 
 
 def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
@@ -59,7 +61,7 @@ def _parsed(messages: DataFrame) -> DataFrame:
             found = [parse(t) for t in batch]
             yield pd.DataFrame({
                 "body": [b for b, _ in found],
-                "said": [[n for n in map(normalised, b.splitlines()) if len(n) >= LEAST_LINE_CHARS] for b, _ in found],
+                "said": [[n for n in map(normalised, b.splitlines()) if n] for b, _ in found],
                 "levels": [[level for level, _ in q] for _, q in found], "lines": [[line for _, line in q] for _, q in found],
             })
 
@@ -68,7 +70,7 @@ def _parsed(messages: DataFrame) -> DataFrame:
 
 
 def linked(messages: DataFrame) -> DataFrame:
-    """One row per message: body, parent, number of quoted lines and of levels linked, thread and depth."""
+    """One row per message: body, parent, number of quoted lines and of levels linked, thread, depth and position."""
     parsed = stored(_parsed(messages.select("conv_id", "turn", "role", F.col("text"))))
     named = parsed.filter("conv_id is not null and turn is not null")
     quotes = named.filter("size(levels) > 0").select("conv_id", "turn", F.explode(F.arrays_zip("levels", "lines")).alias("q"))
@@ -97,13 +99,17 @@ def linked(messages: DataFrame) -> DataFrame:
             break
         up = longer.drop("moved")
     threads = up.join(parents, ["conv_id", "turn"])
-    out = parsed.join(threads, ["conv_id", "turn"], "left")
-    return out.select(
+    out = parsed.join(threads, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", "role", "body", F.col("parent.c").alias("parent_conv"), F.col("parent.t").alias("parent_turn"),
         F.size("levels").cast("long").alias("quoted_lines"), F.coalesce("n_linked", F.lit(0)).alias("levels_linked"),
         F.coalesce("c", "conv_id").alias("thread_conv"), F.coalesce("t", F.when(F.col("c").isNull(), F.col("turn"))).alias("thread_turn"),
         F.coalesce("depth", F.lit(0)).alias("depth"),
     )
+    thread = ["thread_conv", "thread_turn"]
+    places = out.filter("conv_id is not null and turn is not null").select("conv_id", "turn", "depth", *thread).distinct()
+    places = stored(places.withColumn("_id", F.xxhash64("conv_id", "turn")))
+    places = ranked(places, thread, ["depth", "conv_id", "turn"], "_id", rank="position", slice_rows=SLICE_ROWS)
+    return out.join(places.select("conv_id", "turn", (F.col("position") - 1).alias("position")), ["conv_id", "turn"], "left")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
