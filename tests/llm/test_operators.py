@@ -203,6 +203,34 @@ def test_vector_limits_hold_without_cutting():
     assert all(sum(p[2] for p in b) <= 100 and len(b) <= 4 and sum(loss[p[0]] for p in b) <= 30 for b in bins.values())
 
 
+def test_long_documents_are_cut_into_full_sequences():
+    for tokens in (5000, 40_000, 1_000_000):
+        placed = []
+        packer = packing.Packer((2048, 256, 2048), 1 << 19, lambda *p: placed.append(p))
+        packer.add("long", tokens, tokens - 1)
+        assert [p[1:3] for p in placed] == [(at, 2048) for at in range(0, tokens - 2048, 2048)] and packer.waiting <= 2048
+        packer.close()
+        assert sum(p[2] for p in placed) == tokens and len({p[3] for p in placed[: tokens // 2048]}) == tokens // 2048
+
+
+def test_a_loss_limit_binds_on_cut_documents():
+    rng, placed = random.Random(4), []
+    packer = packing.Packer((100, 50, 30), 2000, lambda *p: placed.append(p))
+    items = {i: (n := rng.choice((5, 40, 90, 700)), rng.choice((n // 5, n - 1))) for i in range(120)}
+    for i, (n, loss) in items.items():
+        packer.add(i, n, loss)
+    packer.close()
+    sums, seen = collections.defaultdict(lambda: [0, 0, 0]), collections.Counter()
+    for key, start, size, sequence, offset in placed:
+        n, loss = items[key]
+        assert offset == sums[sequence][0]
+        for k, used in enumerate((size, 1, max(0, start + size - max(start, n - loss)))):
+            sums[sequence][k] += used
+        seen[key] += size
+    assert seen == {i: n for i, (n, _) in items.items()}
+    assert all(used <= limit for s in sums.values() for used, limit in zip(s, (100, 50, 30), strict=True))
+
+
 def test_language_model_base_is_exact(corpus):
     docs, _ = corpus
     docs = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])

@@ -114,29 +114,38 @@ class Packer:
         self.limits, self.window, self.emit, self.cut = limits, window, emit, cut
         self.classes: dict[tuple[int, int], deque] = {}
         self.waiting = 0
-        self.sequence = first_sequence
+        self.sequence, self.unused = first_sequence, first_sequence + 1
         self._open()
 
     def _open(self) -> None:
         self.free = list(self.limits)
         self.offset = 0
 
+    def _next(self) -> None:
+        self.sequence, self.unused = self.unused, self.unused + 1
+        self._open()
+
     def _class(self, tokens: int, loss: int) -> tuple[int, int]:
         step = max(1, self.limits[0] // 64)
         return -(-tokens // step), -(-loss // step)
 
     def add(self, key, tokens: int, loss: int, start: int = 0) -> None:
-        """Queue an example; where cutting is allowed, full sequences are cut off a long one at once."""
+        """Queue an example; where cutting is allowed, full sequences are cut off a long one and emitted at once.
+
+        The last ``loss`` tokens are those that bear loss, so what a piece has of them is known.
+        """
         if not self.cut and (tokens > self.limits[0] or loss > self.limits[2]):
             raise ValueError(f"an example of {tokens} tokens, {loss} with loss, fits no sequence")
-        while self.cut and tokens > self.limits[0]:
-            size = self.limits[0]
-            if loss > self.limits[2]:
-                size = max(1, min(size, size * self.limits[2] // loss))
-            part = min(loss, size)
-            self.classes.setdefault(self._class(size, part), deque()).append((key, start, size, part))
+        while self.cut and (tokens > self.limits[0] or loss > self.limits[2]):
+            size = min(self.limits[0], tokens - loss + self.limits[2])
+            part = max(0, size - (tokens - loss))
+            if size == self.limits[0]:
+                self.emit(key, start, size, self.unused, 0)
+                self.unused += 1
+            else:
+                self.classes.setdefault(self._class(size, part), deque()).append((key, start, size, part))
+                self.waiting += size
             start, tokens, loss = start + size, tokens - size, loss - part
-            self.waiting += size
         if tokens:
             self.classes.setdefault(self._class(tokens, loss), deque()).append((key, start, tokens, loss))
             self.waiting += tokens
@@ -159,18 +168,16 @@ class Packer:
         elif self.cut and self.free[0] and self.free[1] and self.free[2] and self.waiting:
             kind = max(self.classes)
             key, start, tokens, loss = self._take(kind)
-            size = min(tokens, self.free[0], self.free[2])
-            part = min(loss, size)
+            size = min(tokens, self.free[0], tokens - loss + self.free[2])
+            part = max(0, size - (tokens - loss))
             self._place(key, start, size, part)
             if tokens > size:
                 self.classes.setdefault(self._class(tokens - size, loss - part), deque()).appendleft((key, start + size, tokens - size, loss - part))
                 self.waiting += tokens - size
         else:
-            self.sequence += 1
-            self._open()
+            self._next()
         if not self.free[0] or not self.free[1] or not self.free[2]:
-            self.sequence += 1
-            self._open()
+            self._next()
 
     def _take(self, kind):
         queue = self.classes[kind]
@@ -193,8 +200,7 @@ class Packer:
         if self.offset:
             if not self.waiting:
                 return
-            self.sequence += 1
-            self._open()
+            self._next()
         while self.waiting:
             self.limits_whole, self.limits = self.limits, (1 << (self.waiting.bit_length() - 1), *self.limits[1:])
             self._open()
@@ -212,7 +218,8 @@ def pack(
 ) -> DataFrame:
     """Tokenise ``documents(doc_id, text)`` and pack them; one row per piece.
 
-    A document's ids are those of its text and then ``CLOSING_ID``. Its loss-bearing tokens are all but the first.
+    A document's ids are those of its text and then ``CLOSING_ID``. Its loss-bearing tokens are all but the first, so
+    the loss limit, equal to that of tokens by default, binds only where a caller gives a lower one.
     """
     path = public_tokenizers.path(tokenizer)
 
