@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from veriloom.llm import decontam, html, importance, lm, packing, quoting, simhash, toxicity, urls, vectors
+from veriloom.llm import (
+    bestfit, conversations, decontam, html, importance, lm, packing, quoting, simhash, toxicity, urls, vectors, whitening,
+)
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,5 +17,8 @@ QUERIES = {
     "op8_simhash_near_duplicates": simhash.query,
     "op9_url_filter": urls.query,
     "op10_embedding_near_duplicates": vectors.query,
+    "op11_conversation_repair": conversations.query,
+    "op12_best_fit_packing": bestfit.query,
+    "op13_embedding_whitening": whitening.query,
 }
 ORACLES: dict[str, str] = {}
