@@ -19,7 +19,9 @@ repeated rows and null ids are packed as they come; ties go by number; an empty
 from __future__ import annotations
 
 import re
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,72 +30,106 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from veriloom.llm.common import stored, table
 
 LIMIT = 1024
 CLOSING_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-CACHE_WORDS = 100_000
+CACHE_WORDS = 250_000
 LONGEST_WORD = 48
 ROWS_PER_TASK = 50_000
 PIECES = "item long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class ByteEncoder:
-    """Ids of whole texts, with those of each blank-led word remembered.
+    """Ids of whole texts, with those of words remembered.
 
     Exact: this tokenizer never joins a word to the blank run before its own leading blank, so a text may be cut at each
-    single blank. Texts in which that blank lies inside a run of blanks, or that name a special token, are encoded whole.
-    New words are encoded together and told apart by the bytes that their ids stand for.
+    single blank, and around a line end between two words. Texts in which that blank lies inside a run of blanks, or that
+    name a special token, are encoded whole. It also parts a word's letters from the marks behind them, so letters that
+    have long been letters and plain marks go to its merges directly.
     """
 
     #: A single blank inside a run of blanks, by the widest notion of what is blank.
     RUN = re.compile("[{0}] (?:[{0}]|$)".format("\\s" + "".join(map(chr, (0x85, 0x180E, 0x200B, 0xFEFF)))))
+    MARKS = string.punctuation
+    LETTERS_TO = chr(0x180)
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         self.whole = Tokenizer.from_file(path)
-        vocabulary = self.whole.get_vocab(with_added_tokens=False)
-        self.bytes_of = np.zeros(max(vocabulary.values()) + 2, np.int64)
-        for token, number in vocabulary.items():
-            self.bytes_of[number] = len(token)  # one letter stands for one byte
+        self.merge = self.whole.model.tokenize
+        spelt = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = str.maketrans({c: spelt.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xA0, 0x180))})
+        self.blank = spelt.pre_tokenize_str(" ")[0][0]
+        self.line_end = self._ids("\n")
         self.cache_words = cache_words
+        self.known_marks: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 512):
-            part = words[at : at + 512]
-            ids = self._ids("".join(part))
-            ends = np.cumsum(self.bytes_of[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(w.encode()) for w in part]), side="left") + 1
-            raw, begin = ids.tobytes(), 0
-            for word, cut in zip(part, cuts.tolist(), strict=True):
-                self.cache[word] = raw[begin : 4 * cut]
-                begin = 4 * cut
+        self.older: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _merged(self, spelt: str) -> bytes:
+        return array("I", [t.id for t in self.merge(spelt)]).tobytes()
+
+    def _marks(self, marks: str) -> bytes:
+        found = self.known_marks.get(marks)
+        if found is None:
+            found = self._merged(marks)
+            if len(marks) <= 2:  # at most about a thousand
+                self.known_marks[marks] = found
+        return found
+
+    def _letters(self, word: str) -> bool:
+        return word.isalpha() and (word.isascii() or max(word) < self.LETTERS_TO)
+
+    def _spelt(self, word: str) -> str:
+        return word if word.isascii() else word.translate(self.spelling)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word with a blank before it."""
+        found = self.older.get(word)
+        if found is None:
+            stem = word.rstrip(self.MARKS)
+            if len(word) > LONGEST_WORD or not self._letters(stem):
+                return self._other(word)
+            if len(stem) == len(word):
+                found = self._merged(self.blank + self._spelt(word))
+            else:
+                found = (self.cache.get(stem) or self._word(stem)) + self._marks(word[len(stem) :])
+        self.cache[word] = found
+        return found
+
+    def _other(self, word: str) -> bytes:
+        lines = word.split("\n")
+        if len(lines) > 1 and all(lines) and word.count("\n") == sum(map(str.isspace, word)):
+            found = [self.cache.get(lines[0]) or self._word(lines[0])]
+            for line in lines[1:]:
+                stem = line.rstrip(self.MARKS)
+                if self._letters(stem):
+                    found.append(self._merged(self._spelt(stem)) + (self._marks(line[len(stem) :]) if len(stem) < len(line) else b""))
+                else:
+                    found.append(self._ids(line))
+            return self.line_end.join(found)
+        found = self._ids(" " + word)
+        if len(word) <= LONGEST_WORD:
+            self.cache[word] = found
+        return found
 
     def __call__(self, text: str) -> bytes:
         if "<|" in text or self.RUN.search(text):
-            return self._ids(text).tobytes()
+            return self._ids(text)
         first, *rest = text.split(" ")
-        words = [" " + w for w in rest]
-        cache = self.cache
-        try:
-            body = b"".join([cache[w] for w in words])
-        except KeyError:
-            if len(cache) > self.cache_words:
-                cache.clear()
-            # A word that begins with other white space would lose its leading blank to the word before when joined.
-            new = [w for w in dict.fromkeys(words) if w not in cache]
-            short = [w for w in new if len(w) <= LONGEST_WORD]
-            alone = {w for w in short if not w[1:2].strip() or w[-1:].isspace()}
-            self._learn([w for w in short if w not in alone])
-            cache.update((w, self._ids(w).tobytes()) for w in alone)
-            body = b"".join([cache[w] if w in cache else self._ids(w).tobytes() for w in words])
-        return (self._ids(first).tobytes() if first else b"") + body
+        if len(self.cache) > self.cache_words:  # what is in use moves on from the older words when it is met
+            self.cache, self.older = {}, self.cache
+        body = list(map(self.cache.get, rest))
+        if None in body:
+            learn = self._word
+            body = [ids or learn(word) for ids, word in zip(body, rest, strict=True)]
+        return (self._ids(first) if first else b"") + b"".join(body)
 
 
 def pieces(documents: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT) -> DataFrame:
