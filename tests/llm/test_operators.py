@@ -383,3 +383,34 @@ def test_embeddings_match_brute_force(spark):
         assert all(got[o[0]].n_links == 0 and got[o[0]].kept for o in odd)
         assert {got[300 + i].component_id for i in range(30)} == {got[0].component_id}
     assert vectors.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_pipeline_keeps_clean_documents_and_drops_what_its_stages_find(spark, tmp_path):
+    """Nulls, repeats, extra and clashing columns, a toxic text, near copies and a benchmark passage in one small corpus."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    item = text_of(rng, 40)
+    clean = [text_of(rng, rng.randint(40, 90)) for _ in range(240)]
+    docs = [(i, t, "en", "a", len(t), "x", 0.5) for i, t in enumerate(clean)]
+    docs += [(1000 + i, text_of(rng, 60, [rng.choice(NASTY) for _ in range(9)]), "en", "a", 1, "x", 0.5) for i in range(60)]
+    docs += [(2000, f"{clean[0]} {item} {clean[1]}", "en", "b", 1, "x", None)]
+    docs += [(2001, clean[5], "en", "b", 1, "x", None), (2002, clean[6] + " more", "en", "b", 1, None, None), docs[7], (2003, None, None, None, None, None, None), (None, "a text without any id", "en", "b", 1, "x", 1.0)]
+    labels = [(i, 1, 0) for i in range(240)] + [(1000 + i, 1, 1) for i in range(60)]
+    spark.createDataFrame(docs, f"{DOCS}, toxicity string, log_weight double").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {r.doc_id for r in pieces}
+    assert not kept & {2000, 2001, 2002} and len(kept & set(range(240))) >= 238
+    assert sum(1000 <= d < 1060 for d in kept if d is not None) <= 12
+    assert None in kept and 2003 in kept
+    whole = collections.Counter()
+    for r in pieces:
+        whole[r.doc_id] += r.length
+    assert all(whole[r.doc_id] == r.doc_tokens for r in pieces)
+
+    empty = tmp_path / "empty"
+    for name, kind in (("documents", DOCS), ("labels", LABELS), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kind).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).collect() == []

@@ -108,7 +108,8 @@ def contained(
         F.explode(F.array(*[F.struct(F.lit(i).alias("block"), _block("fp", i).alias("value")) for i in range(BLOCKS)])).alias("b"),
     ).select(*window, "fp", "b.block", "b.value")
     candidates = (
-        asked.join(index, ["block", "value"])
+        # thousands of rows an item, which no size estimate foresees: never broadcast
+        asked.join(index.hint("merge"), ["block", "value"])
         .filter((F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius) & (F.col("length") <= F.col("item_words")))
         .select(*window, "item_id").distinct()
     )

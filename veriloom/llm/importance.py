@@ -33,8 +33,9 @@ TARGET_SAMPLE = 20_000
 CALIBRATION_SAMPLE = 4_000
 SMOOTHING = 1.0
 PRIOR_SHARE = 0.1
+#: Numbers of words met by the running task; forgotten when it ends, as workers outlive it.
 WORDS: dict[str, int] = {}
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 
 
 def _shape(word: str) -> int:
@@ -114,6 +115,7 @@ def _counts(texts: DataFrame) -> np.ndarray:
         for batch in batches:
             for block in _blocks(batch["text"]):
                 total += np.bincount(ngrams(block)[0].ravel(), minlength=BUCKETS)
+        WORDS.clear()
         found = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": found, "n": total[found]})
 
@@ -137,6 +139,7 @@ def weighted(documents: DataFrame, ratio: np.ndarray) -> DataFrame:
                 sums.append(running[stops] - running[starts])
                 sizes.append(3 * (stops - starts))
             yield pd.DataFrame({"log_weight": np.concatenate(sums), "n_grams": np.concatenate(sizes)})
+        WORDS.clear()
 
     return documents.withColumn("_w", run(F.col("text"))).withColumns({"log_weight": F.col("_w.log_weight"), "n_grams": F.col("_w.n_grams")}).drop("_w")
 

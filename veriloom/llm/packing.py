@@ -32,7 +32,7 @@ MAX_SEGMENTS = 256
 CLOSING_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 WINDOW_TOKENS = 1 << 19
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 400_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -54,6 +54,9 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cache_words = cache_words
+        self.forget()
+
+    def forget(self) -> None:
         self.cache: dict[str, bytes] = {"": b""}
 
     def _one(self, word: str) -> bytes:
@@ -101,8 +104,8 @@ class WordEncoder:
             return b"".join([cache[w] for w in words])
         except KeyError:
             if len(cache) > self.cache_words:
-                cache.clear()
-                cache[""] = b""
+                self.forget()
+                cache = self.cache
             self._learn([w for w in dict.fromkeys(words) if w not in cache])
             return b"".join([cache[w] for w in words])
 
@@ -242,6 +245,7 @@ def pack(
                     yield _batch(rows)
                     rows.clear()
         packer.close()
+        encode.forget()
         yield _batch(rows)
 
     return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
@@ -257,9 +261,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def encoder(path: str) -> WordEncoder:
-    """One encoder per worker process, so words learnt by one task help the next."""
+    """One encoder per worker process, without the words of earlier tasks: workers outlive tasks, and so would memory."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
+    _ENCODERS[path].forget()
     return _ENCODERS[path]
 
 

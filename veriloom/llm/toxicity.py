@@ -227,15 +227,18 @@ def fit(
     return model
 
 
-def scored(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``documents`` with columns ``toxicity`` and ``toxic_predicted``."""
-
+def _scores(model: Model):
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([model.score(t) for t in batch], dtype="float64")
 
-    marked = documents.withColumn("toxicity", run(F.col("text")))
+    return run
+
+
+def scored(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """``documents`` with columns ``toxicity`` and ``toxic_predicted``."""
+    marked = documents.withColumn("toxicity", _scores(model)(F.col("text")))
     return marked.withColumn("toxic_predicted", F.when(F.col("toxicity") >= threshold, 1).otherwise(0))
 
 
@@ -249,8 +252,6 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents predicted toxic."""
+    """Drop documents predicted toxic. Any columns stay as they are, those named like scores too."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    names = docs.columns
-    kept = scored(docs.select("doc_id", "text", F.struct(*names).alias("row")), model).filter("toxic_predicted = 0")
-    return kept.select(*[F.col("row").getField(n).alias(n) for n in names])
+    return docs.filter(_scores(model)(F.col("text")) < THRESHOLD)
