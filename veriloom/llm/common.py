@@ -20,6 +20,16 @@ def remainder(doc_id: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(parts))
 
 
+TEXT_ROWS = 512
+
+
+def whole_texts(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Let Arrow batches hold at most ``rows`` rows from now on, as each carries a text of any length."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, with its lineage cut."""
     spark = df.sparkSession

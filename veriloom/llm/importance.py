@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import kth_largest, remainder, stored, table
+from veriloom.llm.common import kth_largest, remainder, stored, table, whole_texts
 
 BUCKETS = 1 << 16
 TARGET_SAMPLE = 20_000
@@ -195,6 +195,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents drawn."""
+    whole_texts(spark)
     drawn = resampled(docs, table(spark, sf_dir, "labels")).filter("selected").select("doc_id", "text_hash").distinct()
     left, right = docs.alias("d"), drawn.alias("k")
     same = F.expr("d.doc_id <=> k.doc_id AND xxhash64(d.text) = k.text_hash")

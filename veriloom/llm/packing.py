@@ -27,6 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+from veriloom.llm.common import whole_texts
+
 LIMIT = 2048
 MAX_SEGMENTS = 256
 CLOSING_ID = 1
@@ -273,4 +275,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    whole_texts(spark)
     return pack(docs)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import connected_components, small, stored
+from veriloom.llm.common import connected_components, small, stored, whole_texts
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -171,7 +171,7 @@ def _prefixes(text: Column, crowded: np.ndarray, similarity: float) -> Column:
             for text in batch:
                 found = shingle_set(text)
                 n = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1 if len(found) else 0
-                last = np.isin(found, crowded)
+                last = crowded[np.minimum(np.searchsorted(crowded, found), len(crowded) - 1)] == found if len(crowded) else np.zeros(len(found), bool)
                 digest = xxhash.xxh64_intdigest(found.tobytes(), HASH_SEED)
                 out.append((_signed(digest), len(found), np.concatenate([found[~last], found[last]])[:n], n > (~last).sum()))
             yield pd.DataFrame(out, columns=["set_id", "size", "prefix", "late"])
@@ -236,6 +236,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null ids come last, so a group without any id keeps a document too; of different texts under the chosen id in one
     group the one with the least hash stays.
     """
+    whole_texts(spark)
     found = similar_groups(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")).alias("k")
     keep = found.groupBy("component").agg(least).select("k.*")

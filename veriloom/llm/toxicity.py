@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import remainder, table
+from veriloom.llm.common import remainder, table, whole_texts
 
 WINDOW_BYTES = 64
 LEVEL = 7
@@ -253,5 +253,6 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents predicted toxic. Any columns stay as they are, those named like scores too."""
+    whole_texts(spark)
     model = fit(docs, table(spark, sf_dir, "labels"))
     return docs.filter(_scores(model)(F.col("text")) < THRESHOLD)
