@@ -226,5 +226,5 @@ def missing_validations(documents: DataFrame, results: DataFrame) -> DataFrame:
 
 def backfill_validations(documents: DataFrame, fields_wide: DataFrame, results: DataFrame, **kwargs) -> DataFrame:
     """Results for documents that should have some and have none, checked against all records."""
-    everything = rules.records(documents, fields_wide)
+    everything = rules.records(documents, fields_wide).select("document_id", "filename", *K.FIELDS)
     return rules.revalidate(missing_validations(documents, results), everything, **kwargs)

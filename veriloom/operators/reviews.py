@@ -10,6 +10,7 @@ from veriloom.functions import display as V
 from veriloom.functions.extract import to_readings
 from veriloom.operators import rules, skew
 from veriloom.operators.registry import derived_id, replace_children
+from veriloom.sources import tables
 
 
 def split_known(reviews: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -88,8 +89,8 @@ def apply(
 
     Gives the new ``documents`` and ``fields``, the accepted ``reviews``, the ``corrections`` audit rows, the
     ``touched`` document ids, and ``rejects`` for unknown documents. ``validation`` (``as_of`` and other arguments of
-    ``rules.validate``) adds ``revalidated``, the results of touched documents with their new values, checked against
-    all documents; with ``results`` given as well, these replace theirs there. The status is the review's, whatever the
+    ``rules.revalidate``, kept ``counts`` too) adds ``revalidated``, the results of touched documents with their new
+    values, checked against all documents; with ``results`` given as well, these replace theirs there. The status is the review's, whatever the
     rules say.
     """
     accepted, rejects = split_known(reviews, documents)
@@ -104,6 +105,7 @@ def apply(
         "rejects": rejects,
     }
     if validation:
+        out["touched"] = touched = tables.spool(touched)
         values = to_readings(changed).select("document_id", *[F.col(f"{f}.value").alias(f) for f in K.FIELDS])
         out["revalidated"] = rules.revalidate(touched, rules.records(documents, values), **validation)
         if results is not None:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from veriloom import constants as K
 from veriloom.functions import text as X
 from veriloom.operators import skew
+from veriloom.sources import tables
 
 # Survey number shapes, date shapes and date limits.
 SURVEY_FULL = r"^\p{Nd}{3,4}/\p{Nd}{1,2}(-[A-Za-z])?$"
@@ -157,13 +158,30 @@ def duplicate_names(
     return asked.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("members"))
 
 
+def key_counts(members: DataFrame, key: str = "property_id") -> DataFrame:
+    """How many members have each key, as ``(key, n)``: the state that ``shifted_counts`` keeps up to date."""
+    return members.filter(~X.is_blank(F.col(key))).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def shifted_counts(counts: DataFrame, gone: DataFrame, come: DataFrame, key: str = "property_id") -> DataFrame:
+    """Counts after members ``gone`` have left or changed their key and members ``come`` are there: a sum of ones."""
+    change = gone.select(key, F.lit(-1).cast("long").alias("n")).unionByName(come.select(key, F.lit(1).cast("long").alias("n")))
+    both = counts.select(key, "n").unionByName(change.filter(~X.is_blank(F.col(key))))
+    return both.groupBy(key).agg(F.sum("n").alias("n")).filter("n > 0")
+
+
 def cross_document_consistency(
-    records: DataFrame, registry: DataFrame | None = None, slice_rows: int = skew.SLICE_ROWS
+    records: DataFrame, registry: DataFrame | None = None, slice_rows: int = skew.SLICE_ROWS, counts: DataFrame | None = None
 ) -> DataFrame:
     """Results of the duplicate check for ``records``, against themselves and the rest of ``registry``.
 
-    A record present in both counts once, in its ``records`` version. The message says how many others there are.
+    A record present in both counts once, in its ``records`` version. The message says how many others there are. Where
+    ``counts`` of all keys are known, ``records`` included, they are looked up and ``registry`` is not read.
     """
+    if counts is not None:
+        known = counts.select("property_id", (F.col("n") - 1).alias("n_others"))
+        keyed = records.filter(~X.is_blank(F.col("property_id"))).select("document_id", "property_id")
+        return _duplicate_results(records, keyed.join(known, "property_id", "left").fillna(0, ["n_others"]))
     columns = ["document_id", "filename", "property_id"]
     members = records.select(*columns)
     if registry is not None:
@@ -176,6 +194,10 @@ def cross_document_consistency(
     groups = duplicate_groups(members, slice_rows=slice_rows)
     if registry is not None:
         groups = groups.filter("_mine").drop("_mine")
+    return _duplicate_results(records, groups)
+
+
+def _duplicate_results(records: DataFrame, groups: DataFrame) -> DataFrame:
     n = F.col("n_others")
     others = F.concat(n.cast("string"), F.when(n == 1, " other document").otherwise(" other documents"))
     shared_message = F.concat(F.lit("Property ID "), F.col("property_id"), F.lit(" also appears in "), others, F.lit(ID_DUPLICATE))
@@ -228,11 +250,12 @@ def validate(
     registry: DataFrame | None = None,
     config: DataFrame | dict[str, bool] | None = None,
     rules: list[RowRule | SetRule] | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Run the enabled rules; one row ``(document_id, rule_name, result, message)`` per record and rule.
 
     ``config`` as a dict leaves disabled rules out of the plan; as a table ``(key, enabled)`` it is joined, and a
-    rule without a row is enabled.
+    rule without a row is enabled. ``counts`` are passed to the shipped duplicate rule.
     """
     rules = default_rules(as_of) if rules is None else rules
     if isinstance(config, dict):
@@ -250,7 +273,10 @@ def validate(
                 "document_id", "r.rule_name", "r.o.result", "r.o.message"
             )
         )
-    parts += [r.check(records, registry).select(*RESULT_COLUMNS) for r in rules if isinstance(r, SetRule)]
+    for r in rules:
+        if isinstance(r, SetRule):
+            known = {"counts": counts} if counts is not None and r.check is cross_document_consistency else {}
+            parts.append(r.check(records, registry, **known).select(*RESULT_COLUMNS))
     if not parts:
         return records.limit(0).select("document_id", *[F.lit("").alias(c) for c in RESULT_COLUMNS[1:]])
     results = parts[0]
@@ -270,11 +296,26 @@ def validate(
     return results
 
 
-def revalidate(keys: DataFrame, records: DataFrame, registry: DataFrame | None = None, **kwargs) -> DataFrame:
-    """Results for the given documents only; duplicates are still sought among all records."""
-    everything = records if registry is None else registry
-    chosen = records.join(keys.select("document_id").distinct(), "document_id", "left_semi")
-    return validate(chosen, registry=everything, **kwargs)
+def revalidate(
+    keys: DataFrame, records: DataFrame, registry: DataFrame | None = None, counts: DataFrame | None = None, **kwargs
+) -> DataFrame:
+    """Results for the given documents only; duplicates are still sought among all records.
+
+    The given documents' records are written once. ``counts`` of all keys after the change, if they are kept
+    (``key_counts``, ``shifted_counts``), make a batch cost what its own records cost; otherwise the keys of these
+    records, and no others, are counted among all.
+    """
+    asked = keys.select("document_id").distinct()
+    chosen = tables.spool(records.join(asked, "document_id", "left_semi"))
+    if counts is None:
+        touched = chosen.filter(~X.is_blank(F.col("property_id"))).select("property_id").distinct()
+        if registry is None:
+            members = records.select("property_id")
+        else:
+            older = registry.select("document_id", "property_id").join(chosen.select("document_id"), "document_id", "left_anti")
+            members = older.select("property_id").unionByName(chosen.select("property_id"))
+        counts = key_counts(members.join(touched, "property_id", "left_semi"))
+    return validate(chosen, counts=counts, **kwargs)
 
 
 def advance_status(documents: DataFrame, results: DataFrame) -> DataFrame:
