@@ -158,13 +158,19 @@ def _crowded(documents: DataFrame) -> np.ndarray:
     return np.sort(counts.orderBy(F.desc("n"), "h").limit(MOST_CROWDED).select("h").toPandas()["h"].to_numpy(np.int64))
 
 
+def parity_bits(found: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each of 256 bits: two sets differ in at least as many as their bits do."""
+    odd = np.bincount((found.astype(np.int64).view(np.uint64) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(text: Column, crowded: np.ndarray, similarity: float) -> Column:
-    """A struct of a set's hash, its size, its prefix: the least shingles, crowded ones last, and if it ends in one.
+    """A struct of a set's hash, its size, its prefix: the least shingles, crowded ones last, if it ends in one, its bits.
 
     Of two sets at least ``similarity`` alike, both prefixes share a shingle whatever the order is.
     """
 
-    @F.pandas_udf("set_id long, size int, prefix array<long>, late boolean")
+    @F.pandas_udf("set_id long, size int, prefix array<long>, late boolean, bits array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple] = []
@@ -173,8 +179,8 @@ def _prefixes(text: Column, crowded: np.ndarray, similarity: float) -> Column:
                 n = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1 if len(found) else 0
                 last = crowded[np.minimum(np.searchsorted(crowded, found), len(crowded) - 1)] == found if len(crowded) else np.zeros(len(found), bool)
                 digest = xxhash.xxh64_intdigest(found.tobytes(), HASH_SEED)
-                out.append((_signed(digest), len(found), np.concatenate([found[~last], found[last]])[:n], n > (~last).sum()))
-            yield pd.DataFrame(out, columns=["set_id", "size", "prefix", "late"])
+                out.append((_signed(digest), len(found), np.concatenate([found[~last], found[last]])[:n], n > (~last).sum(), parity_bits(found)))
+            yield pd.DataFrame(out, columns=["set_id", "size", "prefix", "late", "bits"])
 
     return run(text)
 
@@ -190,7 +196,7 @@ def similar_groups(documents: DataFrame, similarity: float = STAGE_SIMILARITY) -
     """
     crowded = _crowded(documents)
     marked = stored(documents.withColumn("_p", _prefixes(F.col("text"), crowded, similarity)).select("doc_id", "hash", "_p.*"))
-    sets = marked.groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("size", "prefix", "late")], F.min("hash").alias("hash"))
+    sets = marked.groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("size", "prefix", "late", "bits")], F.min("hash").alias("hash"))
     end = F.struct("late", F.element_at("prefix", -1).alias("h")).alias("end")
     rows = sets.filter("size > 0").select("set_id", "size", "hash", F.size("prefix").alias("own"), end, F.explode("prefix").alias("h"))
     buckets = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
@@ -222,9 +228,14 @@ def similar_groups(documents: DataFrame, similarity: float = STAGE_SIMILARITY) -
 
     placed = rows.withColumn("id", F.col("s.set_id")).join(components, "id", "left").select("h", "s", F.coalesce("component", "id").alias("component"))
     split = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("h")
-    left = stored(placed.join(split, "h", "left_semi").select("h", F.col("s").alias("a"), F.col("component").alias("a_component")))
-    right = left.select("h", F.col("a").alias("b"), F.col("a_component").alias("b_component"))
+    # A shingle in the bits of one set only is one that both do not share, so most pairs end here without being listed.
+    bits = sets.select("set_id", *[F.element_at("bits", i + 1).alias(f"bits{i}") for i in range(4)])
+    left = placed.join(split, "h", "left_semi").withColumn("set_id", F.col("s.set_id")).join(bits, "set_id")
+    left = stored(left.select("h", F.col("s").alias("a"), F.col("component").alias("a_component"), *[F.col(f"bits{i}").alias(f"a_bits{i}") for i in range(4)]))
+    right = left.select("h", F.col("a").alias("b"), F.col("a_component").alias("b_component"), *[F.col(f"a_bits{i}").alias(f"b_bits{i}") for i in range(4)])
     apart = (F.col("a.set_id") < F.col("b.set_id")) & (F.col("a_component") != F.col("b_component"))
+    differ = sum((F.bit_count(F.col(f"a_bits{i}").bitwiseXOR(F.col(f"b_bits{i}"))) for i in range(4)), F.lit(0))
+    apart = apart & (differ <= (F.col("a.size") + F.col("b.size")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
     components = connected_components(edges.unionByName(alike(left.join(right, "h").filter(apart & sizes))))
     named = marked.select("doc_id", "hash", "set_id").join(components.withColumnRenamed("id", "set_id"), "set_id", "left")
     return named.select("doc_id", "hash", F.coalesce("component", "set_id").alias("component"))
