@@ -36,6 +36,11 @@ def test_row_rules_do_not_shuffle(spark):
     assert "Exchange" not in plan(catalog.date_plausibility(spark, FOLDER))
 
 
+@pytest.mark.parametrize("name", ["apply_reviews_results", "validate_missing_documents"])
+def test_revalidation_reads_tables_a_bounded_number_of_times(spark, name):
+    assert plan(catalog.QUERIES[name](spark, FOLDER)).split("== Initial Plan")[-1].count("FileScan") <= 10
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
