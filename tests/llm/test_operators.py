@@ -251,11 +251,70 @@ def test_language_model_base_is_exact(corpus):
 def test_bloom_never_reads_less_than_was_entered():
     rng = np.random.default_rng(1)
     keys, counts = np.arange(2000, dtype=np.uint64), rng.integers(1, 10**6, 2000)
-    bloom = lm.LogBloom(keys, lm.level(counts))
+    bloom = lm.LogBloom.of(keys, lm.level(counts))
     read = bloom.levels(keys)
-    assert (read >= lm.level(counts)).all() and (read == lm.level(counts)).mean() > 0.95
-    shares = np.full(lm.FOLLOWERS + 1, 1 / (lm.FOLLOWERS + 1))
-    assert np.allclose((10 ** lm.context_table(bloom, shares) * shares).sum(axis=1), 1)
+    assert (read >= lm.level(counts)).all() and (read == lm.level(counts)).mean() > 0.99
+    assert (lm.value(lm.level(counts)) <= counts).all() and (lm.value(lm.level(counts)) * lm.BASE >= counts).all()
+    assert (bloom.levels(np.arange(10**6, 10**6 + 20_000, dtype=np.uint64)) > 0).mean() < 0.001
+
+
+def model_by_hand(texts, trained):
+    """Score of each text from counts of tokens and pairs in dictionaries, with exact counts and with quantised ones."""
+    single, pair = collections.Counter(), collections.Counter()
+    for text in trained:
+        found = lm.tokens(text)
+        single.update(found)
+        pair.update(zip(found, found[1:]))
+    n = sum(single.values())
+    new = min(0.5, max(sum(c == 1 for c in single.values()), 1) / (n + 1)) if n else 1.0
+
+    def quantised(count):
+        q = math.floor(math.log(count) / math.log(1.5) + 1e-9)
+        return math.ceil(1.5**q - 1e-9)
+
+    def rounded_up(count):
+        return 1.15 ** math.ceil(math.log(count) / math.log(1.15) - 1e-9)
+
+    out = []
+    for text in texts:
+        found, exact, coarse = lm.tokens(text), 0.0, 0.0
+        for before, token in zip([None, *found], found):
+            p = (1 - new) * single[token] / n if single[token] else new
+            both, context = pair[before, token], single[before] if before is not None else None
+            exact += math.log10(p if context is None else (both + lm.PRIOR * p) / (context + lm.PRIOR))
+            gain = 1 + quantised(both) / (lm.PRIOR * (1 - new) * rounded_up(single[token]) / n) if both else 1
+            coarse += math.log10(p if context is None else p * lm.PRIOR * gain / (context + lm.PRIOR))
+        out.append((exact, coarse))
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{}, {"frequent": 10}, {"frequent": 10, "shard_tokens": 500, "head_pairs": 64}, {"shard_tokens": 3000, "head_pairs": 8}])
+def test_language_model_matches_counts_of_all_pairs(corpus, sizes):
+    docs, _ = corpus
+    texts = {r.doc_id: r.text for r in docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).collect()}
+    rows = [(i, t, bool(zlib.crc32(str(i).encode()) % 10)) for i, t in texts.items()]
+    given = common.stored(docs.sparkSession.createDataFrame(rows, "doc_id long, text string, trained boolean").withColumn("held_out", ~F.col("trained")))
+    got = {r.doc_id: r for r in lm.scored(given, **sizes).collect()}
+    want = model_by_hand([t for _, t, _ in rows], [t for _, t, trained in rows if trained])
+    off = 0
+    for (i, text, _), (exact, coarse) in zip(rows, want, strict=True):
+        off += not math.isclose(got[i].score, coarse, rel_tol=1e-9, abs_tol=1e-9)  # a false positive raises a score
+        assert got[i].score > coarse - 1e-6 and coarse <= exact + 1e-9
+        assert exact - coarse <= len(lm.tokens(text)) * math.log10(1.5 * 1.15) + 1e-9
+    assert off <= 0.05 * len(rows)
+
+
+def test_a_pair_of_rare_tokens_counts_at_every_size(spark):
+    filler = [(i, text_of(random.Random(i), 40), True, False) for i in range(60)]
+    seen = "qarvex mondulip fetchwick"
+    rows = [*filler, (100, seen, True, False), (101, seen, False, True), (102, "mondulip qarvex fetchwick", False, True), (None, None, False, True), (100, seen, True, False)]
+    docs = common.stored(spark.createDataFrame(rows, "doc_id long, text string, trained boolean, held_out boolean").withColumn("row", F.lit("clash")))
+    got = {r.doc_id: r for r in lm.scored(docs).collect()}
+    assert got[101].base_score == pytest.approx(got[102].base_score) and got[101].score > got[102].score + 2  # only the order differs
+    assert got[None].n_tokens == 1 and len(lm.scored(docs).collect()) == len(rows)
+    assert lm.scored(common.stored(docs.limit(0))).count() == 0
+    unmet = lm.scored(common.stored(docs.withColumn("trained", F.lit(False)))).collect()
+    assert len(unmet) == len(rows) and all(r.n_known == 0 and r.train_tokens == 0 and r.score == 0 for r in unmet)
 
 
 def test_decontamination_matches_brute_force(spark):

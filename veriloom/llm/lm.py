@@ -1,22 +1,27 @@
-"""Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
+"""Language-model scores from log-frequency Bloom filters of the quantised counts of all pairs of tokens.
 
-Tokens are words and one end per text. The events are those of the base score: each token of the training texts, and
-one for all others. Token counts are exact and over all training texts. New tokens have the share of tokens met once
-(Good-Turing); known ones share the rest by their counts.
+Tokens are words and one end per text. Token counts are exact and over all training texts. New tokens have the share of
+tokens met once (Good-Turing); known ones share the rest by their counts: ``p(b)``. After a token ``a`` the probability is
+``(c(a,b) + PRIOR * p(b)) / (c(a) + PRIOR)``; a text's first token has no context. The score is a sum over tokens plus
+``log10(1 + c(a,b) / (PRIOR * p(b)))`` for each pair that was met, so only pairs ever have to be looked up.
 
-Context comes from pairs of tokens: after each of the ``CONTEXTS`` most frequent tokens, how often each of the
-``FOLLOWERS`` most frequent follows, and how often any other. These counts, over all training texts, are quantised to
-powers of ``BASE`` and held in a Bloom filter that is broadcast: a count of level ``q`` is entered under levels 1 to
-``q`` and read by probing level after level until a probe misses. The probabilities after a context are smoothed towards
-those without it by the number of different followers (Witten-Bell) and scaled to sum to one, so with false positives
-too they are a distribution. The filter's size has a bound that does not depend on the corpus,
-``CONTEXTS * FOLLOWERS * MAX_LEVEL`` entries; a filter of all pairs would grow with the corpus and could not be broadcast.
+Pairs of all training texts are counted, so what is gathered grows with the corpus. Counts are quantised downwards to
+powers of ``BASE``; a count of level ``q`` is entered in a Bloom filter under levels 1 to ``q`` and read by probing level
+after level until a probe misses. Pairs that are at least one in ``HEAD_PAIRS`` of all tokens, so at most that many, are in
+a filter that is broadcast. All others are in filters of hash shards, each for about ``SHARD_TOKENS`` tokens of the corpus;
+a shard's filter and the pairs that texts ask of it meet in one partition, filter first, and pairs stream past it. A pair
+outside the head is rare by that rule, so no shard is hot.
+
+Quantised counts and the rounding up of ``p(b)`` within a pair's term only lower a probability, so the probabilities after
+a context sum to at most one but for false positives (under one probe in a thousand).
 
 Frequent tokens (at most ``FREQUENT``, by a threshold on their count) are sent to the workers and scored where the text
 is; only the others are shuffled, one row per text and token, to meet their counts.
 
-Defined results: null and blank texts are one end token; a null id counts as not held out; invalid characters are replaced;
-repeated rows are scored each; with no training text every token is new; an empty table gives an empty result.
+Texts are read in two passes whose rows carry ``row`` numbers that have to agree, so ``documents`` has to come from a
+stored table. Defined results: null and blank texts are one end token; a null id counts as not held out; invalid
+characters are replaced; repeated rows are scored each; with no training text every token is new; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -28,24 +33,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import remainder, stored, table
+from veriloom.llm.common import remainder, stored, table, whole_texts
 
-CONTEXTS = 128
-FOLLOWERS = 2048
-BASE = 1.1
-MAX_LEVEL = 300
-HASHES = 4
-BITS_PER_ENTRY = 8
-MAX_BITS = 1 << 28
+PRIOR = 200.0
+BASE = 1.5
+FINE = 1.15
+HASHES = 6
+BITS_PER_ENTRY = 16
+HEAD_PAIRS = 1 << 16
+SHARD_TOKENS = 1 << 21
 FREQUENT = 1 << 17
 SMOOTHING = 0.1
 END = b""
 FLUSH_TOKENS = 400_000
+FLUSH_PAIRS = 2_000_000
+FLUSH_PROBES = 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
+LOW = np.uint64(0xFFFFFFFF)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -61,65 +68,59 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def level(value: np.ndarray, up: bool = False) -> np.ndarray:
-    """The quantised logarithm of positive counts: 1 for one, then one more for each factor of ``BASE``."""
-    q = np.log(np.maximum(value, 1)) / math.log(BASE)
-    q = np.ceil(q - 1e-9) if up else np.floor(q + 1e-9)
-    return np.minimum(q.astype(np.int64) + 1, MAX_LEVEL)
+def pair_key(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """One number for a pair of token hashes, in order. Its high half names the shard, its low half the pair there."""
+    return _mixed(_mixed(before * MIX) + after)
+
+
+def level(count: np.ndarray, base: float = BASE, up: bool = False) -> np.ndarray:
+    """The quantised logarithm of positive counts: 1 for one, then one more for each factor of ``base``."""
+    q = np.log(np.maximum(count, 1)) / math.log(base)
+    return (np.ceil(q - 1e-9) if up else np.floor(q + 1e-9)).astype(np.int64) + 1
 
 
 def value(levels: np.ndarray) -> np.ndarray:
-    """What a level stands for; zero for level zero."""
-    return np.where(levels > 0, BASE ** (levels - 1.0), 0.0)
+    """The least count of a level; zero for level zero."""
+    return np.where(levels > 0, np.ceil(BASE ** (levels - 1.0) - 1e-9), 0.0)
 
 
 class LogBloom:
-    """A Bloom filter of pairs of a key and a level."""
-
-    def __init__(self, keys: np.ndarray, levels: np.ndarray):
-        self.table: np.ndarray | None = None
-        entries = int(levels.sum())
-        bits = 1 << max(10, (entries * BITS_PER_ENTRY).bit_length())
-        self.bits = min(bits, MAX_BITS)
-        self.words = np.zeros(self.bits // 8, np.uint8)
+    """A Bloom filter of pairs of a key and a level, as large as its entries ask for."""
+
+    def __init__(self, words: bytes):
+        self.words = np.frombuffer(words, np.uint8)
+        self.mask = np.uint64(len(words) * 8 - 1)
+
+    @classmethod
+    def of(cls, keys: np.ndarray, levels: np.ndarray) -> LogBloom:
+        bits = 1 << max(10, (int(levels.sum()) * BITS_PER_ENTRY).bit_length())
+        found = np.zeros(bits, bool)
         for at in range(1, int(levels.max(initial=0)) + 1):
-            present = keys[levels >= at]
-            for spot in self._spots(present, at):
-                np.bitwise_or.at(self.words, spot >> np.uint64(3), np.left_shift(np.uint8(1), (spot & np.uint64(7)).astype(np.uint8)))
+            for spot in cls._spots(keys[levels >= at], at, np.uint64(bits - 1)):
+                found[spot] = True
+        return cls(np.packbits(found, bitorder="little").tobytes())
 
-    def _spots(self, keys: np.ndarray, at: int) -> list[np.ndarray]:
-        seed = _mixed(keys * MIX + np.uint64(at))
+    @staticmethod
+    def _spots(keys: np.ndarray, at: int, mask: np.uint64) -> Iterator[np.ndarray]:
+        seed = _mixed(keys.astype(np.uint64) * MIX + np.uint64(at))
         second = _mixed(seed + MIX) | np.uint64(1)
-        return [(seed + np.uint64(i) * second) & np.uint64(self.bits - 1) for i in range(HASHES)]
+        for i in range(HASHES):
+            yield (seed + np.uint64(i) * second) & mask
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The highest level for which it and all below it are present."""
         found = np.zeros(len(keys), np.int64)
-        alive = np.arange(len(keys))
-        for at in range(1, MAX_LEVEL + 1):
-            if not len(alive):
-                break
+        alive, at = np.arange(len(keys)), 0
+        while len(alive):
+            at += 1
             held = np.ones(len(alive), bool)
-            for spot in self._spots(keys[alive], at):
+            for spot in self._spots(keys[alive], at, self.mask):
                 held &= (self.words[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1
             alive = alive[held]
             found[alive] = at
         return found
 
 
-def context_table(bloom: LogBloom, shares: np.ndarray) -> np.ndarray:
-    """log10 of how much likelier each class of followers is after each context than without one, from probes alone.
-
-    ``shares`` are the probabilities of the classes without a context, the last that of all other tokens.
-    """
-    width = len(shares)
-    counts = value(bloom.levels(np.arange(CONTEXTS * width, dtype=np.uint64))).reshape(CONTEXTS, width)
-    kinds = np.maximum((counts > 0).sum(axis=1, keepdims=True), 1)
-    p = counts + kinds * shares
-    p /= p.sum(axis=1, keepdims=True)
-    return np.log10(p / shares)
-
-
 def vocabulary(texts: DataFrame) -> DataFrame:
     """``(token, c, h)`` for every token of ``texts``: its count and its hash.
 
@@ -144,37 +145,6 @@ def _counted(counts: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["token", "c"])
 
 
-def _pair_counts(texts: DataFrame, ranks) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and counts of the pairs kept, at most ``CONTEXTS * (FOLLOWERS + 1)`` of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, total = ranks.value[0], np.zeros(CONTEXTS * (FOLLOWERS + 1), np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                pairs = _pairs(_ranked(tokens(text.as_py()), rank))
-                total += np.bincount(pairs, minlength=len(total)) if len(pairs) > 4096 else 0
-                if len(pairs) <= 4096:
-                    np.add.at(total, pairs, 1)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["pair", "n"])
-
-    rows = texts.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    return rows["pair"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-
-
-def _ranked(found: list[bytes], rank: dict[bytes, int]) -> np.ndarray:
-    get = rank.get
-    return np.fromiter([get(t, 0) for t in found], np.int64, len(found))
-
-
-def _pairs(at: np.ndarray) -> np.ndarray:
-    """Numbers of the pairs of neighbours whose first is a context; ranks count from one, zero is any other token."""
-    before, after = at[:-1], at[1:]
-    held = (before > 0) & (before <= CONTEXTS)
-    after = np.where((after > 0) & (after <= FOLLOWERS), after - 1, FOLLOWERS)
-    return ((before - 1) * (FOLLOWERS + 1) + after)[held]
-
-
 def _threshold(words: DataFrame, most: int) -> int:
     """The least power of two so that at most ``most`` tokens have at least this count."""
     rows = words.groupBy(F.floor(F.log2("c")).cast("int").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
@@ -187,80 +157,304 @@ def _threshold(words: DataFrame, most: int) -> int:
     return 1 << least
 
 
-def scored(documents: DataFrame, trained: str = "trained", frequent: int = FREQUENT) -> DataFrame:
+def _hash(token: bytes) -> int:
+    return xxhash.xxh64_intdigest(token, 42)
+
+
+def _read(text: str | None, rank: dict[bytes, int], hashes: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """A text's tokens, their ranks (zero for those not frequent) and their hashes."""
+    found = tokens(text)
+    get = rank.get
+    at = np.fromiter([get(t, 0) for t in found], np.int64, len(found))
+    h = hashes[at]
+    for i in np.flatnonzero(at == 0).tolist():
+        h[i] = _hash(found[i])
+    return found, at, h
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers as bytes, first all lowest bytes, then the next: the constant high ones compress to nothing."""
+    return np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of the keys by shard, stable, and for each shard its number and the bounds of its slice."""
+    shard = ((keys >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    ordered = shard[order]
+    if not len(ordered):
+        return order, []
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    return order, [(int(ordered[s]), int(s), int(e)) for s, e in zip(starts, np.append(starts[1:], len(ordered)), strict=True)]
+
+
+_COUNTS = "shard int, keys binary, counts binary"
+_FILTERS = "shard int, words binary, head binary, head_counts binary"
+
+
+def _pair_filters(texts: DataFrame, held, shards: int, least: int) -> DataFrame:
+    """One row per shard: the filter of its pairs below ``least``, and the keys and counts of the others.
+
+    Tasks count pairs in bounded buffers and pass on, for each shard, distinct keys with counts: 32 bits a key there.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, hashes = held.value[0], held.value[1]
+        buffer: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            for text in batch.column(0):
+                h = _read(text.as_py(), rank, hashes)[2]
+                buffer.append(pair_key(h[:-1], h[1:]))
+                size += len(h) - 1
+                if size > FLUSH_PAIRS:
+                    yield rows(buffer)
+                    buffer, size = [], 0
+        yield rows(buffer)
+
+    def rows(buffer: list[np.ndarray]) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(buffer) if buffer else np.zeros(0, np.uint64), return_counts=True)
+        order, slices = _by_shard(keys, shards)
+        keys, n = keys[order], n[order]
+        return pa.RecordBatch.from_arrays([
+            pa.array([s for s, _, _ in slices], pa.int32()), pa.array([keys[a:b].astype("<u8").tobytes() for _, a, b in slices], pa.binary()),
+            pa.array([_planes(n[a:b]) for _, a, b in slices], pa.binary()),
+        ], names=["shard", "keys", "counts"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, keys, counts = None, [], []
+        for batch in batches:
+            for shard, key, n in zip(*[batch.column(i) for i in range(3)], strict=True):
+                if at is not None and shard.as_py() != at:
+                    yield built(at, keys, counts)
+                    keys, counts = [], []
+                at = shard.as_py()
+                keys.append(np.frombuffer(key.as_py(), "<u8"))
+                counts.append(_from_planes(n.as_py()))
+        if at is not None:
+            yield built(at, keys, counts)
+
+    def built(shard: int, keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        key, place = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(place, np.concatenate(counts), len(key)).astype(np.int64)
+        tail = n < least
+        bloom = LogBloom.of(key[tail] & LOW, level(n[tail]))
+        return pa.RecordBatch.from_arrays([
+            pa.array([shard], pa.int32()), pa.array([bloom.words.tobytes()], pa.binary()),
+            pa.array([key[~tail].astype("<u8").tobytes()], pa.binary()), pa.array([_planes(n[~tail])], pa.binary()),
+        ], names=["shard", "words", "head", "head_counts"])
+
+    counted = texts.select("text").mapInArrow(count, _COUNTS)
+    return counted.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(build, _FILTERS)
+
+
+_ROWS = "row long, doc_id long, held_out boolean, doc_tokens long, known long, base double, model double"
+_MIXED = "shard int, kind int, a binary, b binary, c binary, " + _ROWS
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+FILTER, PROBES, SUMS = 0, 1, 2
+
+
+def _schema(ddl: str) -> pa.Schema:
+    return pa.schema([(p.split()[0], _TYPES[p.split()[1]]) for p in ddl.split(", ")])
+
+
+def _filled(ddl: str, n: int, columns: dict) -> pa.RecordBatch:
+    """``n`` rows with the given columns; the others are null."""
+    schema = _schema(ddl)
+    return pa.RecordBatch.from_arrays([
+        pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema
+    ], schema=schema)
+
+
+class _Lookup:
+    """Pairs of texts: those of the head are answered here, the others are packed for their shards."""
+
+    def __init__(self, head: LogBloom, least: int, scale: float, shards: int):
+        self.head, self.floor, self.scale, self.shards = head, int(level(np.array([least]))[0]), scale, shards
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def gain(self, levels: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """log10 of how much likelier a pair's second token is by the pair's count; ``after`` are its count's levels."""
+        return np.log10(1 + value(levels) / (PRIOR * self.scale * FINE ** (after - 1.0)))
+
+    def add(self, rows: np.ndarray, keys: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Gains of the pairs in the head, zero for the others, which are kept for their shards."""
+        different, place = np.unique(keys, return_inverse=True)
+        levels = self.head.levels(different)[place]
+        out = np.zeros(len(keys))
+        known = levels >= self.floor
+        out[known] = self.gain(levels[known], after[known])
+        self.held.append((rows[~known], keys[~known], after[~known].astype(np.uint8)))
+        self.size += int((~known).sum())
+        return out
+
+    def packed(self) -> pa.RecordBatch:
+        rows, keys, after = (np.concatenate(x) for x in zip(*self.held, strict=True)) if self.held else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+        self.held, self.size = [], 0
+        order, slices = _by_shard(keys, self.shards)
+        rows, low, after = rows[order], (keys[order] & LOW).astype("<u4"), after[order]
+        return _filled(_MIXED, len(slices), {
+            "shard": [s for s, _, _ in slices], "kind": [PROBES] * len(slices), "a": [_planes(rows[s:e]) for _, s, e in slices],
+            "b": [low[s:e].tobytes() for _, s, e in slices], "c": [after[s:e].tobytes() for _, s, e in slices],
+        })
+
+
+def scored(documents: DataFrame, trained: str = "trained", frequent: int = FREQUENT, shard_tokens: int = SHARD_TOKENS, head_pairs: int = HEAD_PAIRS) -> DataFrame:
     """One row per row of ``documents(doc_id, text, trained, held_out)`` with exact base and model scores."""
     spark = documents.sparkSession
+    whole_texts(spark)
+    context = spark.sparkContext
     words = stored(vocabulary(documents.filter(trained)))
     n_tokens, n_types, n_once = words.agg(
         F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("c") == 1, 1))
     ).first()
     new = min(0.5, max(n_once, 1) / (n_tokens + 1)) if n_tokens else 1.0
+    total = n_tokens + SMOOTHING * (n_types + 1)
+    scale = (1 - new) / max(n_tokens, 1)
 
     def base(c: np.ndarray) -> np.ndarray:
-        return np.log10((c + SMOOTHING) / (n_tokens + SMOOTHING * (n_types + 1)))
+        return np.log10((c + SMOOTHING) / total)
+
+    def alone(c: np.ndarray) -> np.ndarray:
+        return np.where(c > 0, np.log10(np.maximum(scale * c, 1e-300)), math.log10(new))
+
+    def as_context(c: np.ndarray) -> np.ndarray:
+        return np.log10(PRIOR / (c + PRIOR))
 
     least = _threshold(words, frequent)
     common = words.filter(F.col("c") >= least).orderBy(F.desc("c"), "token").select("token", "c").toPandas()
-    counts = common["c"].to_numpy(np.int64)
-    held = spark.sparkContext.broadcast((
-        {bytes(t): i + 1 for i, t in enumerate(common["token"])}, np.concatenate([[0.0], base(counts)]),
-        np.concatenate([[0.0], np.log10((1 - new) * counts / max(n_tokens, 1))]),
-    ))
-    pairs, amounts = _pair_counts(documents.filter(trained), held)
-    followers = np.zeros(FOLLOWERS)
-    followers[: min(FOLLOWERS, len(counts))] = (1 - new) * counts[:FOLLOWERS] / max(n_tokens, 1)
-    shares = np.maximum(np.append(followers, 1 - followers.sum()), 1e-12)
-    bloom = spark.sparkContext.broadcast(LogBloom(pairs.astype(np.uint64), level(amounts)))
+    names, counts = [bytes(t) for t in common["token"]], common["c"].to_numpy(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, base_of, model_of = held.value
-        if bloom.value.table is None:  # once per worker process
-            bloom.value.table = context_table(bloom.value, shares).ravel()
-        gain = bloom.value.table
-        digest = xxhash.xxh64_intdigest
-        row = TaskContext.get().partitionId() << 33
+    def ranked(of: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(1, of.dtype), of])
+
+    held = context.broadcast((
+        {t: i + 1 for i, t in enumerate(names)}, ranked(np.array([_hash(t) for t in names], np.uint64)), ranked(base(counts)),
+        ranked(alone(counts)), ranked(np.where([t == END for t in names], 0.0, as_context(counts))), ranked(level(counts, FINE, up=True)),
+    ))
+    shards = max(1, math.ceil(n_tokens / shard_tokens))
+    often = max(2, math.ceil(n_tokens / head_pairs))
+    filters = stored(_pair_filters(documents.filter(trained), held, shards, often))
+    tops = filters.select("head", "head_counts").filter(F.length("head") > 0).collect()
+    top_keys = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r["head"], "<u8") for r in tops]])
+    top_counts = np.concatenate([np.zeros(0, np.int64), *[_from_planes(bytes(r["head_counts"])) for r in tops]])
+    head = context.broadcast(LogBloom.of(top_keys, level(top_counts)))
+
+    def frequent_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, hashes, base_of, alone_of, context_of, level_of = held.value
+        lookup = _Lookup(head.value, often, scale, shards)
+        for batch in batches:
+            row = batch.column(0).to_numpy()
+            sums, pairs = [], []
+            for i, text in enumerate(batch.column(3)):
+                _, at, h = _read(text.as_py(), rank, hashes)
+                sums.append((len(at), int((at > 0).sum()), float(base_of[at].sum()), float(alone_of[at].sum() + context_of[at].sum())))
+                asked = np.flatnonzero(at[1:] > 0)
+                pairs.append((np.full(len(asked), i), pair_key(h[:-1], h[1:])[asked], level_of[at[1:][asked]]))
+            if not sums:
+                continue
+            place, keys, after = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            gained = np.bincount(place, lookup.add(row[place], keys, after), len(sums))
+            n, known, base_sum, model = zip(*sums, strict=True)
+            yield _filled(_MIXED, len(sums), {
+                "shard": (row % shards).astype(np.int32), "kind": [SUMS] * len(sums), "row": row, "doc_id": batch.column(1), "held_out": batch.column(2),
+                "doc_tokens": n, "known": known, "base": base_sum, "model": np.array(model) + gained,
+            })
+            if lookup.size > FLUSH_PROBES:
+                yield lookup.packed()
+        yield lookup.packed()
+
+    def rare_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, hashes = held.value[0], held.value[1]
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                found = tokens(text.as_py())
-                at = _ranked(found, rank)
-                rare = Counter([found[i] for i in np.flatnonzero(at == 0).tolist()])
-                model = float(model_of[at].sum() + gain[_pairs(at)].sum())
-                out.append((row, row, 1, doc_id, held_out, len(found), len(found) - sum(rare.values()), float(base_of[at].sum()), model))
-                out += [(row, _signed(digest(t, 42)), n, None, None, 0, 0, 0.0, 0.0) for t, n in rare.items()]
-                row += 1
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found, at, h = _read(text.as_py(), rank, hashes)
+                rare = np.flatnonzero(at == 0)
+                if not len(rare):
+                    continue
+                key = np.append(np.uint64(0), pair_key(h[:-1], h[1:]))
+                order = rare[np.argsort(h[rare], kind="stable")]
+                starts = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+                for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+                    places = order[s:e]
+                    out.append((row, int(h[places[0]].astype(np.int64)), e - s, found[places[0]] == END, key[places[places > 0]].astype("<u8").tobytes()))
                 if len(out) > 50_000:
-                    yield _rows(out)
+                    yield rare_rows(out)
                     out = []
-            yield _rows(out)
-
-    parts = documents.select("doc_id", "held_out", "text").mapInArrow(run, _PARTS)
-    rare = words.filter(F.col("c") < least).select("h", "c")
-    joined = parts.join(rare, "h", "left")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    own = F.col("doc_tokens") > 0
-    total = n_tokens + SMOOTHING * (n_types + 1)
-    summed = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("doc_tokens").cast("long").alias("n_tokens"),
-        F.sum(F.when(own, F.col("known")).when(c > 0, F.col("n")).otherwise(0)).cast("long").alias("n_known"),
-        F.sum(F.when(own, F.col("base")).otherwise(F.col("n") * F.log10((c + SMOOTHING) / F.lit(total)))).alias("base_score"),
-        F.sum(F.when(own, F.col("model_sum")).otherwise(F.col("n") * F.when(c > 0, F.log10(F.lit(1 - new) * c / F.lit(max(n_tokens, 1)))).otherwise(math.log10(new)))).alias("score"),
-    )
-    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+            yield rare_rows(out)
 
+    rare_ddl = "row long, h long, n long, last boolean, keys binary"
 
-_PARTS = "row long, h long, n int, doc_id long, held_out boolean, doc_tokens int, known int, base double, model_sum double"
-_TYPES = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
-_FIELDS = pa.schema([(p.split()[0], _TYPES[p.split()[1]]) for p in _PARTS.split(", ")])
+    def rare_rows(out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else [()] * 5
+        return _filled(rare_ddl, len(out), dict(zip(["row", "h", "n", "last", "keys"], columns, strict=True)))
 
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(_FIELDS)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FIELDS, strict=True)], schema=_FIELDS)
+    def rare_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = _Lookup(head.value, often, scale, shards)
+        for batch in batches:
+            row, n, last, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
+            model = n * (alone(c) + np.where(last, 0.0, as_context(c)))
+            blobs = batch.column(3).to_pylist()
+            asked = np.where(c > 0, [len(x) // 8 for x in blobs], 0).astype(np.int64)
+            keys = np.frombuffer(b"".join(x for x, a in zip(blobs, asked.tolist(), strict=True) if a), "<u8").astype(np.uint64)
+            place = np.repeat(np.arange(len(row)), asked)
+            model += np.bincount(place, lookup.add(row[place], keys, level(c, FINE, up=True)[place]), len(row))
+            yield from _summed(row, np.where(c > 0, n, 0), n * base(c), model, shards)
+            if lookup.size > FLUSH_PROBES:
+                yield lookup.packed()
+        yield lookup.packed()
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, bloom, gains = None, None, _Lookup(head.value, often, scale, shards)
+        for batch in batches:
+            kinds = batch.column(1).to_numpy()
+            passed = np.flatnonzero(kinds == SUMS)
+            if len(passed):
+                taken = batch.take(pa.array(passed))
+                yield pa.RecordBatch.from_arrays([taken.column(i) for i in range(5, taken.num_columns)], schema=_schema(_ROWS))
+            rows, model = [], []
+            for i in np.flatnonzero(kinds != SUMS).tolist():
+                shard, a = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
+                if kinds[i] == FILTER:
+                    at, bloom = shard, LogBloom(a)
+                elif shard == at:  # a shard without a filter has no pairs
+                    keys = np.frombuffer(batch.column(3)[i].as_py(), "<u4").astype(np.uint64)
+                    levels = bloom.levels(keys)
+                    met = np.flatnonzero(levels)
+                    rows.append(_from_planes(a)[met])
+                    model.append(gains.gain(levels[met], np.frombuffer(batch.column(4)[i].as_py(), np.uint8)[met].astype(np.float64)))
+            if rows:
+                row, place = np.unique(np.concatenate(rows), return_inverse=True)
+                yield _filled(_ROWS, len(row), {"row": row, "known": np.zeros(len(row), np.int64), "base": np.zeros(len(row)), "model": np.bincount(place, np.concatenate(model), len(row))})
+
+    numbered = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
+    first = numbered.mapInArrow(frequent_part, _MIXED)
+    rare = numbered.select("row", "text").mapInArrow(rare_tokens, rare_ddl).join(words.filter(F.col("c") < least).select("h", "c"), "h", "left")
+    second = rare.select("row", "n", "last", "keys", F.coalesce("c", F.lit(0)).alias("c")).mapInArrow(rare_part, _MIXED)
+    empty = [F.lit(None).cast(p.split()[1]).alias(p.split()[0]) for p in ("b binary, c binary, " + _ROWS).split(", ")]
+    built = filters.select("shard", F.lit(FILTER).alias("kind"), F.col("words").alias("a"), *empty)
+    together = first.unionByName(second).unionByName(built).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    summed = together.mapInArrow(probe, _ROWS).groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("doc_tokens").alias("n_tokens"),
+        F.sum("known").cast("long").alias("n_known"), F.sum("base").alias("base_score"), F.sum("model").alias("score"),
+    )
+    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _signed(number: int) -> int:
-    return number - (1 << 64) if number >= 1 << 63 else number
+def _summed(row: np.ndarray, known: np.ndarray, base: np.ndarray, model: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    """One row per text with the sums over its tokens."""
+    rows, place = np.unique(row, return_inverse=True)
+    n = len(rows)
+    yield _filled(_MIXED, n, {
+        "shard": (rows % shards).astype(np.int32), "kind": [SUMS] * n, "row": rows, "known": np.bincount(place, known, n).astype(np.int64),
+        "base": np.bincount(place, base, n), "model": np.bincount(place, model, n),
+    })
 
 
 def query(spark, sf_dir: str) -> DataFrame:
