@@ -51,8 +51,10 @@ END = b""
 FLUSH_TOKENS = 400_000
 FLUSH_PAIRS = 2_000_000
 FLUSH_PROBES = 200_000
+FLUSH_SUMS = 400_000
+GROUP_TOKENS = 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
-LOW = np.uint64(0xFFFFFFFF)
+LOW, HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -68,9 +70,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def pair_key(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """One number for a pair of token hashes, in order. Its high half names the shard, its low half the pair there."""
-    return _mixed(_mixed(before * MIX) + after)
+def pair_key(before: np.ndarray, after: np.ndarray, shards: int) -> np.ndarray:
+    """One number for a pair of token hashes, in order. Its high half is the shard, its low half names the pair there."""
+    x = _mixed(_mixed(before * MIX) + after)
+    return ((x >> HALF) % np.uint64(shards)) << HALF | x & LOW
 
 
 def level(count: np.ndarray, base: float = BASE, up: bool = False) -> np.ndarray:
@@ -113,10 +116,12 @@ class LogBloom:
         alive, at = np.arange(len(keys)), 0
         while len(alive):
             at += 1
-            held = np.ones(len(alive), bool)
-            for spot in self._spots(keys[alive], at, self.mask):
-                held &= (self.words[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            alive = alive[held]
+            seed = _mixed(keys[alive].astype(np.uint64) * MIX + np.uint64(at))
+            second = _mixed(seed + MIX) | np.uint64(1)
+            for i in range(HASHES):
+                spot = (seed + np.uint64(i) * second) & self.mask
+                held = (self.words[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                alive, seed, second = alive[held], seed[held], second[held]
             found[alive] = at
         return found
 
@@ -161,15 +166,27 @@ def _hash(token: bytes) -> int:
     return xxhash.xxh64_intdigest(token, 42)
 
 
-def _read(text: str | None, rank: dict[bytes, int], hashes: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """A text's tokens, their ranks (zero for those not frequent) and their hashes."""
-    found = tokens(text)
+def _read(texts: pa.Array, rank: dict[bytes, int], hashes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts in groups of about ``GROUP_TOKENS`` tokens, each text whole.
+
+    Bounds of the group in the batch; for each token its text's number in the group, its rank (zero if not frequent) and
+    its hash; for each token but the first whether it follows one of the same text.
+    """
     get = rank.get
-    at = np.fromiter([get(t, 0) for t in found], np.int64, len(found))
-    h = hashes[at]
-    for i in np.flatnonzero(at == 0).tolist():
-        h[i] = _hash(found[i])
-    return found, at, h
+    start, found, lengths = 0, [], []
+    for i, text in enumerate(texts):
+        words = tokens(text.as_py())
+        found += words
+        lengths.append(len(words))
+        if len(found) < GROUP_TOKENS and i + 1 < len(texts):
+            continue
+        place = np.repeat(np.arange(len(lengths)), lengths)
+        at = np.fromiter([get(t, 0) for t in found], np.int64, len(found))
+        h = hashes[at]
+        rare = np.flatnonzero(at == 0)
+        h[rare] = np.fromiter([_hash(found[k]) for k in rare.tolist()], np.uint64, len(rare))
+        yield start, i + 1, place, at, h, place[1:] == place[:-1]
+        start, found, lengths = i + 1, [], []
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -181,9 +198,9 @@ def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
-def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+def _by_shard(keys: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """An order of the keys by shard, stable, and for each shard its number and the bounds of its slice."""
-    shard = ((keys >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+    shard = (keys >> HALF).astype(np.int64)
     order = np.argsort(shard, kind="stable")
     ordered = shard[order]
     if not len(ordered):
@@ -207,10 +224,9 @@ def _pair_filters(texts: DataFrame, held, shards: int, least: int) -> DataFrame:
         buffer: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for text in batch.column(0):
-                h = _read(text.as_py(), rank, hashes)[2]
-                buffer.append(pair_key(h[:-1], h[1:]))
-                size += len(h) - 1
+            for _, _, _, _, h, inner in _read(batch.column(0), rank, hashes):
+                buffer.append(pair_key(h[:-1][inner], h[1:][inner], shards))
+                size += len(buffer[-1])
                 if size > FLUSH_PAIRS:
                     yield rows(buffer)
                     buffer, size = [], 0
@@ -218,10 +234,9 @@ def _pair_filters(texts: DataFrame, held, shards: int, least: int) -> DataFrame:
 
     def rows(buffer: list[np.ndarray]) -> pa.RecordBatch:
         keys, n = np.unique(np.concatenate(buffer) if buffer else np.zeros(0, np.uint64), return_counts=True)
-        order, slices = _by_shard(keys, shards)
-        keys, n = keys[order], n[order]
+        slices = _by_shard(keys)[1]  # distinct keys come in order
         return pa.RecordBatch.from_arrays([
-            pa.array([s for s, _, _ in slices], pa.int32()), pa.array([keys[a:b].astype("<u8").tobytes() for _, a, b in slices], pa.binary()),
+            pa.array([s for s, _, _ in slices], pa.int32()), pa.array([(keys[a:b] & LOW).astype("<u4").tobytes() for _, a, b in slices], pa.binary()),
             pa.array([_planes(n[a:b]) for _, a, b in slices], pa.binary()),
         ], names=["shard", "keys", "counts"])
 
@@ -233,7 +248,7 @@ def _pair_filters(texts: DataFrame, held, shards: int, least: int) -> DataFrame:
                     yield built(at, keys, counts)
                     keys, counts = [], []
                 at = shard.as_py()
-                keys.append(np.frombuffer(key.as_py(), "<u8"))
+                keys.append(np.frombuffer(key.as_py(), "<u4"))
                 counts.append(_from_planes(n.as_py()))
         if at is not None:
             yield built(at, keys, counts)
@@ -242,10 +257,11 @@ def _pair_filters(texts: DataFrame, held, shards: int, least: int) -> DataFrame:
         key, place = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.bincount(place, np.concatenate(counts), len(key)).astype(np.int64)
         tail = n < least
-        bloom = LogBloom.of(key[tail] & LOW, level(n[tail]))
+        bloom = LogBloom.of(key[tail], level(n[tail]))
+        top = np.uint64(shard) << HALF | key[~tail].astype(np.uint64)
         return pa.RecordBatch.from_arrays([
             pa.array([shard], pa.int32()), pa.array([bloom.words.tobytes()], pa.binary()),
-            pa.array([key[~tail].astype("<u8").tobytes()], pa.binary()), pa.array([_planes(n[~tail])], pa.binary()),
+            pa.array([top.astype("<u8").tobytes()], pa.binary()), pa.array([_planes(n[~tail])], pa.binary()),
         ], names=["shard", "words", "head", "head_counts"])
 
     counted = texts.select("text").mapInArrow(count, _COUNTS)
@@ -273,8 +289,8 @@ def _filled(ddl: str, n: int, columns: dict) -> pa.RecordBatch:
 class _Lookup:
     """Pairs of texts: those of the head are answered here, the others are packed for their shards."""
 
-    def __init__(self, head: LogBloom, least: int, scale: float, shards: int):
-        self.head, self.floor, self.scale, self.shards = head, int(level(np.array([least]))[0]), scale, shards
+    def __init__(self, head: LogBloom, least: int, scale: float):
+        self.head, self.floor, self.scale = head, int(level(np.array([least]))[0]), scale
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
@@ -296,7 +312,7 @@ class _Lookup:
     def packed(self) -> pa.RecordBatch:
         rows, keys, after = (np.concatenate(x) for x in zip(*self.held, strict=True)) if self.held else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8))
         self.held, self.size = [], 0
-        order, slices = _by_shard(keys, self.shards)
+        order, slices = _by_shard(keys)
         rows, low, after = rows[order], (keys[order] & LOW).astype("<u4"), after[order]
         return _filled(_MIXED, len(slices), {
             "shard": [s for s, _, _ in slices], "kind": [PROBES] * len(slices), "a": [_planes(rows[s:e]) for _, s, e in slices],
@@ -347,71 +363,59 @@ def scored(documents: DataFrame, trained: str = "trained", frequent: int = FREQU
 
     def frequent_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, hashes, base_of, alone_of, context_of, level_of = held.value
-        lookup = _Lookup(head.value, often, scale, shards)
+        lookup = _Lookup(head.value, often, scale)
         for batch in batches:
-            row = batch.column(0).to_numpy()
-            sums, pairs = [], []
-            for i, text in enumerate(batch.column(3)):
-                _, at, h = _read(text.as_py(), rank, hashes)
-                sums.append((len(at), int((at > 0).sum()), float(base_of[at].sum()), float(alone_of[at].sum() + context_of[at].sum())))
-                asked = np.flatnonzero(at[1:] > 0)
-                pairs.append((np.full(len(asked), i), pair_key(h[:-1], h[1:])[asked], level_of[at[1:][asked]]))
-            if not sums:
-                continue
-            place, keys, after = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            gained = np.bincount(place, lookup.add(row[place], keys, after), len(sums))
-            n, known, base_sum, model = zip(*sums, strict=True)
-            yield _filled(_MIXED, len(sums), {
-                "shard": (row % shards).astype(np.int32), "kind": [SUMS] * len(sums), "row": row, "doc_id": batch.column(1), "held_out": batch.column(2),
-                "doc_tokens": n, "known": known, "base": base_sum, "model": np.array(model) + gained,
-            })
-            if lookup.size > FLUSH_PROBES:
-                yield lookup.packed()
+            for start, end, place, at, h, inner in _read(batch.column(3), rank, hashes):
+                row, n = batch.column(0).to_numpy()[start:end], end - start
+                asked = np.flatnonzero(inner & (at[1:] > 0))
+                whose, after = place[1:][asked], at[1:][asked]
+                gained = lookup.add(row[whose], pair_key(h[:-1][asked], h[1:][asked], shards), level_of[after])
+                yield _filled(_MIXED, n, {
+                    "shard": (row % shards).astype(np.int32), "kind": [SUMS] * n, "row": row, "doc_id": batch.column(1)[start:end],
+                    "held_out": batch.column(2)[start:end], "doc_tokens": np.bincount(place, minlength=n), "known": np.bincount(place[at > 0], minlength=n),
+                    "base": np.bincount(place, base_of[at], n), "model": np.bincount(place, alone_of[at] + context_of[at], n) + np.bincount(whose, gained, n),
+                })
+                if lookup.size > FLUSH_PROBES:
+                    yield lookup.packed()
         yield lookup.packed()
 
+    rare_ddl = "row long, h long, key long, n long"
+
     def rare_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, hashes = held.value[0], held.value[1]
         for batch in batches:
-            out: list[tuple] = []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found, at, h = _read(text.as_py(), rank, hashes)
+            for start, _, place, at, h, inner in _read(batch.column(1), rank, hashes):
+                key = np.full(len(h), -1, np.int64)  # a first token has no pair
+                key[1:][inner] = pair_key(h[:-1][inner], h[1:][inner], shards).astype(np.int64)
                 rare = np.flatnonzero(at == 0)
-                if not len(rare):
-                    continue
-                key = np.append(np.uint64(0), pair_key(h[:-1], h[1:]))
-                order = rare[np.argsort(h[rare], kind="stable")]
-                starts = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
-                for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
-                    places = order[s:e]
-                    out.append((row, int(h[places[0]].astype(np.int64)), e - s, found[places[0]] == END, key[places[places > 0]].astype("<u8").tobytes()))
-                if len(out) > 50_000:
-                    yield rare_rows(out)
-                    out = []
-            yield rare_rows(out)
-
-    rare_ddl = "row long, h long, n long, last boolean, keys binary"
-
-    def rare_rows(out: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*out, strict=True) if out else [()] * 5
-        return _filled(rare_ddl, len(out), dict(zip(["row", "h", "n", "last", "keys"], columns, strict=True)))
+                columns = (batch.column(0).to_numpy()[start + place[rare]], h[rare].astype(np.int64), key[rare])
+                order = np.lexsort(columns[::-1])
+                columns = [x[order] for x in columns]
+                new_one = np.append(True, (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]) | (columns[2][1:] != columns[2][:-1]))
+                starts = np.flatnonzero(new_one[: len(order)])
+                yield _filled(rare_ddl, len(starts), dict(zip(["row", "h", "key"], [x[starts] for x in columns], strict=True)) | {"n": np.diff(np.append(starts, len(order)))})
 
     def rare_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = _Lookup(head.value, often, scale, shards)
+        lookup, end = _Lookup(head.value, often, scale), np.uint64(_hash(END)).astype(np.int64)
+        sums: list[tuple] = []
         for batch in batches:
-            row, n, last, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
-            model = n * (alone(c) + np.where(last, 0.0, as_context(c)))
-            blobs = batch.column(3).to_pylist()
-            asked = np.where(c > 0, [len(x) // 8 for x in blobs], 0).astype(np.int64)
-            keys = np.frombuffer(b"".join(x for x, a in zip(blobs, asked.tolist(), strict=True) if a), "<u8").astype(np.uint64)
-            place = np.repeat(np.arange(len(row)), asked)
-            model += np.bincount(place, lookup.add(row[place], keys, level(c, FINE, up=True)[place]), len(row))
-            yield from _summed(row, np.where(c > 0, n, 0), n * base(c), model, shards)
+            row, h, key, n, c = (batch.column(i).to_numpy() for i in range(5))
+            asked = np.flatnonzero((c > 0) & (key >= 0))
+            place = np.repeat(asked, n[asked])
+            gained = lookup.add(row[place], key[place].astype(np.uint64), level(c, FINE, up=True)[place])
+            model = n * (alone(c) + np.where(h == end, 0.0, as_context(c))) + np.bincount(place, gained, len(row))
+            sums.append((row, np.where(c > 0, n, 0), n * base(c), model))
             if lookup.size > FLUSH_PROBES:
                 yield lookup.packed()
+            if len(sums) * len(row) > FLUSH_SUMS:
+                yield _summed(sums, shards)
+                sums = []
         yield lookup.packed()
+        if sums:
+            yield _summed(sums, shards)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, bloom, gains = None, None, _Lookup(head.value, often, scale, shards)
+        at, bloom, gains = None, None, _Lookup(LogBloom(bytes(1)), often, scale)
         for batch in batches:
             kinds = batch.column(1).to_numpy()
             passed = np.flatnonzero(kinds == SUMS)
@@ -436,7 +440,7 @@ def scored(documents: DataFrame, trained: str = "trained", frequent: int = FREQU
     numbered = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     first = numbered.mapInArrow(frequent_part, _MIXED)
     rare = numbered.select("row", "text").mapInArrow(rare_tokens, rare_ddl).join(words.filter(F.col("c") < least).select("h", "c"), "h", "left")
-    second = rare.select("row", "n", "last", "keys", F.coalesce("c", F.lit(0)).alias("c")).mapInArrow(rare_part, _MIXED)
+    second = rare.select("row", "h", "key", "n", F.coalesce("c", F.lit(0)).alias("c")).mapInArrow(rare_part, _MIXED)
     empty = [F.lit(None).cast(p.split()[1]).alias(p.split()[0]) for p in ("b binary, c binary, " + _ROWS).split(", ")]
     built = filters.select("shard", F.lit(FILTER).alias("kind"), F.col("words").alias("a"), *empty)
     together = first.unionByName(second).unionByName(built).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
@@ -447,11 +451,12 @@ def scored(documents: DataFrame, trained: str = "trained", frequent: int = FREQU
     return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _summed(row: np.ndarray, known: np.ndarray, base: np.ndarray, model: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+def _summed(sums: list[tuple], shards: int) -> pa.RecordBatch:
     """One row per text with the sums over its tokens."""
+    row, known, base, model = (np.concatenate(x) for x in zip(*sums, strict=True))
     rows, place = np.unique(row, return_inverse=True)
     n = len(rows)
-    yield _filled(_MIXED, n, {
+    return _filled(_MIXED, n, {
         "shard": (rows % shards).astype(np.int32), "kind": [SUMS] * n, "row": rows, "known": np.bincount(place, known, n).astype(np.int64),
         "base": np.bincount(place, base, n), "model": np.bincount(place, model, n),
     })
