@@ -386,6 +386,50 @@ def test_short_quotes_link_and_threads_are_ordered(spark):
     assert [r.position for r in found if r.conv_id is None] == [None]
 
 
+LONG_LINE = "the ferry to the northern island leaves at a quarter past nine"
+
+
+def test_short_lines_link_within_their_conversation_only(spark):
+    rows = [
+        (1, 0, "u", f"Thanks\n{LONG_LINE}"), (1, 1, "a", "Yes.\n\nSee you at the old harbour\nnear the red lighthouse"),
+        (2, 0, "u", "Hello"), (2, 1, "a", "> Thanks\nYou are welcome"), (2, 2, "u", "> Thanks\n> Yes.\nwell"),
+        (3, 4, "u", f"> {LONG_LINE.upper()}\nI know"), (4, 0, "a", "> See you at\n> the old harbour near the\n> red lighthouse\nfine"),
+        (5, 0, "u", "> > Yes.\n> Thanks\n>\n> Yes.\nno"), (6, 1, "u", f"> {LONG_LINE}\n"), (6, 0, "a", LONG_LINE),
+    ]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("level", F.lit("clash")).withColumn("h", F.lit(1))
+    got = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn) for r in quoting.linked(docs).collect()}
+    assert {k: v for k, v in got.items() if v[0] is not None} == {(3, 4): (1, 0), (4, 0): (1, 1), (6, 1): (6, 0)}
+
+
+def test_quote_links_match_brute_force(spark):
+    rng = random.Random(3)
+    shorts = ["Yes.", "Thanks", "No idea", "42 km"]
+    rows = []
+    for conv in range(40):
+        for turn in range(rng.randint(1, 6)):
+            own = "\n".join(rng.choice(shorts) if rng.random() < 0.4 else text_of(rng, rng.randint(2, 12)) for _ in range(rng.randint(1, 3)))
+            if rows and rng.random() < 0.7:
+                source = rng.choice([r for r in rows if r[0] == conv] or rows) if rng.random() < 0.7 else rng.choice(rows)
+                quote = source[3].splitlines() if rng.random() < 0.5 else " ".join(source[3].splitlines()).split("  ")
+                own = "\n".join([*(["On Monday Bob wrote:"] if rng.random() < 0.5 else []), *("> " + line for line in quote), own])
+            rows.append((conv, turn, "u", own))
+    parsed = {(c, t): quoting.parse(x) for c, t, _, x in rows}
+    says = {k: quoting.said(body) for k, (body, _) in parsed.items()}
+    want = {}
+    for k, (_, quoted) in parsed.items():
+        votes = collections.defaultdict(collections.Counter)
+        for (level, passage), size in quoting.asked(quoted).items():
+            near = [o for o in says if o[0] == k[0] and o[1] < k[1] and passage in says[o]]
+            far = [o for o in says if o[0] < k[0] and passage in says[o]] if len(passage) >= 40 else []
+            if near or far:
+                votes[level][min(near or far)] += size
+        if votes:
+            first = votes[min(votes)]
+            want[k] = min(first, key=lambda o: (-first[o], o))
+    found = quoting.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(want) > 30 and {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn) for r in found if r.parent_conv is not None} == want
+
+
 def test_main_text():
     long = "Many words stand here in a row to make a paragraph that is long enough. " * 3
     page = (
