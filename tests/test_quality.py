@@ -57,7 +57,7 @@ def test_default_table_selects_the_primary(spark):
     assert {r.script_type: r.engine for r in Q.select_engine(rates).collect()} == {K.URDU: "primary", K.MARATHI: "primary"}
 
 
-def test_sample_set_end_to_end(spark):
+def test_sample_set_end_to_end(spark, tmp_path):
     manifest = samplegen.generate(spark, 80, 20)
     rows = manifest.collect()
     assert len(rows) == 100 and len({r.doc_id for r in rows}) == 100
@@ -71,10 +71,15 @@ def test_sample_set_end_to_end(spark):
             assert len(r.rendered_text.split("\n")) == 6 and None in tuple(r.fields)
     documents = manifest.select(F.col("doc_id").alias("document_id"), "filename")
     out = P.verify(documents, samplegen.perfect_reads(manifest), as_of="2024-06-30")
-    summary = Q.run_summary(manifest, out["fields"], out["results"]).first()
+    summary = Q.run_summary(manifest, out["fields"], out["results"], str(tmp_path / "run")).first()
     assert summary.ingested == 100 and summary.field_total == 600
     assert summary.field_hits / summary.field_total >= 0.9
     assert summary.rule_hits >= 18 and summary.rule_total == 20
+    # The totals are those of the rows written.
+    assert spark.read.parquet(str(tmp_path / "run/fields")).filter("hit").count() == summary.field_hits
+    assert spark.read.parquet(str(tmp_path / "run/rules")).filter("fired").count() == summary.rule_hits
+    nothing = Q.run_summary(manifest.limit(0), out["fields"], out["results"], str(tmp_path / "none")).first()
+    assert tuple(nothing) == (0, 0, 0, 0, 0)
     assert out["fields"].count() == 600 and out["results"].count() == 400
     scores = Q.score(manifest, out["fields"], out["results"])
     assert scores["decisions"].count() == 100

@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from veriloom import constants as K
-from veriloom.operators import rules, samplegen
+from veriloom.operators import reports, rules, samplegen
 from veriloom.sources.tables import RegistryLog
 from veriloom.streaming import attempts
 from veriloom.streaming import verify as SV
@@ -79,6 +79,114 @@ def test_uploads_and_reads_end_to_end(spark, tmp_path):
     assert [(r.status, r["count"]) for r in SV.live_status(log, spark).collect()] == [("validated", 5)]
 
 
+READ_SCHEMA = (
+    "document_id string, filename string, mime_type string, file_size_bytes bigint, uploaded_by string, uploaded_at timestamp, "
+    "engine string, priority int, text string, confidence double, error string"
+)
+LINES = "Property ID: WQ/MH/2001/000{n}\nMutawalli Name: Yusuf Pathan\nSurvey Number: 412/2"
+
+
+def read(document_id, priority, confidence, day=1, filename="a.png", text=None, error=None):
+    engine = {1: "primary", 2: "secondary", 3: "last_resort"}[priority]
+    at = None if day is None else dt.datetime(2024, 1, day)
+    return (document_id, filename, "image/png" if filename == "a.png" else None, 10, "u", at, engine, priority, text, confidence, error)
+
+
+def feed(spark, root, drops, **options):
+    """Run the stream once per drop, always from the same progress folder."""
+    for rows in drops:
+        spark.createDataFrame(rows, READ_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(READ_SCHEMA).parquet(f"{root}/in")
+        SV.verify(stream, f"{root}/out", f"{root}/cp", as_of=AS_OF, **options).awaitTermination()
+    return RegistryLog(f"{root}/out")
+
+
+def engines(log, spark):
+    return {r.document_id: (r.engine, r.ok) for r in log.current(spark, "readings").collect()}
+
+
+def test_late_reads_are_merged_with_earlier_ones(spark, tmp_path):
+    one, two = LINES.format(n=1), LINES.format(n=2)
+    first = [
+        read("a", 1, 0.4, text=one), read("b", 1, 0.9, text=one), read("c", 1, 0.0, error="broken"),
+        read("d", 1, 0.9, text=one), read("e", 1, 0.5, day=None, text=one), read("z", 3, 0.2, text=two),
+    ]
+    late = [
+        read("a", 2, 0.8, text=two),  # better than the weak primary read of the first batch
+        read("b", 2, 0.95, text=two),  # the primary read is good enough to need no comparison
+        read("c", 3, 0.1, text=two),  # nothing else could be read
+        read("d", 2, 0.3, day=2, text=two),  # a second upload: the first one's reads are out
+        read("e", 2, 0.6, day=None, text=two),
+        read("a", 1, 0.4, text=one),  # a row that comes again
+    ]
+    log = feed(spark, str(tmp_path / "two"), [first, late])
+    want = {"a": ("secondary", True), "b": ("primary", True), "c": ("last_resort", True), "d": ("secondary", True), "e": ("secondary", True), "z": ("last_resort", True)}
+    assert engines(log, spark) == want
+    # Only documents with new rows were verified again.
+    assert {r.document_id for r in log.history(spark, "readings").filter("batch_id = 1").collect()} == set("abcde")
+    assert log.current(spark, "fields").count() == 36
+    together = feed(spark, str(tmp_path / "one"), [first + late])
+    assert engines(together, spark) == want
+    plain = lambda x: sorted(map(str, x.current(spark, "fields").collect()))
+    assert plain(together) == plain(log)
+
+
+def test_refused_uploads_displace_nothing(spark, tmp_path):
+    good, bad = read("a", 1, 0.9, text=LINES.format(n=1)), read("a", 1, 1.0, day=3, filename="a.exe", text="x")
+    log = feed(spark, str(tmp_path), [[good], [bad], [read("a", 2, 0.2, text="y")]])
+    assert engines(log, spark) == {"a": ("primary", True)}
+    assert [(r.filename, r.reject_reason) for r in log.history(spark, "rejects").collect()] == [("a.exe", "unsupported_type")]
+    assert [(r.status, r["count"]) for r in SV.live_status(log, spark).collect()] == [("validated", 1)]
+
+
+def test_documents_are_matched_with_all_earlier_ones(spark, tmp_path):
+    vectors = spark.createDataFrame(
+        [("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0]), ("e", [1.0, 0.05])], "document_id string, embedding array<float>"
+    )
+    embed = lambda texts: texts.join(vectors, "document_id").select("document_id", "embedding")
+    one, two = LINES.format(n=1), LINES.format(n=2)
+    drops = [
+        [read("a", 1, 0.9, text=one), read("blank", 1, 0.9, text="nothing to find")],
+        [read("b", 1, 0.9, text=one), read("c", 1, 0.9, text=two), read("d", 1, 0.9, text=one)],
+        [read("a", 1, 0.9, day=2, text=two)],
+        [read("e", 1, 0.9, text=one)],
+    ]
+    log = feed(spark, str(tmp_path), drops, embed=embed)
+    found = {
+        (r.document_id, r.batch_id): ([c.document_id for c in r.candidates], r.match_status, r.matched_document_id)
+        for r in log.history(spark, "matches").collect()
+    }
+    assert found == {
+        ("a", 0): ([], "new_property", None),
+        ("b", 1): (["a", "c"], "existing_property", "a"),
+        ("c", 1): (["b", "a"], "new_property", None),
+        ("d", 1): ([], None, None),  # no vector
+        ("a", 2): (["b", "c"], "existing_property", "c"),  # its new id is that of c; its old entry is no candidate
+        ("e", 3): (["a", "b", "c"], "existing_property", "b"),  # a has another id by now
+    }
+    assert sorted(r.document_id for r in log.current(spark, "index").collect()) == ["a", "b", "c", "d", "e"]
+
+
+def test_live_counts_equal_a_recount_after_each_batch(spark, tmp_path):
+    log = RegistryLog(str(tmp_path))
+    batches = [
+        [("a", "processing"), ("b", "processing"), ("c", None)],
+        [("a", "validated"), ("d", "processing"), ("c", None)],
+        [("a", "approved"), ("b", "flagged"), ("c", "flagged")],
+        [("b", "flagged")],
+        [],
+    ]
+    assert SV.live_status(log, spark) is None
+    for n, rows in enumerate(batches):
+        batch = spark.createDataFrame(rows, "document_id string, status string")
+        for _ in range(2):  # a replayed batch changes nothing
+            SV.write_statuses(log, batch, n)
+        counted = {r.status: r["count"] for r in SV.live_status(log, spark).collect()}
+        assert counted == {r.status: r["count"] for r in reports.status_breakdown(log.current(spark, "documents")).collect()}
+    # Counts as of an earlier batch stay available.
+    assert {r.status: r["count"] for r in SV.live_status(log, spark, 0).collect()} == {"processing": 2, None: 1}
+
+
 def test_attempts_are_counted_across_batches(spark, tmp_path):
     def rows(*ids):
         return spark.createDataFrame(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,16 +126,19 @@ def field_accuracy(hits: DataFrame) -> DataFrame:
     )
 
 
-def rule_catches(manifest: DataFrame, results: DataFrame) -> DataFrame:
-    """Caught and total per expected rule, and in total (rule null): caught when the rule gave anything but pass."""
+def expected_rules(manifest: DataFrame, results: DataFrame) -> DataFrame:
+    """Each document's expected rule with whether it ``fired``: gave anything but pass."""
     expected = manifest.filter(F.coalesce("expected_failing_rule", F.lit("")) != "").select(
         F.col("doc_id").alias("document_id"), F.col("expected_failing_rule").alias("rule_name")
     )
     fired = results.groupBy("document_id", "rule_name").agg(F.max(F.col("result") != "pass").alias("fired"))
-    return (
-        expected.join(fired, ["document_id", "rule_name"], "left")
-        .rollup("rule_name")
-        .agg(F.count_if("fired").alias("caught"), F.count(F.lit(1)).alias("total"))
+    return expected.join(fired, ["document_id", "rule_name"], "left")
+
+
+def rule_catches(manifest: DataFrame, results: DataFrame) -> DataFrame:
+    """Caught and total per expected rule, and in total (rule null): caught when the rule gave anything but pass."""
+    return expected_rules(manifest, results).rollup("rule_name").agg(
+        F.count_if("fired").alias("caught"), F.count(F.lit(1)).alias("total")
     )
 
 
@@ -150,14 +153,22 @@ def score(manifest: DataFrame, fields: DataFrame, results: DataFrame) -> dict[st
     }
 
 
-def run_summary(manifest: DataFrame, fields: DataFrame, results: DataFrame) -> DataFrame:
-    """One row of totals for a batch run: documents, field hits, defects caught."""
-    accuracy = field_accuracy(field_hits(truth_fields(manifest), fields))
-    total = rule_catches(manifest, results).filter(F.col("rule_name").isNull())
-    return accuracy.select(
-        manifest.agg(F.count(F.lit(1))).scalar().alias("ingested"),
-        F.col("hits").alias("field_hits"),
-        F.col("total").alias("field_total"),
-        total.select("caught").scalar().alias("rule_hits"),
-        total.select("total").scalar().alias("rule_total"),
+def run_summary(manifest: DataFrame, fields: DataFrame, results: DataFrame, path: str) -> DataFrame:
+    """Write the scored fields and rules of a batch run under ``path``; one row of totals read off those two jobs.
+
+    ``path/fields`` has every true field with its hit, ``path/rules`` every expected rule with whether it fired. The totals
+    are metrics observed while these are written, so nothing is computed a second time. An empty run has totals of zero.
+    """
+    of_fields, of_rules = Observation(), Observation()
+    hits = field_hits(truth_fields(manifest), fields).observe(
+        of_fields, F.count_if(F.col("field_name") == K.FIELDS[0]).alias("ingested"),
+        F.count_if("hit").alias("field_hits"), F.count(F.lit(1)).alias("field_total"),
+    )
+    hits.write.mode("overwrite").parquet(f"{path}/fields")
+    caught = expected_rules(manifest, results).observe(
+        of_rules, F.count_if("fired").alias("rule_hits"), F.count(F.lit(1)).alias("rule_total")
     )
+    caught.write.mode("overwrite").parquet(f"{path}/rules")
+    seen = of_fields.get | of_rules.get
+    names = ["ingested", "field_hits", "field_total", "rule_hits", "rule_total"]
+    return manifest.sparkSession.createDataFrame([tuple(seen[n] for n in names)], ", ".join(f"{n} bigint" for n in names))

@@ -26,6 +26,11 @@ def newest_first(documents: DataFrame) -> DataFrame:
     return documents.orderBy(F.desc("uploaded_at"), "document_id")
 
 
+def by_key(configs: DataFrame) -> DataFrame:
+    """Rule configurations in the order they are listed."""
+    return configs.orderBy("key")
+
+
 def queue(documents: DataFrame) -> DataFrame:
     """Documents awaiting review; order by ``uploaded_at, document_id`` where the order is shown."""
     return documents.filter(F.col("status").isin(K.QUEUE_STATUSES))

@@ -5,12 +5,14 @@ Every query reads whole driver tables through the adapters.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriloom import constants as K
+from veriloom import session
 from veriloom.functions import display as V
 from veriloom.functions import extract as E
 from veriloom.functions import model_json as J
@@ -19,6 +21,9 @@ from veriloom.functions import text as X
 from veriloom.operators import guards, quality, readings, registry, reports, reviews, rules, samplegen, similarity
 from veriloom.plans import adapters as A
 from veriloom.plans import verify as P
+from veriloom.sources.tables import RegistryLog
+from veriloom.streaming import attempts
+from veriloom.streaming import verify as SV
 
 AS_OF = "2024-06-30"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +46,11 @@ def _text(name: str) -> Column:
     return F.col(name).cast("string").alias(name)
 
 
+def _run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for what a query writes."""
+    return f"{session.shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 # ---- rules -------------------------------------------------------------------------------------------------
 
 _ID_LABELS = "[CASE WHEN coalesce(property_id, '') = '' THEN 'Property ID' END, CASE WHEN coalesce(mutawalli_name, '') = '' THEN 'Mutawalli name' END, CASE WHEN coalesce(survey_number, '') = '' THEN 'Survey number' END]"
@@ -775,6 +785,24 @@ def rule_catch_rate(spark, folder):
     return quality.rule_catches(manifest, _results(spark, folder))
 
 
+_TRUE_FIELDS = " UNION ALL ".join(f"SELECT x.{f} AS a, w.{f} AS b FROM x JOIN reg_fields_wide w USING (document_id)" for f in K.FIELDS)
+
+
+@query(
+    "run_summary",
+    _rules_sql()
+    + f", x AS ({_EXTRACTED}), h AS (SELECT count(*) FILTER (lower(trim(coalesce(a, ''))) = lower(trim(coalesce(b, '')))) AS field_hits, count(*) AS field_total FROM ({_TRUE_FIELDS})), "
+    + f"c AS (SELECT count(*) FILTER (r.result <> 'pass') AS rule_hits, count(*) AS rule_total FROM (SELECT document_id, {_EXPECTED_RULE} AS rule_name FROM reg_documents) e LEFT JOIN results r USING (document_id, rule_name) WHERE e.rule_name IS NOT NULL) "
+    + "SELECT (SELECT count(*) FROM reg_documents) AS ingested, h.*, c.* FROM h, c",
+)
+def run_summary(spark, folder):
+    wide = A.view(spark, folder, "reg_fields_wide")
+    manifest = wide.select(
+        F.col("document_id").alias("doc_id"), F.struct(*K.FIELDS).alias("fields"), F.expr(_EXPECTED_RULE).alias("expected_failing_rule")
+    )
+    return quality.run_summary(manifest, E.extract_fields(_rendered(wide)), _results(spark, folder), _run_folder(spark, "run-summary"))
+
+
 # ---- similarity --------------------------------------------------------------------------------------------
 
 _NEAR = """WITH v AS (SELECT vec_id AS document_id, embedding::DOUBLE[] AS e, label FROM embeddings),
@@ -1019,13 +1047,7 @@ def process_documents(spark, folder):
 
 @query("stream_verify", _rules_sql() + "SELECT rule_name, result, count(*) AS n FROM results GROUP BY 1, 2")
 def stream_verify(spark, folder):
-    import uuid
-
-    from veriloom import session
-    from veriloom.sources.tables import RegistryLog
-    from veriloom.streaming import verify as SV
-
-    root = f"{session.shared_dir(spark)}/stream-verify-{uuid.uuid4().hex[:12]}"
+    root = _run_folder(spark, "stream-verify")
     schema = A.table(spark, folder, "orders").schema
     orders = spark.readStream.schema(schema).parquet(f"{folder}/orders*.parquet")
     names = A.SQL["reg_documents"].replace("o_orderkey AS document_id", "o_orderkey AS document_id, o_orderkey, o_custkey, o_orderdate")
@@ -1043,12 +1065,7 @@ def stream_verify(spark, folder):
     + "SELECT document_id, count(*) AS accepted, cast(max(used + fine_before + 1) AS int) AS last_attempt FROM a WHERE used IS NOT NULL AND file_reason IS NULL AND used + fine_before < 3 GROUP BY 1",
 )
 def stream_reupload_gate(spark, folder):
-    import uuid
-
-    from veriloom import session
-    from veriloom.streaming import attempts
-
-    root = f"{session.shared_dir(spark)}/stream-gate-{uuid.uuid4().hex[:12]}"
+    root = _run_folder(spark, "stream-gate")
     schema = A.table(spark, folder, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{folder}/events*.parquet")
     requests = spark.sql(A.SQL["reg_requests"], events=events)
@@ -1061,3 +1078,81 @@ def stream_reupload_gate(spark, folder):
     running.awaitTermination()
     accepted = spark.read.parquet(f"{root}/accepted").filter("attempt IS NOT NULL")
     return accepted.groupBy("document_id").agg(F.count(F.lit(1)).alias("accepted"), F.max("attempt").alias("last_attempt"))
+
+
+def _in_drops(drops: list[DataFrame], root: str, start: Callable) -> RegistryLog:
+    """Write files drop by drop and let the stream catch up after each: one batch a drop, restarted in between."""
+    spark = drops[0].sparkSession
+    for drop in drops:
+        drop.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(drop.schema).parquet(f"{root}/in")
+        start(stream, f"{root}/registry", f"{root}/progress").awaitTermination()
+    return RegistryLog(f"{root}/registry")
+
+
+# Every third document was uploaded twice; its primary read is one of the first upload.
+_OLD_READ = "document_id % 3 = 0 AND priority = 1"
+_WINNER = """r AS (SELECT * FROM reg_readings WHERE NOT (""" + _OLD_READ + """)),
+  g AS (SELECT document_id, max(confidence) FILTER (priority = 1) AS pc, max(confidence) FILTER (priority = 2) AS sc,
+    coalesce(bool_or(coalesce(text, '') <> '' AND error IS NULL) FILTER (priority = 1), false) AS po, coalesce(bool_or(coalesce(text, '') <> '' AND error IS NULL) FILTER (priority = 2), false) AS so,
+    coalesce(bool_or(coalesce(text, '') <> '' AND error IS NULL) FILTER (priority = 3), false) AS lo FROM r GROUP BY 1),
+  w AS (SELECT document_id, po OR so OR lo AS ok, CASE WHEN so AND (NOT po OR (pc < 0.6 AND sc > pc)) THEN 'secondary' WHEN po THEN 'primary' ELSE 'last_resort' END AS engine FROM g)"""
+
+
+@query(
+    "stream_late_reads",
+    A.with_views("reg_readings")
+    + ", " + _WINNER + """, v AS (SELECT vec_id AS document_id, embedding::DOUBLE[] AS e, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
+  n AS (SELECT q.document_id AS query_id, q.label AS ql, c.document_id, c.label AS cl, list_cosine_similarity(q.e, c.e) AS s FROM v q JOIN v c ON q.document_id <> c.document_id),
+  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, document_id) AS rank FROM n),
+  m AS (SELECT query_id AS document_id, string_agg(document_id, ' ' ORDER BY rank) AS candidates, CASE WHEN min(rank) FILTER (ql = cl) IS NULL THEN 'new_property' ELSE 'existing_property' END AS match_status,
+    cast(arg_min(document_id, rank) FILTER (ql = cl) AS string) AS matched_document_id FROM k WHERE rank <= 5 GROUP BY 1)
+  SELECT w.document_id, w.engine, w.ok, coalesce(m.candidates, '') AS candidates, m.match_status, m.matched_document_id FROM w LEFT JOIN m USING (document_id)""",
+)
+def stream_late_reads(spark, folder):
+    """Primary and last-resort reads first, secondary reads later, every other document wholly in the first drop."""
+    reads = A.view(spark, folder, "reg_readings").select(
+        "*", F.concat(F.lit("scan-"), "document_id", F.lit(".png")).alias("filename"), F.lit("image/png").alias("mime_type"),
+        F.lit(10).cast("bigint").alias("file_size_bytes"), F.lit("clerk").alias("uploaded_by"),
+        F.when(F.expr(_OLD_READ), F.lit("2024-01-01")).otherwise("2024-01-02").cast("timestamp").alias("uploaded_at"),
+    )
+    late = (F.col("priority") == 2) & (F.col("document_id") % 2 == 0)
+    vectors = _embeddings(spark, folder)
+    labels = vectors.select("document_id", F.concat(F.lit("P"), "label").alias("property_id"))
+    ids = A.table(spark, folder, "documents").select(F.col("doc_id").alias("document_id"))
+    # What a reading model answered: the id where it is known, and a place.
+    answers = ids.join(labels, "document_id", "left").select(
+        "document_id", F.to_json(F.struct("property_id", F.lit("Bhiwandi").alias("village"))).alias("raw")
+    )
+
+    def start(stream, path, progress):
+        embed = lambda texts: texts.join(vectors, "document_id").select("document_id", "embedding")
+        return SV.verify(stream, path, progress, as_of=AS_OF, embed=embed, options={"answers": answers})
+
+    log = _in_drops([reads.filter(~late), reads.filter(late)], _run_folder(spark, "stream-late"), start)
+    best, found = log.current(spark, "readings"), log.current(spark, "matches")
+    return best.join(found, "document_id", "left").select(
+        "document_id", "engine", "ok", F.array_join(F.transform("candidates", lambda c: c["document_id"].cast("string")), " ").alias("candidates"),
+        "match_status", _text("matched_document_id"),
+    )
+
+
+_STATUS_EVENTS = "SELECT user_id * 10 + event_id % 10 AS document_id, event_type AS status, ts AS uploaded_at, event_id FROM {events}"
+_DROPS = 3
+
+
+@query(
+    "live_status_counts",
+    f"WITH e AS ({_STATUS_EVENTS.replace('{events}', 'events')}), b AS (SELECT unnest(range({_DROPS})) AS batch), "
+    + f"l AS (SELECT batch, document_id, arg_max(status, (event_id % {_DROPS}, uploaded_at, event_id)) AS status FROM b JOIN e ON event_id % {_DROPS} <= batch GROUP BY ALL) "
+    + "SELECT cast(batch AS int) AS batch, status, count(*) AS n FROM l GROUP BY ALL",
+)
+def live_status_counts(spark, folder):
+    """Documents per status after each of three batches of status changes, from logged differences."""
+    changes = spark.sql(_STATUS_EVENTS, events=A.table(spark, folder, "events"))
+    # Fields compared after the time are in order of the columns, so the id comes before the status.
+    changes = changes.select("document_id", "uploaded_at", "event_id", "status")
+    drops = [changes.filter(F.col("event_id") % _DROPS == n) for n in range(_DROPS)]
+    log = _in_drops(drops, _run_folder(spark, "stream-status"), SV.follow_statuses)
+    after = [SV.live_status(log, spark, n).select(F.lit(n).alias("batch"), "status", F.col("count").alias("n")) for n in range(_DROPS)]
+    return after[0].unionByName(after[1]).unionByName(after[2])
