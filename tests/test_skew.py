@@ -21,8 +21,39 @@ def test_ranked_equals_one_window_per_group(spark):
         assert sorted(map(str, got.select("id", "n", "p", "q").collect())) == sorted(map(str, want.collect()))
 
 
+def test_ranked_takes_null_keys_and_null_order(spark):
+    df = hot_rows(spark).selectExpr("id", "nullif(k, 'hot') AS k", "nullif(t, 3) AS t", "v")
+    w = Window.partitionBy("k").orderBy("t", "id")
+    want = df.select("id", F.row_number().over(w).cast("bigint").alias("n"), F.lag("v").over(w).alias("p"), F.lead("v").over(w).alias("q"))
+    for slice_rows, sample_rows in ((1, 4096), (1, 400), (3, 7), (1, 1)):
+        got = skew.ranked(
+            df, ["k"], ["t", "id"], "id", rank="n", lag={"p": "v"}, lead={"q": "v"}, slice_rows=slice_rows, sample_rows=sample_rows
+        )
+        assert sorted(map(str, got.select("id", "n", "p", "q").collect())) == sorted(map(str, want.collect()))
+    assert skew.ranked(df.limit(0), ["k"], ["t", "id"], "id", rank="n", slice_rows=1).count() == 0
+
+
+def test_ranked_shuffles_the_rows_once_and_scans_them_three_times(spark, tmp_path):
+    hot_rows(spark).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    numbered = skew.ranked(df, ["k"], ["t", "id"], "id", rank="n", lag={"p": "v"}, slice_rows=5)
+    assert numbered.count() == len(numbered.collect()) == 400
+    # As executed: the rows, the edges of cut groups, and the sample once, which the second user takes over.
+    final = numbered._jdf.queryExecution().executedPlan().toString().rsplit("\n+- == Initial Plan ==", 1)[0]
+    scans = [line for line in final.splitlines() if "FileScan" in line and "Initial" not in line]
+    assert final.count("ReusedSubquery Subquery") >= 1 and len(scans) <= 4
+    assert final.count("Window [row_number()") == 1
+
+
+def test_sampled_keys_are_bounded(spark):
+    df = spark.range(4000).selectExpr("id", "id DIV 2 AS k")
+    assert skew.candidate_keys(df, ["k"], "id", slice_rows=1).count() == 2000
+    assert skew.candidate_keys(df, ["k"], "id", slice_rows=1, rows=100).count() <= 50
+
+
 def test_large_groups_are_cut_and_small_ones_are_not(spark):
-    sliced = skew.with_slices(hot_rows(spark), ["k"], ["t", "id"], "id", slice_rows=5, max_slices=8)
+    # The hot key holds a third of the rows, so about a third of the splitters.
+    sliced = skew.with_slices(hot_rows(spark), ["k"], ["t", "id"], "id", slice_rows=5, sample_rows=24)
     per_key = {r.k: r.n for r in sliced.groupBy("k").agg(F.countDistinct("_slice").alias("n")).collect()}
     largest = sliced.filter("k = 'hot'").groupBy("_slice").count().agg(F.max("count")).first()[0]
     assert 4 <= per_key["hot"] <= 9 and largest < 134

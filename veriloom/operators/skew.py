@@ -1,9 +1,8 @@
 """Joins and ordered numbering that stay balanced when one key holds a large share of the rows.
 
-A key counts as hot from its own rows alone: rows are picked by a hash of their id (so a retried task picks
-the same ones), and keys met more than once among the picked rows are candidates. With one row in
-``slice_rows`` picked, at most ``rows / (2 * slice_rows)`` keys can qualify, which bounds what is broadcast:
-about 20,000 keys for ten billion rows at the default.
+Both start from a sample of at most ``SAMPLE_ROWS`` rows, picked by a hash of their id, so that a retried task picks the
+same ones. Keys met more than once in it count as hot; in order they are the splitters that cut a table into slices. What is
+broadcast is bounded by that number whatever the table holds; above ``SAMPLE_ROWS * slice_rows`` rows the slices grow with it.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE_ROWS = 250_000
-MAX_SLICES = 256
+SAMPLE_ROWS = 4096
 SALTS = 64
 
 
@@ -21,9 +20,17 @@ def picked(row_id: str, slice_rows: int) -> Column:
     return F.pmod(F.xxhash64(row_id), F.lit(slice_rows)) == 0
 
 
-def candidate_keys(df: DataFrame, keys: list[str], row_id: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Keys met at least twice among the picked rows."""
-    counted = df.filter(picked(row_id, slice_rows)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_met"))
+def _sample(df: DataFrame, row_id: str, slice_rows: int, rows: int, *columns: Column | str) -> DataFrame:
+    """One row in ``slice_rows``, ``rows`` of them at most."""
+    some = df.filter(picked(row_id, slice_rows)).select(*columns, F.xxhash64(F.lit("drawn"), row_id).alias("_drawn"))
+    return some.orderBy("_drawn").limit(rows).drop("_drawn")
+
+
+def candidate_keys(
+    df: DataFrame, keys: list[str], row_id: str, slice_rows: int = SLICE_ROWS, rows: int = SAMPLE_ROWS
+) -> DataFrame:
+    """Keys met at least twice in the sample: at most half as many as it has rows."""
+    counted = _sample(df, row_id, slice_rows, rows, *keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_met"))
     return counted.filter("_met >= 2").select(*keys)
 
 
@@ -60,32 +67,33 @@ def salted_join(
     return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
 
 
-def _order_struct(order: list[str]) -> Column:
-    return F.struct(*[F.col(c).alias(c) for c in order])
+def _struct(columns: list[str]) -> Column:
+    return F.struct(*[F.col(c).alias(c) for c in columns])
 
 
 def with_slices(
     df: DataFrame, keys: list[str], order: list[str], row_id: str, slice_rows: int = SLICE_ROWS,
-    max_slices: int = MAX_SLICES,
+    sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
-    """Add ``_slice``: ordered pieces of each large group, cut at sampled rows of the group itself.
+    """Add ``_slice``: ordered pieces of large groups, and ``_cut``: whether the row's group is in pieces.
 
-    Slice numbers rise with ``order``. Small groups are one slice. Cut points are chosen by row id, so the same
-    input always gives the same slices, whatever the partitioning.
+    The sampled rows in the order of ``keys`` and ``order`` split the whole table, so a group gets as many of them as its
+    share of the rows. A row's slice is the number of splitters up to it, found by bisection; a group without a
+    splitter is slice 0 as a whole. Null keys are a group like any other.
     """
-    cuts = (
-        df.filter(picked(row_id, slice_rows))
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(_order_struct(order))).alias("_all"))
-        .filter(F.size("_all") >= 2)
-    )
-    step = F.ceil(F.size("_all") / F.lit(max_slices)).cast("int")
-    thinned = cuts.select(
-        *keys, F.filter("_all", lambda c, i: F.pmod(i, step) == 0).alias("_cuts")
-    )
-    here = _order_struct(order)
-    slice_no = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c <= here)))
-    return df.join(F.broadcast(thinned), keys, "left").withColumn("_slice", slice_no).drop("_cuts")
+    where = F.struct(_struct(keys).alias("k"), _struct(order).alias("o"))
+    splitters = _sample(df, row_id, slice_rows, sample_rows, where.alias("c")).agg(F.sort_array(F.collect_list("c"))).scalar()
+    steps = [1 << n for n in reversed(range(sample_rows.bit_length()))]
+    placed = df.withColumns({"_splitters": splitters, "_here": where})
+
+    def halve(at: Column, step: Column) -> Column:
+        return F.when(F.get("_splitters", at + step - 1) <= F.col("_here"), at + step).otherwise(at)
+
+    placed = placed.withColumn("_at", F.aggregate(F.array(*[F.lit(n) for n in steps]), F.lit(0), halve))
+    # A splitter inside the group is the last one up to this row or the first one after it.
+    inside = [F.coalesce(F.get("_splitters", F.col("_at") + n)["k"] == F.col("_here.k"), F.lit(False)) for n in (-1, 0)]
+    placed = placed.withColumn("_cut", inside[0] | inside[1])
+    return placed.withColumn("_slice", F.when(F.col("_cut"), F.col("_at")).otherwise(0)).drop("_splitters", "_here", "_at")
 
 
 def ranked(
@@ -97,15 +105,16 @@ def ranked(
     lag: dict[str, str] | None = None,
     lead: dict[str, str] | None = None,
     slice_rows: int = SLICE_ROWS,
+    sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """Row number, previous and next value inside each group, without putting a large group in one task.
 
     ``order`` must be total within a group (end it with a unique column). ``lag`` and ``lead`` map output
-    column to input column. Each slice is numbered on its own; a table of slice edges, which only large groups
-    have, carries offsets and neighbour values over.
+    column to input column. Rows are shuffled once, each slice is numbered on its own, and the edges of the slices
+    of cut groups, at most twice ``sample_rows``, carry offsets and neighbour values over.
     """
     lag, lead = lag or {}, lead or {}
-    sliced = with_slices(df, keys, order, row_id, slice_rows)
+    sliced = with_slices(df, keys, order, row_id, slice_rows, sample_rows)
     local = Window.partitionBy(*keys, "_slice").orderBy(*order)
     out = sliced.withColumn("_rank", F.row_number().over(local).cast("bigint"))
     for name, source in lag.items():
@@ -115,30 +124,27 @@ def ranked(
     if lead:
         out = out.withColumn("_last", F.lead(F.lit(1)).over(local).isNull())
 
-    here = _order_struct(order)
+    here = _struct(order)
     aggregates = [F.count(F.lit(1)).alias("_n")]
     aggregates += [F.max_by(source, here).alias(f"_tail_{name}") for name, source in lag.items()]
     aggregates += [F.min_by(source, here).alias(f"_head_{name}") for name, source in lead.items()]
-    # Only groups with cut points can span slices; the semi join keeps the edge table to those.
-    cut_keys = candidate_keys(df, keys, row_id, slice_rows)
-    edges = (
-        sliced.join(F.broadcast(cut_keys), keys, "left_semi").groupBy(*keys, "_slice").agg(*aggregates)
-    )
+    edges = sliced.filter("_cut").groupBy(*keys, "_slice").agg(*aggregates)
     across = Window.partitionBy(*keys).orderBy("_slice")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     edges = edges.select(
-        *keys,
-        "_slice",
+        _struct([*keys, "_slice"]).alias("_edge"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
         *[F.lag(f"_tail_{name}").over(across).alias(f"_prev_{name}") for name in lag],
         *[F.lead(f"_head_{name}").over(across).alias(f"_next_{name}") for name in lead],
     )
-    out = out.join(F.broadcast(edges), [*keys, "_slice"], "left")
+    # Compared as one value, in which nulls are equal.
+    out = out.withColumn("_piece", F.when(F.col("_cut"), _struct([*keys, "_slice"])))
+    out = out.join(F.broadcast(edges), F.col("_piece") == F.col("_edge"), "left")
     for name in lag:
         out = out.withColumn(name, F.when(F.col("_rank") == 1, F.col(f"_prev_{name}")).otherwise(F.col(name)))
     for name in lead:
         out = out.withColumn(name, F.when(F.col("_last"), F.col(f"_next_{name}")).otherwise(F.col(name)))
     if rank:
         out = out.withColumn(rank, F.col("_rank") + F.coalesce(F.col("_offset"), F.lit(0)))
-    drop = ["_slice", "_rank", "_offset", "_last"] + [f"_prev_{n}" for n in lag] + [f"_next_{n}" for n in lead]
+    drop = ["_slice", "_cut", "_piece", "_edge", "_rank", "_offset", "_last"] + [f"_prev_{n}" for n in lag] + [f"_next_{n}" for n in lead]
     return out.drop(*drop)
