@@ -21,6 +21,7 @@ from veriloom.functions import text as X
 from veriloom.operators import guards, quality, readings, registry, reports, reviews, rules, samplegen, similarity
 from veriloom.plans import adapters as A
 from veriloom.plans import verify as P
+from veriloom.sources import tables
 from veriloom.sources.tables import RegistryLog
 from veriloom.streaming import attempts
 from veriloom.streaming import verify as SV
@@ -1156,3 +1157,239 @@ def live_status_counts(spark, folder):
     log = _in_drops(drops, _run_folder(spark, "stream-status"), SV.follow_statuses)
     after = [SV.live_status(log, spark, n).select(F.lit(n).alias("batch"), "status", F.col("count").alias("n")) for n in range(_DROPS)]
     return after[0].unionByName(after[1]).unionByName(after[2])
+
+
+# ---- display, exchange files, failures -----------------------------------------------------------------------
+
+
+@query(
+    "review_actions",
+    """SELECT event_id AS review_id, CASE WHEN event_type = 'click' AND event_id % 4 <> 0 THEN 'correct' ELSE 'approve' END AS action,
+      cast(cast(floor(floor(value * 1000) / 1000 + 0.5) AS int) AS string) AS seconds FROM events""",
+)
+def review_actions(spark, folder):
+    """What a submitted review counts as and how long it took; every fourth correction is empty."""
+    events = A.table(spark, folder, "events").withColumn("opened", F.col("ts").cast("timestamp"))
+    edits = F.when(F.col("event_id") % 4 == 0, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("village"), "props"))
+    submitted = F.timestamp_millis(F.unix_millis("opened") + F.floor(F.col("value") * 1000))
+    return events.select(
+        F.col("event_id").alias("review_id"), V.review_action(F.when(F.col("event_type") == "click", edits)).alias("action"),
+        V.review_seconds(F.col("opened"), submitted).cast("string").alias("seconds"),
+    )
+
+
+@query(
+    "rule_labels",
+    _rules_sql() + "SELECT replace(rule_name, '_', ' ') AS rule, result, printf('%.1f%%', count(*) * 100.0 / (SELECT count(*) FROM rec)) AS share FROM results GROUP BY 1, 2",
+)
+def rule_labels(spark, folder):
+    """Outcomes under the names shown, with the share of records that have them."""
+    found = _results(spark, folder)
+    total = A.table(spark, folder, "orders").agg(F.count(F.lit(1))).scalar()
+    counts = found.groupBy("rule_name", "result").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(V.rule_label(F.col("rule_name")).alias("rule"), "result", V.error_percent(F.col("n") / total).alias("share"))
+
+
+@query(
+    "mandatory_fields_shown",
+    A.with_views("reg_fields_long")
+    + "SELECT document_id, field_name, field_name IN (" + ", ".join(f"'{f}'" for f in K.MANDATORY_FIELDS) + ") AS mandatory FROM reg_fields_long",
+)
+def mandatory_fields_shown(spark, folder):
+    fields = A.view(spark, folder, "reg_fields_long")
+    return fields.select("document_id", "field_name", V.is_mandatory(F.col("field_name")).alias("mandatory"))
+
+
+@query(
+    "diagnostic_lines",
+    """WITH l AS (SELECT doc_id AS document_id, string_split(replace(text, '. ', chr(10) || chr(10)), chr(10)) AS parts FROM documents),
+      e AS (SELECT document_id, unnest(parts) AS note, generate_subscripts(parts, 1) - 1 AS line FROM l)
+    SELECT document_id, line, md5(note) AS note_hash FROM e WHERE note <> ''""",
+)
+def diagnostic_lines(spark, folder):
+    notes = A.table(spark, folder, "documents").select(
+        F.col("doc_id").alias("document_id"), F.replace("text", F.lit(". "), F.lit("\n\n")).alias("extraction_notes")
+    )
+    return V.diagnostics(notes).select("document_id", F.col("line").cast("bigint").alias("line"), F.md5("note").alias("note_hash"))
+
+
+@query(
+    "camel_case_columns",
+    A.with_views("reg_documents")
+    + 'SELECT document_id AS "documentId", script_type AS "scriptType", reupload_count AS "reuploadCount", is_synthetic AS "isSynthetic" FROM reg_documents',
+)
+def camel_case_columns(spark, folder):
+    return V.camel_columns(A.view(spark, folder, "reg_documents").select("document_id", "script_type", "reupload_count", "is_synthetic"))
+
+
+@query(
+    "newest_documents",
+    A.with_views("reg_documents") + "SELECT document_id, filename FROM reg_documents ORDER BY uploaded_at DESC, document_id LIMIT 100",
+)
+def newest_documents(spark, folder):
+    """The hundred documents uploaded last."""
+    return registry.newest_first(A.view(spark, folder, "reg_documents")).limit(100).select("document_id", "filename")
+
+
+@query(
+    "pdf_files",
+    """SELECT page_id, coalesce(page_id % 5 = 0 OR page_id % 3 = 0, false) AS pdf FROM pages""",
+)
+def pdf_files(spark, folder):
+    """Scans known as PDF by their type or by their first bytes, whatever the other says."""
+    pages = A.table(spark, folder, "pages")
+    kind = F.when(F.col("page_id") % 5 == 0, "application/pdf").when(F.col("page_id") % 5 == 1, "image/png")
+    content = F.concat(F.when(F.col("page_id") % 3 == 0, "%PDF-1.7 ").otherwise(" %PDF"), F.coalesce("html", F.lit(""))).cast("binary")
+    return pages.select("page_id", V.is_pdf(kind, content).alias("pdf"))
+
+
+@query(
+    "word_confidence",
+    """WITH c AS (SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN [-1, -1] ELSE [doc_id % 97, -1, doc_id % 131, length(text) % 101] END AS w FROM documents),
+      k AS (SELECT *, list_filter(w, lambda x: x <> -1) AS kept FROM c)
+    SELECT doc_id, round(CASE WHEN w IS NULL THEN CASE WHEN trim(coalesce(text, '')) <> '' THEN 0.5 ELSE 0 END WHEN len(kept) = 0 THEN 0
+      ELSE greatest(0, least(1, list_sum(kept) / len(kept) / 100)) END, 9) AS confidence FROM k""",
+)
+def word_confidence(spark, folder):
+    key = F.col("doc_id")
+    words = F.array(key % 97, F.lit(-1).cast("bigint"), key % 131, (F.length("text") % 101).cast("bigint"))
+    none = F.array(F.lit(-1).cast("bigint"), F.lit(-1).cast("bigint"))
+    given = F.when(key % 5 == 1, none).when(key % 5 != 0, words)
+    return A.table(spark, folder, "documents").select("doc_id", F.round(X.word_confidence(given, F.col("text")), 9).alias("confidence"))
+
+
+@query(
+    "manifest_round_trip",
+    A.with_views("reg_manifest", "reg_fields_wide")
+    + f"""SELECT m.doc_id, m.filename, m.script_type, m.seeded_error_type, md5(m.rendered_text) AS text_hash, {", ".join(f"w.{f}" for f in K.FIELDS)}
+      FROM reg_manifest m LEFT JOIN reg_fields_wide w ON w.document_id = m.doc_id""",
+)
+def manifest_round_trip(spark, folder):
+    """A ground-truth manifest of all documents, written as an exchange file and read again."""
+    fields = A.view(spark, folder, "reg_fields_wide").select(F.col("document_id").alias("doc_id"), F.struct(*K.FIELDS).alias("fields"))
+    manifest = A.view(spark, folder, "reg_manifest").join(fields, "doc_id", "left").select(
+        F.col("doc_id").cast("string").alias("doc_id"), "filename", "script_type", F.lit(True).alias("is_synthetic"), "seeded_error_type",
+        F.lit(None).cast("string").alias("expected_failing_rule"), "fields", "rendered_text",
+    )
+    path = _run_folder(spark, "manifest")
+    tables.write_manifest(manifest, path)
+    back = tables.read_manifest_lines(spark, path)
+    return back.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "filename", "script_type", "seeded_error_type", F.md5("rendered_text").alias("text_hash"),
+        *[F.col(f"fields.{f}").alias(f) for f in K.FIELDS],
+    )
+
+
+@query(
+    "ready_documents",
+    A.with_views("reg_documents", "reg_reviews")
+    + "SELECT document_id, status FROM reg_documents WHERE status <> 'processing' AND document_id IN (SELECT document_id FROM reg_reviews)",
+)
+def ready_documents(spark, folder):
+    """Of the documents someone asks for, those whose processing has ended."""
+    return registry.ready(A.view(spark, folder, "reg_documents"), A.view(spark, folder, "reg_reviews")).select("document_id", "status")
+
+
+@query(
+    "processing_failures",
+    A.with_views("reg_documents")
+    + """, f AS (SELECT document_id, concat('reader stopped at ', document_id) AS error FROM reg_documents WHERE status = 'processing')
+    SELECT document_id, CASE WHEN error IS NULL THEN status ELSE 'flagged' END AS status, CASE WHEN error IS NULL THEN overall_confidence END AS overall_confidence,
+      'processing failed: ' || error AS extraction_notes FROM reg_documents LEFT JOIN f USING (document_id)""",
+)
+def processing_failures(spark, folder):
+    """Documents whose processing broke are flagged with the error and lose their confidence."""
+    documents = A.view(spark, folder, "reg_documents").select("document_id", "status", "overall_confidence", F.lit(None).cast("string").alias("extraction_notes"))
+    broken = documents.filter("status = 'processing'")
+    failures = broken.select("document_id", F.concat(F.lit("reader stopped at "), F.col("document_id").cast("string")).alias("error"))
+    return P.fail(documents, failures)
+
+
+@query(
+    "best_candidates",
+    "SELECT user_id AS query_id, event_id % 40 AS document_id, max(round(value, 6)) AS similarity FROM events GROUP BY 1, 2",
+)
+def best_candidates(spark, folder):
+    """The best score of each candidate where several vectors of a document answered."""
+    scored = A.table(spark, folder, "events").select(
+        F.col("user_id").alias("query_id"), (F.col("event_id") % 40).alias("document_id"), F.round("value", 6).alias("similarity")
+    )
+    return similarity.best_per_candidate(scored)
+
+
+@query(
+    "index_rows",
+    A.with_views("reg_fields_wide")
+    + f""", t AS (SELECT document_id, concat_ws(chr(10), {', '.join(f"'{label}: ' || nullif(trim({f}), '')" for f, label in K.SEARCH_LABELS)}) AS searchable_text FROM reg_fields_wide)
+    SELECT document_id, searchable_text, embedding IS NOT NULL AS has_vector FROM t LEFT JOIN embeddings ON vec_id = document_id WHERE searchable_text <> ''""",
+)
+def index_rows(spark, folder):
+    """Rows for the embedding table: the text to search by, with its vector where there is one."""
+    wide = _readings_from_wide(A.view(spark, folder, "reg_fields_wide"), lambda n: F.lit(0.9))
+    rows = similarity.index_documents(wide, _embeddings(spark, folder))
+    return rows.select("document_id", "searchable_text", F.col("embedding").isNotNull().alias("has_vector"))
+
+
+@query(
+    "hinted_script",
+    A.with_views("reg_documents")
+    + f""", h AS (SELECT document_id, {_name_hint_sql('filename')} AS by_name, document_id % 3 AS kind FROM reg_documents)
+    SELECT document_id, CASE kind WHEN 0 THEN 'urdu_nastaliq' ELSE by_name END AS hint,
+      CASE WHEN kind = 2 THEN 'english_latin' ELSE coalesce(CASE kind WHEN 0 THEN 'urdu_nastaliq' ELSE by_name END, '{K.DEFAULT_SCRIPT}') END AS script FROM h""",
+)
+def hinted_script(spark, folder):
+    """Hints from a quick look (enough Urdu, too few letters, none) or the name, and the script settled on after reading."""
+    documents = A.view(spark, folder, "reg_documents").select("document_id", "filename")
+    kind = F.col("document_id") % 3
+    quick = F.when(kind == 0, "محمد یوسف قریشی").when(kind == 1, "abc").otherwise("")
+    text = F.when(kind == 2, "Property register of the village").otherwise("  ")
+    hinted = documents.withColumn("hint", S.early_hint(quick, F.col("filename")))
+    return hinted.select("document_id", "hint", S.final_script(text, F.col("hint")).alias("script"))
+
+
+@query(
+    "matra_folding",
+    A.with_views("reg_fields_wide") + "SELECT document_id, replace(mutawalli_name || village, 'ि', 'ी') AS folded FROM reg_fields_wide",
+)
+def matra_folding(spark, folder):
+    wide = A.view(spark, folder, "reg_fields_wide")
+    return wide.select("document_id", X.fold_matra(F.concat("mutawalli_name", "village")).alias("folded"))
+
+
+@query(
+    "supplied_romanisation",
+    A.with_views("reg_documents", "reg_fields_wide")
+    + """, t AS (SELECT document_id, CASE WHEN document_id % 2 = 0 THEN ' Rendered name ' WHEN document_id % 4 = 1 THEN '  ' END AS name, CASE WHEN document_id % 5 <> 0 THEN 'Shahapur' END AS place FROM reg_documents WHERE document_id % 7 <> 0)
+    SELECT d.document_id, CASE WHEN script_type <> 'english_latin' AND trim(t.name) <> '' THEN trim(t.name) END AS name_en,
+      CASE WHEN script_type <> 'english_latin' THEN t.place END AS village_en FROM reg_documents d LEFT JOIN t USING (document_id)""",
+)
+def supplied_romanisation(spark, folder):
+    """Renderings from outside fill the English side of native documents; blank ones fill nothing."""
+    scripts = A.view(spark, folder, "reg_documents").select("document_id", "script_type")
+    wide = _readings_from_wide(A.view(spark, folder, "reg_fields_wide"), lambda n: F.lit(0.9)).join(scripts, "document_id")
+    key = F.col("document_id")
+    given = {"mutawalli_name": F.when(key % 2 == 0, " Rendered name ").when(key % 4 == 1, "  "), "village": F.when(key % 5 != 0, "Shahapur")}
+    translations = scripts.filter(key % 7 != 0).select(
+        "document_id", *[given.get(f, F.lit(None).cast("string")).alias(f) for f in K.ROMANISED_FIELDS]
+    )
+    done = guards.romanise(wide, translations)
+    return done.select("document_id", F.col("mutawalli_name.value_en").alias("name_en"), F.col("village.value_en").alias("village_en"))
+
+
+@query(
+    "demoted_names",
+    A.with_views("reg_documents", "reg_fields_wide")
+    + """, s AS (SELECT document_id, mutawalli_name AS v, script_type <> 'english_latin' AND coalesce(mutawalli_name, '') = 'Yusuf Pathan' AS suspect, script_type = 'urdu_nastaliq' AND document_id % 2 = 0 AS again FROM reg_documents JOIN reg_fields_wide USING (document_id)
+      WHERE mutawalli_name IS NULL OR mutawalli_name = 'Yusuf Pathan')
+    SELECT document_id, CASE WHEN suspect AND again THEN 'یوسف پٹھان' ELSE v END AS name, CASE WHEN suspect AND again THEN """
+    + f"{K.RETRIED_CONFIDENCE} WHEN suspect THEN {K.SUSPECT_CONFIDENCE} ELSE 0.9 END AS confidence FROM s",
+)
+def demoted_names(spark, folder):
+    """Latin names in native documents lose confidence, unless a second answer is in the right script."""
+    scripts = A.view(spark, folder, "reg_documents").select("document_id", "script_type")
+    wide = _readings_from_wide(A.view(spark, folder, "reg_fields_wide"), lambda n: F.lit(0.9)).join(scripts, "document_id")
+    retries = scripts.filter("script_type = 'urdu_nastaliq' AND document_id % 2 = 0").select(
+        "document_id", F.lit("mutawalli_name").alias("field_name"), F.lit("یوسف پٹھان").alias("value")
+    )
+    done = guards.demote_suspects(wide.filter("mutawalli_name.value IS NULL OR mutawalli_name.value = 'Yusuf Pathan'"), retries)
+    return done.select("document_id", F.col("mutawalli_name.value").alias("name"), F.col("mutawalli_name.confidence").alias("confidence"))
