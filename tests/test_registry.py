@@ -129,6 +129,38 @@ def test_manifest_and_table_files(spark, tmp_path):
     assert tables.read_table(spark, target).count() == 5
 
 
+def test_a_replacement_that_stops_anywhere_leaves_a_whole_table(spark, tmp_path, monkeypatch):
+    target = str(tmp_path / "t")
+    tables.replace_table(spark.range(3), target)
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as broken:  # data written, not yet marked
+        broken.setattr(tables, "_publish", stop)
+        with pytest.raises(KeyboardInterrupt):
+            tables.replace_table(spark.range(4), target)
+    assert tables.read_table(spark, target).count() == 3
+    with monkeypatch.context() as broken:  # marked, old versions not yet deleted
+        broken.setattr(tables, "_retire", stop)
+        for n in (5, 6, 7):
+            with pytest.raises(KeyboardInterrupt):
+                tables.replace_table(spark.range(n), target)
+            assert tables.read_table(spark, target).count() == n
+    # Mark deleted, data not: the folder is an orphan that no reader sees.
+    oldest = sorted((tmp_path / "t" / "_versions").glob("0*"))[0]
+    oldest.unlink()
+    assert tables.read_table(spark, target).count() == 7
+    before = tables.read_table(spark, target)
+    tables.replace_table(before.selectExpr("id + 1 AS id"), target)
+    assert before.count() == 7  # the former version is still there for who reads it
+    assert sorted(r.id for r in tables.read_table(spark, target).collect()) == list(range(1, 8))
+    assert len(list((tmp_path / "t" / "_versions").glob("0*"))) == 2
+    # A plain folder is read as it is.
+    spark.range(9).write.parquet(str(tmp_path / "plain"))
+    assert tables.read_table(spark, str(tmp_path / "plain")).count() == 9
+
+
 def review(i, doc, action, corrections=None, at=0, notes=None):
     return (i, doc, "r", action, notes, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=at), 30, corrections)
 

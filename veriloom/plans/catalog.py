@@ -1393,3 +1393,19 @@ def demoted_names(spark, folder):
     )
     done = guards.demote_suspects(wide.filter("mutawalli_name.value IS NULL OR mutawalli_name.value = 'Yusuf Pathan'"), retries)
     return done.select("document_id", F.col("mutawalli_name.value").alias("name"), F.col("mutawalli_name.confidence").alias("confidence"))
+
+
+@query(
+    "replaced_table",
+    A.with_views("reg_documents")
+    + "SELECT document_id, CASE WHEN status = 'processing' THEN 'validated' ELSE status END AS status, cast(reupload_count + 2 AS bigint) AS n FROM reg_documents",
+)
+def replaced_table(spark, folder):
+    """A table replaced twice by what is read from its own former version."""
+    path = _run_folder(spark, "table")
+    tables.replace_table(A.view(spark, folder, "reg_documents").select("document_id", "status", F.col("reupload_count").cast("bigint").alias("n")), path)
+    for _ in range(2):
+        now = tables.read_table(spark, path)
+        settled = F.when(F.col("status") == "processing", "validated").otherwise(F.col("status"))
+        tables.replace_table(now.withColumns({"status": settled, "n": F.col("n") + 1}), path)
+    return tables.read_table(spark, path, "document_id", "status", "n")
