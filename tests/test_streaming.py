@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from veriloom import constants as K
 from veriloom.operators import reports, rules, samplegen
-from veriloom.sources import tables
+from veriloom.sources import scans, tables
 from veriloom.sources.tables import RegistryLog
-from veriloom.streaming import attempts
+from veriloom.streaming import attempts, intake
 from veriloom.streaming import verify as SV
 
 AS_OF = "2024-06-30"
@@ -168,6 +168,35 @@ def test_documents_are_matched_with_all_earlier_ones(spark, tmp_path):
     assert sorted(r.document_id for r in log.current(spark, "index").collect()) == ["a", "b", "c", "d", "e"]
 
 
+def test_scans_are_taken_in_as_they_are_dropped(spark, tmp_path):
+    folder = tmp_path / "scans"
+    folder.mkdir()
+
+    def drop(**files):
+        for name, size in files.items():
+            place = folder / name.replace("__", "/").replace("_DOT_", ".")
+            place.parent.mkdir(exist_ok=True)
+            place.write_bytes(b"%PDF" + b"x" * size)
+        stream = scans.watch_scans(spark, str(folder))
+        intake.take_in(stream, str(tmp_path / "out"), str(tmp_path / "cp"), uploaded_by="clerk").awaitTermination()
+
+    drop(a_DOT_png=10, sub__b_sample_DOT_PDF=20, c_DOT_txt=5)
+    drop(d_DOT_tiff=1, e_DOT_exe=1)
+    drop()
+    log = RegistryLog(str(tmp_path / "out"))
+    taken = {(r.filename, r.status, r.batch_id) for r in log.history(spark, "documents").collect()}
+    assert taken == {("a.png", "processing", 0), ("b_sample.PDF", "processing", 0), ("d.tiff", "processing", 1)}
+    refused = {(r.filename, r.reject_reason, r.batch_id) for r in log.history(spark, "rejects").collect()}
+    assert refused == {("c.txt", "unsupported_type", 0), ("e.exe", "unsupported_type", 1)}
+    paths = {r.source_path.split("/")[-1]: r.document_id for r in log.current(spark, "sources").collect()}
+    assert set(paths) == {"a.png", "b_sample.PDF", "d.tiff"} and len(set(paths.values())) == 3
+    assert [(r.status, r["count"]) for r in SV.live_status(log, spark).collect()] == [("processing", 3)]
+    # The source's schema is what the batch reader finds.
+    assert spark.read.format("binaryFile").load(str(folder)).schema.simpleString() == spark.createDataFrame([], scans.SCAN_FILE).schema.simpleString()
+    # Content is not read.
+    assert "content" not in scans.watch_scans(spark, str(folder)).columns
+
+
 def test_live_counts_equal_a_recount_after_each_batch(spark, tmp_path):
     log = RegistryLog(str(tmp_path))
     batches = [
