@@ -34,6 +34,20 @@ def test_pages_are_clamped(spark):
     assert ids(G.page(docs.filter("false"), 4)) == []
 
 
+def test_deep_pages_are_found_by_position(spark):
+    rows = [(None if i % 7 == 0 else i % 5, i) for i in range(157)]
+    df = spark.createDataFrame(rows, "t int, id bigint").repartition(5)
+    for order in ([("t", False), ("id", True)], [("t", True), ("id", False)]):
+        from_null = lambda t: (t is not None, t or 0)
+        ranked = sorted(rows, key=lambda r: r[1], reverse=not order[1][1])
+        ranked = sorted(ranked, key=lambda r: from_null(r[0]), reverse=not order[0][1])
+        for slice_rows, number in ((1, 2), (10, 2), (10, 9), (10, 15), (10, 16), (10, 10_000_000), (250_000, 7)):
+            got = G.page(df, number, 10, order, slice_rows).orderBy("serial").collect()
+            start = (min(number, 16) - 1) * 10
+            assert [(r.t, r.id) for r in got] == ranked[start:start + 10]
+            assert [r.serial for r in got] == list(range(start + 1, start + 1 + len(got)))
+
+
 def test_search_and_queue(spark):
     docs = documents(spark)
     assert G.search(docs).count() == 23

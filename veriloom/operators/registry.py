@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriloom import constants as K
 from veriloom.functions import display as V
 from veriloom.functions import text as X
-from veriloom.operators import rules
+from veriloom.operators import rules, skew
 
 
 def derived_id(prefix: str, *parts: Column | str) -> Column:
@@ -59,35 +59,42 @@ def search(
     return documents
 
 
-def page(documents: DataFrame, number: int = 1, size: int = K.PAGE_SIZE, order: list | None = None) -> DataFrame:
+def page(
+    documents: DataFrame, number: int = 1, size: int = K.PAGE_SIZE, order: list | None = None, slice_rows: int = skew.SLICE_ROWS
+) -> DataFrame:
     """One page, newest first, with a serial number. A page past the end gives the last page.
 
-    The page itself and the last page are each a bounded top-n; the page count is a scalar subquery, so the
-    operator stays lazy.
+    ``order`` lists ``(column, ascending)`` and ends in a unique column. The first page is a bounded top-n. Any other is
+    found by position: the table is cut into ordered slices, their row counts tell which of them hold the page (one,
+    or two at a border), and only the rows of those are sorted, however deep the page is. The operator stays lazy.
     """
     order = order or [("uploaded_at", False), ("document_id", True)]
     forward = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in order]
-    backward = [F.col(c).desc() if asc else F.col(c).asc() for c, asc in order]
     columns = documents.columns
-    number = max(1, number)
-
-    def numbered(rows: DataFrame, sort: list[tuple[str, bool]]) -> DataFrame:
+    if number <= 1:
         # At most ``size`` rows: gathering them in one row is what the limit has already done.
-        packed = rows.agg(F.collect_list(F.struct(*columns)).alias("rows"))
-        return packed.select(F.posexplode("rows").alias("_at", "r")).select("_at", "r.*")
-
-    asked = numbered(documents.orderBy(*forward).offset((number - 1) * size).limit(size), order).select(
-        *columns, (F.col("_at") + 1 + (number - 1) * size).cast("bigint").alias("serial")
-    )
-    if number == 1:
-        return asked
-    total = documents.agg(F.count(F.lit(1))).scalar()
-    tail = numbered(documents.orderBy(*backward).limit(size), order).withColumn("_total", total)
-    first_serial = (F.ceil(F.col("_total") / size) - 1) * size + 1
-    last = tail.withColumn("serial", (F.col("_total") - F.col("_at")).cast("bigint")).filter(
-        (F.col("_total") <= (number - 1) * size) & (F.col("serial") >= first_serial)
+        packed = documents.orderBy(*forward).limit(size).agg(F.collect_list(F.struct(*columns)).alias("rows"))
+        first = packed.select(F.posexplode("rows").alias("_at", "r"))
+        return first.select("r.*", (F.col("_at") + 1).cast("bigint").alias("serial"))
+    placed = skew.slices_in_order(documents, order, order[-1][0], slice_rows)
+    # One row per slice, a bounded number.
+    counts = placed.groupBy("_slice").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
+    spans = counts.select("_slice", F.sum("n").over(upto).alias("end"), F.sum("n").over(Window.orderBy(F.lit(1)).rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"), "n")
+    skipped = (F.least(F.lit(number), F.ceil(F.col("total") / size)) - 1) * size
+    wanted = spans.withColumn("skipped", skipped.cast("bigint")).filter(
+        (F.col("end") > F.col("skipped")) & (F.col("end") - F.col("n") < F.col("skipped") + size)
     )
-    return asked.unionByName(last.select(*columns, "serial"))
+    found = wanted.agg(F.struct(
+        F.min("_slice").alias("low"), F.max("_slice").alias("high"), F.min(F.col("end") - F.col("n")).alias("before"),
+        F.max("skipped").alias("skipped"),
+    )).scalar()
+    held = placed.withColumn("_page", found).filter(F.col("_slice").between(F.col("_page.low"), F.col("_page.high")))
+    serial = F.col("_page.before") + F.row_number().over(Window.orderBy(*forward))
+    numbered = held.withColumn("serial", serial.cast("bigint"))
+    on_page = (F.col("serial") > F.col("_page.skipped")) & (F.col("serial") <= F.col("_page.skipped") + size)
+    return numbered.filter(on_page).select(*columns, "serial")
 
 
 def _gathered(rows: DataFrame, name: str, known: list[str], out: str) -> DataFrame:

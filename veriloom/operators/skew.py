@@ -7,6 +7,8 @@ broadcast is bounded by that number whatever the table holds; above ``SAMPLE_ROW
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +73,41 @@ def _struct(columns: list[str]) -> Column:
     return F.struct(*[F.col(c).alias(c) for c in columns])
 
 
+def _splitters_reached(sample_rows: int, reached: Callable[[Column], Column]) -> Column:
+    """How many of the sorted ``_splitters`` a row has reached, by bisection."""
+
+    def halve(at: Column, step: Column) -> Column:
+        splitter = F.get("_splitters", at + step - 1)
+        return F.when(splitter.isNotNull() & reached(splitter), at + step).otherwise(at)
+
+    steps = [1 << n for n in reversed(range(sample_rows.bit_length()))]
+    return F.aggregate(F.array(*[F.lit(n) for n in steps]), F.lit(0), halve)
+
+
+def _before(a: Column, b: Column, order: list[tuple[str, bool]]) -> Column:
+    """Whether row ``a`` comes before row ``b``, by columns that ascend (nulls first) or descend (nulls last)."""
+    out = F.lit(False)
+    for name, ascending in reversed(order):
+        x, y = F.struct(a[name].alias("v")), F.struct(b[name].alias("v"))
+        out = (x < y if ascending else x > y) | ((x == y) & out)
+    return out
+
+
+def slices_in_order(
+    df: DataFrame, order: list[tuple[str, bool]], row_id: str, slice_rows: int = SLICE_ROWS, sample_rows: int = SAMPLE_ROWS
+) -> DataFrame:
+    """Add ``_slice``: ordered pieces of the whole table, of about ``slice_rows`` rows, ``sample_rows + 1`` at most.
+
+    ``order`` is ``(column, ascending)``; no row of a slice comes before one of a lower slice.
+    """
+    here = _struct([name for name, _ in order])
+    sort = lambda a, b: F.when(_before(a, b, order), -1).when(_before(b, a, order), 1).otherwise(0)
+    drawn = _sample(df, row_id, slice_rows, sample_rows, here.alias("c"))
+    placed = df.withColumns({"_splitters": drawn.agg(F.array_sort(F.collect_list("c"), sort)).scalar(), "_here": here})
+    reached = _splitters_reached(sample_rows, lambda s: ~_before(F.col("_here"), s, order))
+    return placed.withColumn("_slice", reached).drop("_splitters", "_here")
+
+
 def with_slices(
     df: DataFrame, keys: list[str], order: list[str], row_id: str, slice_rows: int = SLICE_ROWS,
     sample_rows: int = SAMPLE_ROWS,
@@ -83,13 +120,8 @@ def with_slices(
     """
     where = F.struct(_struct(keys).alias("k"), _struct(order).alias("o"))
     splitters = _sample(df, row_id, slice_rows, sample_rows, where.alias("c")).agg(F.sort_array(F.collect_list("c"))).scalar()
-    steps = [1 << n for n in reversed(range(sample_rows.bit_length()))]
     placed = df.withColumns({"_splitters": splitters, "_here": where})
-
-    def halve(at: Column, step: Column) -> Column:
-        return F.when(F.get("_splitters", at + step - 1) <= F.col("_here"), at + step).otherwise(at)
-
-    placed = placed.withColumn("_at", F.aggregate(F.array(*[F.lit(n) for n in steps]), F.lit(0), halve))
+    placed = placed.withColumn("_at", _splitters_reached(sample_rows, lambda s: s <= F.col("_here")))
     # A splitter inside the group is the last one up to this row or the first one after it.
     inside = [F.coalesce(F.get("_splitters", F.col("_at") + n)["k"] == F.col("_here.k"), F.lit(False)) for n in (-1, 0)]
     placed = placed.withColumn("_cut", inside[0] | inside[1])
