@@ -271,7 +271,7 @@ def _pair_filters(texts: DataFrame, held, shards: int, least: int) -> DataFrame:
 _ROWS = "row long, doc_id long, held_out boolean, doc_tokens long, known long, base double, model double"
 _MIXED = "shard int, kind int, a binary, b binary, c binary, " + _ROWS
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
-FILTER, PROBES, SUMS = 0, 1, 2
+FILTER, PROBES, TEXTS, SUMS = 0, 1, 2, 3
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -371,7 +371,7 @@ def scored(documents: DataFrame, trained: str = "trained", frequent: int = FREQU
                 whose, after = place[1:][asked], at[1:][asked]
                 gained = lookup.add(row[whose], pair_key(h[:-1][asked], h[1:][asked], shards), level_of[after])
                 yield _filled(_MIXED, n, {
-                    "shard": (row % shards).astype(np.int32), "kind": [SUMS] * n, "row": row, "doc_id": batch.column(1)[start:end],
+                    "shard": (row % shards).astype(np.int32), "kind": [TEXTS] * n, "row": row, "doc_id": batch.column(1)[start:end],
                     "held_out": batch.column(2)[start:end], "doc_tokens": np.bincount(place, minlength=n), "known": np.bincount(place[at > 0], minlength=n),
                     "base": np.bincount(place, base_of[at], n), "model": np.bincount(place, alone_of[at] + context_of[at], n) + np.bincount(whose, gained, n),
                 })
@@ -416,26 +416,33 @@ def scored(documents: DataFrame, trained: str = "trained", frequent: int = FREQU
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, bloom, gains = None, None, _Lookup(LogBloom(bytes(1)), often, scale)
+        sums, size = [], 0
         for batch in batches:
             kinds = batch.column(1).to_numpy()
-            passed = np.flatnonzero(kinds == SUMS)
+            passed = np.flatnonzero(kinds == TEXTS)
             if len(passed):
                 taken = batch.take(pa.array(passed))
                 yield pa.RecordBatch.from_arrays([taken.column(i) for i in range(5, taken.num_columns)], schema=_schema(_ROWS))
-            rows, model = [], []
-            for i in np.flatnonzero(kinds != SUMS).tolist():
+            for i in np.flatnonzero(kinds != TEXTS).tolist():
                 shard, a = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
                 if kinds[i] == FILTER:
                     at, bloom = shard, LogBloom(a)
+                elif kinds[i] == SUMS:
+                    base_sums, model = np.frombuffer(batch.column(4)[i].as_py(), "<f8").reshape(2, -1)
+                    sums.append((_from_planes(a), _from_planes(batch.column(3)[i].as_py()), base_sums, model))
+                    size += len(model)
                 elif shard == at:  # a shard without a filter has no pairs
                     keys = np.frombuffer(batch.column(3)[i].as_py(), "<u4").astype(np.uint64)
                     levels = bloom.levels(keys)
                     met = np.flatnonzero(levels)
-                    rows.append(_from_planes(a)[met])
-                    model.append(gains.gain(levels[met], np.frombuffer(batch.column(4)[i].as_py(), np.uint8)[met].astype(np.float64)))
-            if rows:
-                row, place = np.unique(np.concatenate(rows), return_inverse=True)
-                yield _filled(_ROWS, len(row), {"row": row, "known": np.zeros(len(row), np.int64), "base": np.zeros(len(row)), "model": np.bincount(place, np.concatenate(model), len(row))})
+                    gained = gains.gain(levels[met], np.frombuffer(batch.column(4)[i].as_py(), np.uint8)[met].astype(np.float64))
+                    sums.append((_from_planes(a)[met], np.zeros(len(met), np.int64), np.zeros(len(met)), gained))
+                    size += len(met)
+                if size > FLUSH_SUMS:
+                    yield _filled(_ROWS, *_merged(sums))
+                    sums, size = [], 0
+        if sums:
+            yield _filled(_ROWS, *_merged(sums))
 
     numbered = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     first = numbered.mapInArrow(frequent_part, _MIXED)
@@ -451,14 +458,27 @@ def scored(documents: DataFrame, trained: str = "trained", frequent: int = FREQU
     return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _summed(sums: list[tuple], shards: int) -> pa.RecordBatch:
-    """One row per text with the sums over its tokens."""
+def _merged(sums: list[tuple]) -> tuple[int, dict[str, np.ndarray]]:
+    """One entry per text with the sums over its tokens: their number and the columns."""
     row, known, base, model = (np.concatenate(x) for x in zip(*sums, strict=True))
     rows, place = np.unique(row, return_inverse=True)
     n = len(rows)
-    return _filled(_MIXED, n, {
-        "shard": (rows % shards).astype(np.int32), "kind": [SUMS] * n, "row": rows, "known": np.bincount(place, known, n).astype(np.int64),
-        "base": np.bincount(place, base, n), "model": np.bincount(place, model, n),
+    return n, {
+        "row": rows, "known": np.bincount(place, known, n).astype(np.int64), "base": np.bincount(place, base, n),
+        "model": np.bincount(place, model, n),
+    }
+
+
+def _summed(sums: list[tuple], shards: int) -> pa.RecordBatch:
+    """Sums of texts, packed into one row per shard by the text's number."""
+    _, of = _merged(sums)
+    shard = of["row"] % shards
+    order = np.argsort(shard, kind="stable")
+    starts = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0)[: len(order)])
+    parts = [order[s:e] for s, e in zip(starts, np.append(starts[1:], len(order)), strict=True)]
+    return _filled(_MIXED, len(parts), {
+        "shard": shard[order[starts]].astype(np.int32), "kind": [SUMS] * len(parts), "a": [_planes(of["row"][p]) for p in parts],
+        "b": [_planes(of["known"][p]) for p in parts], "c": [np.concatenate([of["base"][p], of["model"][p]]).astype("<f8").tobytes() for p in parts],
     })
 
 
