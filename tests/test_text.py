@@ -114,3 +114,8 @@ def test_markup_of_whole_pages_against_plain_python(spark):
         bare = re.sub("<[^>]+>", " ", html.unescape(r.html))
         rows = [re.sub("[ \\t]+", " ", row).strip() for row in bare.splitlines()]
         assert r.text == "\n".join(row for row in rows if row)
+
+
+def test_sizes_between_two_tenths_go_to_the_even_one(column_values):
+    sizes = [1280, 1792, 1281, 1310720, 14942208, 14942209, 15466496]
+    assert column_values(V.format_bytes, sizes, "bigint") == ["1.2 KB", "1.8 KB", "1.3 KB", "1.2 MB", "14.2 MB", "14.3 MB", "14.8 MB"]
