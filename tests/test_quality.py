@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -91,3 +92,26 @@ def test_two_nulls_are_a_hit(spark):
     truth = spark.createDataFrame([("d", "village", None), ("d", "extent", "A "), ("d", "x", "v")], "document_id string, field_name string, expected string")
     found = spark.createDataFrame([("d", "village", None), ("d", "extent", " a")], "document_id string, field_name string, field_value string")
     assert {r.field_name: r.hit for r in Q.field_hits(truth, found).collect()} == {"village": True, "extent": True, "x": False}
+
+
+def test_distance_takes_time_by_difference_only():
+    draw = random.Random(8)
+    for size, edits in ((5, 3), (40, 6), (300, 1), (300, 40), (300, 290), (700, 90)):
+        for _ in range(12):
+            a = draw.choices("abcआ𝒳", k=size)
+            b = list(a)
+            for _ in range(draw.randint(0, edits)):
+                at = draw.randrange(len(b) + 1)
+                b[at : at + draw.randint(0, 2)] = draw.choices("abcdआ", k=draw.randint(0, 2))
+            a, b = "".join(a), "".join(b)
+            want = table_distance(a, b)
+            assert Q.distance(a, b) == Q.distance(b, a) == want
+            if a and b:
+                wide, narrow = sorted((Q._points(a), Q._points(b)), key=len, reverse=True)
+                assert all(Q._in_band(wide, narrow, k) == want for k in range(max(want, 1), want + 9, 4))
+    long = "".join(draw.choices("eabcdEFG ", k=120_000))
+    began = time.process_time()
+    assert Q.distance(long, long.replace("e", "c")) == long.count("e")
+    assert Q.distance(long, long.lower()) == sum(map(str.isupper, long))
+    assert Q.distance(long, long[1:50_000] + "zz" + long[50_000:] + "q") == 4
+    assert time.process_time() - began < 2

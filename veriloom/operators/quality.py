@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -11,32 +12,82 @@ from veriloom import constants as K
 from veriloom.functions import text as X
 
 SMALL_TABLE = 10_000
+SMALL_BAND = 64
+BAND_COLUMNS = 4096
 
 
-def _distance_udf():
-    def one(a: str, b: str) -> int:
-        # Myers' bit-vector edit distance: one column of the table is two integers of len(long) bits.
-        long, short = (a, b) if len(a) >= len(b) else (b, a)
-        places: dict[str, int] = {}
-        for i, c in enumerate(long):
-            places[c] = places.get(c, 0) | (1 << i)
-        width = len(long)
-        full, last = (1 << width) - 1, width - 1
-        up, down, distance = full, 0, width
-        for c in short:
-            same = places.get(c, 0)
-            vertical = same | down
-            diagonal = (((same & up) + up) ^ up) | same
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _surplus(a: np.ndarray, b: np.ndarray) -> int:
+    """Characters, repeats counted, that one text has and the other lacks, the larger side: never above the distance."""
+    values, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    more = np.bincount(at[: len(a)], minlength=len(values)) - np.bincount(at[len(a) :], minlength=len(values))
+    return int(max(more[more > 0].sum(), -more[more < 0].sum()))
+
+
+def _in_band(long: np.ndarray, short: np.ndarray, band: int) -> int:
+    """Edit distance where it is at most ``band``, else a number above that.
+
+    Myers' bit vectors over the ``2 * band + 1`` cells of a column around the diagonal, which move down a row a column;
+    no path of at most ``band`` edits leaves them. A column is a few numbers of as many bits.
+    """
+    full = (1 << (2 * band + 1)) - 1
+    last = band + len(long) - len(short)
+    up, down, distance = full ^ ((1 << band) - 1), 0, len(long) - len(short)
+    step = 2 * band + BAND_COLUMNS
+    for at in range(0, len(short), step):
+        # The rows that these columns can reach, one bit vector for each character in them.
+        first = at - band
+        rows = long[max(first, 0) : at + step + band]
+        columns = short[at : at + step]
+        places = {
+            int(c): int.from_bytes(np.packbits(rows == c, bitorder="little").tobytes(), "little") << max(-first, 0) for c in np.unique(columns)
+        }
+        for n, c in enumerate(columns.tolist()):
+            same = (places[c] >> n) & full
+            diagonal = (((same & up) + up) ^ up) & full | same | down
             right_up = down | ((diagonal | up) ^ full)
-            right_down = up & diagonal
-            distance += (right_up >> last & 1) - (right_down >> last & 1)
-            right_up = (right_up << 1) | 1
-            up = ((right_down << 1) | ((vertical | right_up) ^ full)) & full
-            down = right_up & vertical
-        return distance
+            right_down = diagonal & up
+            distance += 1 - (diagonal >> last & 1)
+            moved = diagonal >> 1
+            up = right_down | ((moved | right_up) ^ full)
+            down = moved & right_up
+    return distance
 
+
+def distance(a: str, b: str) -> int:
+    """Exact edit distance, in a time that grows with length times distance.
+
+    What both texts begin and end with is left out. Where as many characters differ in place as one text has too many, that
+    is the distance. Otherwise bands are tried, each twice as wide, until the distance found fits into its band.
+    """
+    long, short = (_points(t) for t in ((a, b) if len(a) >= len(b) else (b, a)))
+    for turn in (1, -1):
+        x, y = long[::turn][: len(short)], short[::turn]
+        differs = x != y
+        common = int(differs.argmax()) if differs.any() else len(short)
+        long, short = long[::turn][common:][::turn], short[::turn][common:][::turn]
+    if not len(short):
+        return len(long)
+    most = len(long)
+    if len(long) == len(short):
+        differs = long != short
+        most, least = int(differs.sum()), _surplus(long[differs], short[differs])
+    else:
+        least = _surplus(long, short)
+    if least == most:
+        return most
+    band = min(max(least, SMALL_BAND), most)
+    while (found := _in_band(long, short, max(band, len(long) - len(short)))) > band < most:
+        band = min(2 * band, most)
+    return found
+
+
+def _distance_udf():
     def distances(left: pd.Series, right: pd.Series) -> pd.Series:
-        found = [None if a is None or b is None else one(a, b) for a, b in zip(left, right)]
+        found = [None if a is None or b is None else distance(a, b) for a, b in zip(left, right)]
         return pd.Series(found, dtype="Int64")
 
     return F.pandas_udf(distances, T.LongType())
@@ -45,8 +96,8 @@ def _distance_udf():
 def edit_distance(a: Column, b: Column) -> Column:
     """Exact edit distance of two texts of any length.
 
-    Equal texts and small ones stay in the JVM. Long pairs go to Python in Arrow batches, where the bit-vector
-    method takes 64 table cells per machine word; everything else sends nulls there.
+    Equal texts and small ones stay in the JVM. Long pairs go to Python in Arrow batches, where ``distance`` takes as
+    much time as they differ; everything else sends nulls there.
     """
     small = F.length(a).cast("bigint") * F.length(b) <= SMALL_TABLE
     in_python = (a != b) & ~small
