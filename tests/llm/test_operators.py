@@ -156,6 +156,30 @@ def test_simhash_stage_groups_edited_copies(spark):
     assert sorted(r.doc_id for r in simhash.stage(spark, docs, "").collect()) == [i for i, p in enumerate(parent) if i == p]
 
 
+def test_simhash_stage_finds_candidates_by_fingerprint(spark, monkeypatch):
+    rng = random.Random(23)
+    base = text_of(rng, 900).split()
+    texts = [" ".join(base[:at] + ["other"] + base[at + 1 :]) for at in range(0, 900, 150)] + [text_of(rng, 80) for _ in range(12)]
+    prints = [simhash._signed(simhash._majority([simhash.shingle_set(t)])) for t in texts]
+    near = {(i, j) for i in range(len(texts)) for j in range(i) if bin((prints[i] ^ prints[j]) & (2**64 - 1)).count("1") <= 2}
+    assert near and all(i < 6 for i, _ in near)
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOCS)
+    seen, own = [], simhash.printed_pairs
+    monkeypatch.setattr(simhash, "printed_pairs", lambda found: seen.append(own(found)) or seen[0])
+    assert sorted(r.doc_id for r in simhash.stage(spark, docs, "").collect()) == [0, *range(6, 18)]
+    at = {simhash._signed(xxhash.xxh64_intdigest(simhash.shingle_set(t).tobytes(), 42)): i for i, t in enumerate(texts)}
+    pairs = {tuple(sorted((at[r.a_set_id], at[r.b_set_id]), reverse=True)) for r in seen[0].collect()}
+
+    def reached(links):
+        least = list(range(len(texts)))
+        for _ in texts:
+            for i, j in links:
+                least[i] = least[j] = min(least[i], least[j])
+        return least
+
+    assert pairs <= near and reached(pairs) == reached(near)
+
+
 def test_packing_is_a_round_trip(corpus):
     docs, _ = corpus
     from public_tokenizers import path

@@ -14,7 +14,7 @@ component's name unless all its members are null; empty tables give empty result
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,8 +37,13 @@ MOST_CROWDED = 1 << 17
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     """Majority bits over the shingle hashes of one text, as an unsigned number."""
+    return _majority(_hashes(text, words))
+
+
+def _majority(parts: Iterable[np.ndarray]) -> int:
+    """Bits set in more than half of all hashes, which come a chunk at a time."""
     counts, n = np.zeros(64, np.int64), 0
-    for part in _hashes(text, words):
+    for part in parts:
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
         n += len(part)
@@ -165,12 +170,13 @@ def parity_bits(found: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(text: Column, crowded: np.ndarray, similarity: float) -> Column:
-    """A struct of a set's hash, its size, its prefix: the least shingles, crowded ones last, if it ends in one, its bits.
+    """A struct of a set's hash, its size, its fingerprint, its prefix: the least shingles, crowded ones last, if it ends
+    in one, its parity bits.
 
     Of two sets at least ``similarity`` alike, both prefixes share a shingle whatever the order is.
     """
 
-    @F.pandas_udf("set_id long, size int, prefix array<long>, late boolean, bits array<long>")
+    @F.pandas_udf("set_id long, size int, fp long, prefix array<long>, late boolean, bits array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple] = []
@@ -179,51 +185,81 @@ def _prefixes(text: Column, crowded: np.ndarray, similarity: float) -> Column:
                 n = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1 if len(found) else 0
                 last = crowded[np.minimum(np.searchsorted(crowded, found), len(crowded) - 1)] == found if len(crowded) else np.zeros(len(found), bool)
                 digest = xxhash.xxh64_intdigest(found.tobytes(), HASH_SEED)
-                out.append((_signed(digest), len(found), np.concatenate([found[~last], found[last]])[:n], n > (~last).sum(), parity_bits(found)))
-            yield pd.DataFrame(out, columns=["set_id", "size", "prefix", "late", "bits"])
+                fp = _signed(_majority(found[at : at + CHUNK] for at in range(0, len(found), CHUNK)))
+                out.append((_signed(digest), len(found), fp, np.concatenate([found[~last], found[last]])[:n], n > (~last).sum(), parity_bits(found)))
+            yield pd.DataFrame(out, columns=["set_id", "size", "fp", "prefix", "late", "bits"])
 
     return run(text)
 
 
+def printed_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Candidate pairs ``(a_set_id, b_set_id)`` of ``prints(set_id, fp)`` by covering hashes of the fingerprints.
+
+    Fingerprints within the radius are linked by their least sets, and the other sets of a fingerprint to its least.
+    """
+    least = stored(prints.groupBy("fp").agg(F.min("set_id").alias("least")))
+    linked = links(least.select("fp"), radius)
+    a, b = (least.select(F.col("fp").alias(k), F.col("least").alias(f"{n}_set_id")) for k, n in (("v", "a"), ("u", "b")))
+    across = linked.join(a, "v").join(b, "u").select("a_set_id", "b_set_id")
+    within = prints.join(least, "fp").filter("set_id <> least").select(F.col("set_id").alias("a_set_id"), F.col("least").alias("b_set_id"))
+    return across.unionByName(within)
+
+
 def similar_groups(documents: DataFrame, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """``(doc_id, hash, component)`` per row of ``documents(doc_id, text, hash)``: groups linked by similar pairs.
 
-    Pairs are those whose sets of shingles have a Jaccard similarity of at least ``similarity``, with certainty. What
-    two sets share is at most what their prefixes share and what the set whose prefix ends first has after it, so pairs
+    Pairs are those whose sets of shingles have a Jaccard similarity of at least ``similarity``, with certainty. Covering
+    hashes of the fingerprints find those near each other, which are compared exactly. Similar sets whose fingerprints lie
+    further apart are found by prefixes; what is linked already is not compared again there. What two sets share is at most what their prefixes share and what the set whose prefix ends first has after it, so pairs
     whose prefixes share too little are passed over and all others compared exactly. First the members of a bucket are
     held against one of them, that which shares most of its own prefix; pairs are listed only between members that this
     leaves in different groups, so a large group of near copies is not paired.
     """
     crowded = _crowded(documents)
     marked = stored(documents.withColumn("_p", _prefixes(F.col("text"), crowded, similarity)).select("doc_id", "hash", "_p.*"))
-    sets = marked.groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("size", "prefix", "late", "bits")], F.min("hash").alias("hash"))
+    sets = marked.groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("size", "prefix", "late", "bits")])
     end = F.struct("late", F.element_at("prefix", -1).alias("h")).alias("end")
-    rows = sets.filter("size > 0").select("set_id", "size", "hash", F.size("prefix").alias("own"), end, F.explode("prefix").alias("h"))
+    rows = sets.filter("size > 0").select("set_id", "size", F.size("prefix").alias("own"), end, F.explode("prefix").alias("h"))
     buckets = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     rows = stored(rows.join(buckets, "h", "left_semi"))
     share = rows.groupBy("set_id").agg((F.count(F.lit(1)) / F.first("own")).alias("share"))
-    rows = rows.join(share, "set_id").withColumn("s", F.struct("set_id", "size", "hash", "own", "end")).select("h", "share", "s")
-
-    def alike(met: DataFrame) -> DataFrame:
-        """Similar pairs ``(u, v)`` from a row with both sets, ``a`` and ``b``, for each shingle their prefixes share."""
-        keys = [F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in "ab" for c in ("set_id", "size", "hash", "own", "end")]
-        counted = met.select(*keys)
-        counted = counted.groupBy(*counted.columns).agg(F.count(F.lit(1)).alias("n"))
-        after = F.when(F.col("a_end") <= F.col("b_end"), F.col("a_size") - F.col("a_own")).otherwise(F.col("b_size") - F.col("b_own"))
-        asked = F.lit(similarity / (1 + similarity)) * (F.col("a_size") + F.col("b_size"))
-        pairs = stored(counted.filter(F.col("n") + after >= asked - 1e-6).select("a_set_id", "a_hash", "b_set_id", "b_hash"))
-        wanted = pairs.select(F.explode(F.array(*[F.struct(F.col(f"{k}_set_id").alias("set_id"), F.col(f"{k}_hash").alias("hash")) for k in "ab"])).alias("w"))
-        wanted = small(stored(wanted.select("w.*").distinct()))
-        texts = documents.select("hash", "text").join(wanted, "hash").dropDuplicates(["set_id"])
+    rows = rows.join(share, "set_id").withColumn("s", F.struct("set_id", "size", "own", "end")).select("h", "share", "s")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs ``(a_set_id, b_set_id)`` that are similar, as ``(u, v)``, by their whole sets."""
+        wanted = pairs.select(F.explode(F.array("a_set_id", "b_set_id")).alias("set_id"))
+        wanted = small(stored(wanted.distinct()))
+        named = marked.select("set_id", "hash").join(wanted, "set_id").groupBy("set_id").agg(F.min("hash").alias("hash"))
+        texts = documents.select("hash", "text").join(small(stored(named)), "hash").dropDuplicates(["set_id"])
         whole = stored(texts.select("set_id", _shingle_sets(F.col("text")).alias("hs")))
         u, v = (whole.select(F.col("set_id").alias(k), F.col("hs").alias(f"{k}_hs")) for k in "uv")
         both = pairs.select(F.col("a_set_id").alias("u"), F.col("b_set_id").alias("v")).join(u, "u").join(v, "v")
         shared = F.size(F.array_intersect("u_hs", "v_hs"))
         return stored(both.filter(shared >= similarity * (F.size("u_hs") + F.size("v_hs") - shared) - 1e-9).select("u", "v"))
 
+    def alike(met: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """Similar pairs ``(u, v)`` from a row with both sets, ``a`` and ``b``, for each shingle their prefixes share.
+
+        Pairs in one component of ``known`` are left out.
+        """
+        keys = [F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in "ab" for c in ("set_id", "size", "own", "end")]
+        counted = met.select(*keys)
+        counted = counted.groupBy(*counted.columns).agg(F.count(F.lit(1)).alias("n"))
+        after = F.when(F.col("a_end") <= F.col("b_end"), F.col("a_size") - F.col("a_own")).otherwise(F.col("b_size") - F.col("b_own"))
+        asked = F.lit(similarity / (1 + similarity)) * (F.col("a_size") + F.col("b_size"))
+        pairs = stored(counted.filter(F.col("n") + after >= asked - 1e-6).select("a_set_id", "b_set_id"))
+        if known is not None:
+            a, b = (known.select(F.col("id").alias(f"{k}_set_id"), F.col("component").alias(f"{k}_known")) for k in "ab")
+            pairs = pairs.join(a, "a_set_id", "left").join(b, "b_set_id", "left")
+            pairs = stored(pairs.filter(~F.coalesce(F.col("a_known") == F.col("b_known"), F.lit(False))).select("a_set_id", "b_set_id"))
+        return compared(pairs)
+
+    printed = compared(stored(printed_pairs(stored(marked.filter("size > 0").select("set_id", "fp").distinct()))))
+    begun = small(stored(connected_components(printed)))
     sizes = F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size") - 1e-9
     hubs = rows.groupBy("h").agg(F.max(F.struct("share", "s")).alias("m")).select("h", F.col("m.s").alias("b"))
-    edges = alike(rows.select("h", F.col("s").alias("a")).join(hubs, "h").filter((F.col("a.set_id") != F.col("b.set_id")) & sizes))
+    edges = alike(rows.select("h", F.col("s").alias("a")).join(hubs, "h").filter((F.col("a.set_id") != F.col("b.set_id")) & sizes), begun)
+    edges = edges.unionByName(printed)
     components = stored(connected_components(edges))
 
     placed = rows.withColumn("id", F.col("s.set_id")).join(components, "id", "left").select("h", "s", F.coalesce("component", "id").alias("component"))
