@@ -492,6 +492,43 @@ def test_url_threshold_is_the_same_rule_at_every_size():
         assert urls.best_threshold(good, bad) == want
 
 
+def test_url_models_know_all_texts(spark):
+    rng = random.Random(31)
+    rows = [(f"{rng.choice(['site', 'town', 'pill'])}{i}.{rng.choice(['net', 'org'])}/{rng.randrange(30)}", rng.choice(["allow", "block", None])) for i in range(150)]
+    got = urls.scored(spark.createDataFrame(rows, "text string, verdict string"), seeds=["spam"]).collect()
+    half = {r.text: r.half for r in got}
+
+    def model(verdict, halves):
+        weights = {t: 1 for t, v in rows if v == verdict and half[t] in halves} | ({"spam.example.com": 20} if verdict == "block" else {})
+        counts = {}
+        for text, weight in weights.items():
+            p = "\n" * 5 + text + "\n"
+            for i in range(5, len(p)):
+                for k in range(6):
+                    following = counts.setdefault(p[i - k : i], {})
+                    following[p[i]] = following.get(p[i], 0) + weight
+        return counts
+
+    def mean(counts, text):
+        p, total = "\n" * 5 + text + "\n", 0.0
+        for i in range(5, len(p)):
+            q = 1 / 4096
+            for k in range(6):
+                c = counts.get(p[i - k : i])
+                if c:
+                    q = (c.get(p[i], 0) + len(c) * q) / (sum(c.values()) + len(c))
+            total += np.log(q)
+        return total / (len(p) - 5)
+
+    models = {name: (model("allow", halves), model("block", halves)) for name, halves in (("0", {0}), ("1", {1}), ("", {0, 1}))}
+    for r in got:
+        for name, (accepted, rejected) in models.items():
+            assert abs(r[f"difference{name}"] - (mean(rejected, r.text) - mean(accepted, r.text))) < 1e-8
+    cross = [(r.verdict, r.difference1 if r.half == 0 else r.difference0) for r in got]
+    want = urls.best_threshold(*[[d for v, d in cross if v == verdict] for verdict in ("allow", "block")])
+    assert urls.fitted_threshold(spark.createDataFrame(got).repartition(3)) == want
+
+
 def test_embeddings_match_brute_force(spark):
     rng = np.random.default_rng(4)
     centre = rng.standard_normal((6, 32))
