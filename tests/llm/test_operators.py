@@ -312,6 +312,14 @@ def model_by_hand(texts, trained):
     return out
 
 
+def test_language_model_sums_travel_packed(corpus):
+    """What many shards find for a text goes back to it packed, not as rows that are then grouped by text."""
+    docs, _ = corpus
+    given = common.stored(docs.select("doc_id", "text", F.lit(True).alias("trained"), F.lit(False).alias("held_out")))
+    plan = lm.scored(given, frequent=64, shard_tokens=2000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "probe(" in plan and "Aggregate [row#" not in plan
+
+
 @pytest.mark.parametrize("sizes", [{}, {"frequent": 10}, {"frequent": 10, "shard_tokens": 500, "head_pairs": 64}, {"shard_tokens": 3000, "head_pairs": 8}])
 def test_language_model_matches_counts_of_all_pairs(corpus, sizes):
     docs, _ = corpus

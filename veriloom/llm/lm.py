@@ -10,7 +10,8 @@ powers of ``BASE``; a count of level ``q`` is entered in a Bloom filter under le
 after level until a probe misses. Pairs that are at least one in ``HEAD_PAIRS`` of all tokens, so at most that many, are in
 a filter that is broadcast. All others are in filters of hash shards, each for about ``SHARD_TOKENS`` tokens of the corpus;
 a shard's filter and the pairs that texts ask of it meet in one partition, filter first, and pairs stream past it. A pair
-outside the head is rare by that rule, so no shard is hot.
+outside the head is rare by that rule, so no shard is hot. What shards find travels packed, one row for each shard of texts
+and buffer, and is added up where the texts of that shard are.
 
 Quantised counts and the rounding up of ``p(b)`` within a pair's term only lower a probability, so the probabilities after
 a context sum to at most one but for false positives (under one probe in a thousand).
@@ -419,18 +420,13 @@ def scored(documents: DataFrame, trained: str = "trained", frequent: int = FREQU
         sums, size = [], 0
         for batch in batches:
             kinds = batch.column(1).to_numpy()
-            passed = np.flatnonzero(kinds == TEXTS)
+            passed = np.flatnonzero(kinds >= TEXTS)
             if len(passed):
-                taken = batch.take(pa.array(passed))
-                yield pa.RecordBatch.from_arrays([taken.column(i) for i in range(5, taken.num_columns)], schema=_schema(_ROWS))
-            for i in np.flatnonzero(kinds != TEXTS).tolist():
+                yield batch.take(pa.array(passed))
+            for i in np.flatnonzero(kinds < TEXTS).tolist():
                 shard, a = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
                 if kinds[i] == FILTER:
                     at, bloom = shard, LogBloom(a)
-                elif kinds[i] == SUMS:
-                    base_sums, model = np.frombuffer(batch.column(4)[i].as_py(), "<f8").reshape(2, -1)
-                    sums.append((_from_planes(a), _from_planes(batch.column(3)[i].as_py()), base_sums, model))
-                    size += len(model)
                 elif shard == at:  # a shard without a filter has no pairs
                     keys = np.frombuffer(batch.column(3)[i].as_py(), "<u4").astype(np.uint64)
                     levels = bloom.levels(keys)
@@ -439,10 +435,27 @@ def scored(documents: DataFrame, trained: str = "trained", frequent: int = FREQU
                     sums.append((_from_planes(a)[met], np.zeros(len(met), np.int64), np.zeros(len(met)), gained))
                     size += len(met)
                 if size > FLUSH_SUMS:
-                    yield _filled(_ROWS, *_merged(sums))
+                    yield _summed(sums, shards)
                     sums, size = [], 0
         if sums:
-            yield _filled(_ROWS, *_merged(sums))
+            yield _summed(sums, shards)
+
+    def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = None
+        for batch in batches:
+            shard, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            starts = np.flatnonzero(np.append(True, np.diff(shard) != 0)[: len(shard)])
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(shard)], strict=True):
+                if of is None or of.shard != shard[start]:
+                    if of is not None:
+                        yield of.rows()
+                    of = _Totals(shard[start])
+                n = int((kinds[start:end] == TEXTS).sum())  # the texts of a shard come before its sums
+                of.texts.append(batch.slice(start, n))
+                for i in range(start + n, end):
+                    of.add(*[batch.column(c)[i].as_py() for c in (2, 3, 4)])
+        if of is not None:
+            yield of.rows()
 
     numbered = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     first = numbered.mapInArrow(frequent_part, _MIXED)
@@ -451,11 +464,38 @@ def scored(documents: DataFrame, trained: str = "trained", frequent: int = FREQU
     empty = [F.lit(None).cast(p.split()[1]).alias(p.split()[0]) for p in ("b binary, c binary, " + _ROWS).split(", ")]
     built = filters.select("shard", F.lit(FILTER).alias("kind"), F.col("words").alias("a"), *empty)
     together = first.unionByName(second).unionByName(built).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
-    summed = together.mapInArrow(probe, _ROWS).groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("doc_tokens").alias("n_tokens"),
-        F.sum("known").cast("long").alias("n_known"), F.sum("base").alias("base_score"), F.sum("model").alias("score"),
+    found = together.mapInArrow(probe, _MIXED).repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(added_up, _ROWS)
+    return found.select(
+        "doc_id", "held_out", F.col("doc_tokens").alias("n_tokens"), F.col("known").alias("n_known"),
+        F.lit(n_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"),
     )
-    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+class _Totals:
+    """The texts of one shard by their number, and what is added to them."""
+
+    def __init__(self, shard: int):
+        self.shard, self.texts, self.order = shard, [], None
+
+    def _ready(self) -> None:
+        if self.order is None:
+            self.whole = pa.Table.from_batches(self.texts).combine_chunks()
+            row, self.known, self.base, self.model = (self.whole[c].to_numpy().copy() for c in ("row", "known", "base", "model"))
+            self.order = np.argsort(row)
+            self.sorted = row[self.order]
+
+    def add(self, rows: bytes, known: bytes, sums: bytes) -> None:
+        self._ready()
+        at = self.order[np.searchsorted(self.sorted, _from_planes(rows))]  # packed rows are distinct
+        base, model = np.frombuffer(sums, "<f8").reshape(2, -1)
+        self.known[at] += _from_planes(known)
+        self.base[at] += base
+        self.model[at] += model
+
+    def rows(self) -> pa.RecordBatch:
+        self._ready()
+        same = {c: self.whole[c].combine_chunks() for c in ("row", "doc_id", "held_out", "doc_tokens")}
+        return _filled(_ROWS, len(self.order), same | {"known": self.known, "base": self.base, "model": self.model})
 
 
 def _merged(sums: list[tuple]) -> tuple[int, dict[str, np.ndarray]]:
