@@ -237,3 +237,20 @@ def test_attempts_are_counted_across_batches(spark, tmp_path):
     got = spark.table("gated").collect()
     assert {(r.request_id, r.attempt) for r in got if r.request_id is not None} == {(1, 2), (5, 3), (60, 1), (61, 2), (62, 3)}
     assert sum(r.refused for r in got) == 2
+
+
+def test_attempts_of_neighbouring_documents_are_counted_in_one_call(spark, tmp_path):
+    asked = [(d, 10 * d + n, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=9 - n), abs(d) % 3, "a.png", None, 5) for d in range(-300, 600) for n in range(4)]
+    rows = spark.createDataFrame(asked, "document_id bigint, request_id bigint, requested_at timestamp, reupload_count int, filename string, mime_type string, file_size_bytes bigint")
+    rows.write.parquet(str(tmp_path / "in"))
+    query = (
+        attempts.gate(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("gated_blocks")
+        .outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    got = spark.table("gated_blocks").collect()
+    want = {(d, 10 * d + 3 - n, abs(d) % 3 + n + 1) for d in range(-300, 600) for n in range(3 - abs(d) % 3)}
+    assert {(r.document_id, r.request_id, r.attempt) for r in got if r.request_id is not None} == want
+    assert {(r.document_id, r.refused) for r in got if r.request_id is None} == {(d, 1 + abs(d) % 3) for d in range(-300, 600)}
+    kept = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert kept <= 5  # a state row per block of documents, not per document

@@ -1,9 +1,12 @@
-"""Re-upload attempts counted across micro-batches."""
+"""Re-upload attempts counted across micro-batches.
 
-from __future__ import annotations
+Documents are counted a block of neighbouring ids at a time, so that Python is called per block and not per document; a
+block has at most ``1 << BLOCK_BITS`` documents however many there are. Documents whose ids lie far apart have blocks of their own.
+"""
 
-import heapq
+from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,27 +15,40 @@ from veriloom import constants as K
 from veriloom.functions import display as V
 
 OUTPUT = "document_id bigint, request_id bigint, attempt int, refused bigint"
+BLOCK_BITS = 8
+UNSEEN = np.iinfo(np.int32).min
 
 
 def _counter(cap: int):
     def count(key, chunks, state):
-        used = state.get[0] if state.exists else None
-        first: list[tuple] = []
-        seen = 0
+        size = 1 << BLOCK_BITS
+        used = np.frombuffer(state.get[0], "<i4").copy() if state.exists else np.full(size, UNSEEN, "<i4")
+        seen = np.zeros(size, np.int64)
+        at, when, ids = np.zeros(0, np.int64), np.zeros(0, "datetime64[ns]"), np.zeros(0, np.int64)
         for chunk in chunks:
-            if used is None:
-                used = int(chunk["reupload_count"].iloc[0])
-            seen += len(chunk)
-            # Only as many of the earliest requests as there are attempts left are ever held.
-            first = heapq.nsmallest(max(cap - used, 0), first + list(zip(chunk["requested_at"], chunk["request_id"])))
-        attempts = [(key[0], int(r), used + n + 1, 0) for n, (_, r) in enumerate(first)]
-        refused = seen - len(first)
-        if refused:
-            attempts.append((key[0], None, None, refused))
-        state.update((used + len(first),))
-        yield pd.DataFrame(attempts, columns=["document_id", "request_id", "attempt", "refused"]).astype(
-            {"document_id": "int64", "request_id": "Int64", "attempt": "Int32", "refused": "int64"}
-        )
+            here = chunk["document_id"].to_numpy() - (key[0] << BLOCK_BITS)
+            seen += np.bincount(here, minlength=size)
+            new = np.flatnonzero(used[here] == UNSEEN)[::-1]  # of several rows the first one counts
+            used[here[new]] = chunk["reupload_count"].to_numpy()[new]
+            at = np.concatenate([at, here])
+            when = np.concatenate([when, chunk["requested_at"].to_numpy("datetime64[ns]")])
+            ids = np.concatenate([ids, chunk["request_id"].to_numpy(np.int64)])
+            # Only as many of the earliest requests of a document as it has attempts left are ever held.
+            order = np.lexsort((ids, when, at))
+            place = np.arange(len(at)) - np.searchsorted(at[order], at[order])
+            order = order[place < cap - used[at[order]]]
+            at, when, ids = at[order], when[order], ids[order]
+        first = np.bincount(at, minlength=size)
+        attempt = used[at] + np.arange(len(at)) - np.searchsorted(at, at) + 1
+        refused = np.flatnonzero(seen > first)
+        used[first > 0] += first[first > 0].astype("<i4")
+        state.update((used.tobytes(),))
+        yield pd.DataFrame({
+            "document_id": (key[0] << BLOCK_BITS) + np.concatenate([at, refused]),
+            "request_id": pd.array([*ids.tolist(), *[None] * len(refused)], "Int64"),
+            "attempt": pd.array([*attempt.tolist(), *[None] * len(refused)], "Int32"),
+            "refused": np.concatenate([np.zeros(len(at), np.int64), (seen - first)[refused]]),
+        })
 
     return count
 
@@ -45,6 +61,5 @@ def gate(stream: DataFrame, cap: int = K.MAX_REUPLOADS) -> DataFrame:
     """
     fine = V.reject_reason(F.col("filename"), F.col("mime_type"), F.col("file_size_bytes")).isNull()
     wanted = stream.filter(fine).select("document_id", "request_id", "requested_at", "reupload_count")
-    return wanted.groupBy("document_id").applyInPandasWithState(
-        _counter(cap), OUTPUT, "used int", "append", "NoTimeout"
-    )
+    blocks = wanted.withColumn("block", F.shiftright(F.col("document_id").cast("bigint"), BLOCK_BITS))
+    return blocks.groupBy("block").applyInPandasWithState(_counter(cap), OUTPUT, "used binary", "append", "NoTimeout")
