@@ -246,3 +246,21 @@ def test_shipped_defaults(spark):
     merged = {r.key: r.enabled for r in G.insert_absent(changed, configs, "key").collect()}
     assert merged == {r: r != "date_plausibility" for r in K.RULE_ORDER}
     assert tables.default_error_rates(spark).count() == 8
+
+
+def test_edits_meet_fields_by_document(spark):
+    fields = spark.createDataFrame(
+        [(1, "village", "a", 0.5, "mapper"), (1, "extent", "b", 0.5, "mapper"), (2, "village", None, 0.5, "mapper")],
+        "document_id long, field_name string, field_value string, confidence double, source string",
+    )
+    edits = spark.createDataFrame(
+        [(1, 1, "2024-01-01", {"village": "old", "extent": None}), (2, 1, "2024-01-02", {"village": "new", "survey_number": "no row"}), (3, 3, "2024-01-01", {"village": "x"})],
+        "id long, document_id long, reviewed_at string, corrections map<string,string>",
+    )
+    got = {(r.document_id, r.field_name): (r.field_value, r.source) for r in R.corrected_fields(fields, edits).collect()}
+    assert got == {(1, "village"): ("new", "reconciled"), (1, "extent"): (None, "reconciled"), (2, "village"): (None, "mapper")}
+    wide = {r.document_id: (r.village, r.extent, r.survey_number) for r in R.corrected_values(fields, edits).collect()}
+    assert wide == {1: ("new", None, None), 2: (None, None, None)}
+    # Only edits are dealt by field; fields move by document, once.
+    plan = R.corrected_fields(fields, edits)._jdf.queryExecution().executedPlan().toString()
+    assert sum("hashpartitioning(document_id#" in line and "field_name#" in line for line in plan.splitlines()) <= 1

@@ -54,23 +54,44 @@ def correction_audit(reviews: DataFrame, fields: DataFrame, slice_rows: int = sk
     )
 
 
-def corrected_fields(fields: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Fields after the edits: the latest edit's value, confidence 1.0, source ``reconciled``."""
+def _edits(reviews: DataFrame) -> DataFrame:
+    """``(document_id, _edits)``: the latest edit of each field of a document, by field name.
+
+    A row per document, so that fields meet their edits by document and stay where everything else of it is.
+    """
     edits = reviews.filter(F.size("corrections") > 0).select(
         "document_id", "id", "reviewed_at", F.explode("corrections").alias("field_name", "_value")
     )
     latest = edits.groupBy("document_id", "field_name").agg(
         F.max_by(F.struct("_value"), F.struct("reviewed_at", "id")).alias("_edit")
     )
-    edited = F.col("_edit").isNotNull()
-    joined = fields.join(latest, ["document_id", "field_name"], "left")
+    entry = F.struct("field_name", F.col("_edit._value").alias("value"))
+    return latest.groupBy("document_id").agg(F.map_from_entries(F.collect_list(entry)).alias("_edits"))
+
+
+def _edited(field: Column) -> Column:
+    return F.coalesce(F.map_contains_key("_edits", field), F.lit(False))
+
+
+def corrected_fields(fields: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Fields after the edits: the latest edit's value, confidence 1.0, source ``reconciled``."""
+    edited = _edited(F.col("field_name"))
+    joined = fields.join(_edits(reviews), "document_id", "left")
     return joined.withColumns({
-        "field_value": F.when(edited, F.col("_edit._value")).otherwise(F.col("field_value")),
+        "field_value": F.when(edited, F.element_at("_edits", F.col("field_name"))).otherwise(F.col("field_value")),
         "confidence": F.when(edited, 1.0).otherwise(F.col("confidence")),
         "source": F.when(edited, "reconciled").otherwise(F.col("source")),
     }).select(*fields.columns)
 
 
+def corrected_values(fields: DataFrame, reviews: DataFrame) -> DataFrame:
+    """``(document_id, <six values>)`` after the edits: a document's fields are one row before anything is shuffled."""
+    held = fields.select("document_id", "field_name", "field_value")
+    joined = to_readings(held).join(_edits(reviews), "document_id", "left")
+    values = {f: F.when(F.col(f).isNotNull() & _edited(F.lit(f)), F.element_at("_edits", F.lit(f))).otherwise(F.col(f"{f}.value")) for f in K.FIELDS}
+    return joined.select("document_id", *[value.alias(f) for f, value in values.items()])
+
+
 def reviewed_documents(documents: DataFrame, reviews: DataFrame) -> DataFrame:
     """Documents with the status their last review leaves them in."""
     last = reviews.groupBy("document_id").agg(F.max_by("action", F.struct("reviewed_at", "id")).alias("_action"))
@@ -106,8 +127,7 @@ def apply(
     }
     if validation:
         out["touched"] = touched = tables.spool(touched)
-        values = to_readings(changed).select("document_id", *[F.col(f"{f}.value").alias(f) for f in K.FIELDS])
-        out["revalidated"] = rules.revalidate(touched, rules.records(documents, values), **validation)
+        out["revalidated"] = rules.revalidate(touched, rules.records(documents, corrected_values(fields, accepted)), **validation)
         if results is not None:
             out["results"] = replace_children(results, out["revalidated"], touched)
     return out
