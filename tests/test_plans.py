@@ -41,6 +41,11 @@ def test_revalidation_reads_tables_a_bounded_number_of_times(spark, name):
     assert plan(catalog.QUERIES[name](spark, FOLDER)).split("== Initial Plan")[-1].count("FileScan") <= 10
 
 
+def test_model_answers_are_parsed_without_a_join(spark):
+    text = plan(catalog.model_json_fields(spark, FOLDER)).split("== Initial Plan")[-1]
+    assert "Join" not in text and text.count("FileScan") == 1
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
