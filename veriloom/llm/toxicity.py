@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -68,12 +69,21 @@ def windows(text: str | None, size: int = WINDOW_BYTES) -> list[bytes]:
 
 
 def _contexts(texts: list[str]) -> tuple[Counter, int]:
-    """In how many different neighbourhoods each word occurs, and how many neighbourhoods there are."""
-    seen = set()
+    """In how many different neighbourhoods each word occurs, and how many neighbourhoods there are.
+
+    Words are numbered and neighbourhoods are rows of three numbers, as objects they would take most of the driver's memory.
+    """
+    names: dict[bytes, int] = {b"": 0}
+    found = [np.zeros((0, 3), np.int32)]
     for text in texts:
-        words = [b"", *(w.strip(b".,!?;:") for w in text.lower().encode("utf-8", "replace").split()), b""]
-        seen.update(zip(words, words[1:], words[2:], strict=False))
-    return Counter(word for _, word, _ in seen), len(seen)
+        words = [w.strip(b".,!?;:") for w in text.lower().encode("utf-8", "replace").split()]
+        at = np.array([0, *(names.setdefault(w, len(names)) for w in words), 0], np.int32)
+        found.append(np.stack([at[:-2], at[1:-1], at[2:]], axis=1))
+    seen = np.concatenate(found)
+    seen = seen[np.lexsort(seen.T)]
+    seen = seen[np.append(True, (seen[1:] != seen[:-1]).any(axis=1))[: len(seen)]]
+    counts = np.bincount(seen[:, 1], minlength=len(names)).tolist()
+    return Counter({word: n for word, n in zip(names, counts, strict=True) if n}), len(seen)
 
 
 def _grams(word: bytes) -> set[bytes]:
@@ -175,9 +185,8 @@ class Model:
 def train_dictionaries(toxic: list[str], ordinary: list[str]) -> Model:
     own = b" " + b" ".join(distinctive(toxic, ordinary)) + b" "
     own = own[-OWN_BYTES:]
-    samples = [w for t in ordinary for w in windows(t)]
-    step = max(1, len(samples) // TRAINING_WINDOWS)
-    samples = samples[::step]
+    step = max(1, sum(len(windows(t)) for t in ordinary) // TRAINING_WINDOWS)
+    samples = list(islice((w for t in ordinary for w in windows(t)), 0, None, step))
     try:
         shared = zstandard.train_dictionary(SHARED_BYTES + 2048, samples).as_bytes()[-SHARED_BYTES:]
     except zstandard.ZstdError:  # too little text to train on: the text itself
