@@ -4,7 +4,11 @@ import random
 import tracemalloc
 from collections import Counter
 
-from veriloom.llm import toxicity
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from veriloom.llm import lm, toxicity
 
 
 def _neighbourhoods(texts):
@@ -30,3 +34,47 @@ def test_contexts_take_little_memory_a_word():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 100 * 200_000
+
+
+@pytest.mark.parametrize("numbers", [[], [5], [0, 1, 1, 7], [9, 3, 1 << 40, -4], [(1 << 63) - 1, -(1 << 63)]])
+def test_rising_numbers_come_back(numbers):
+    assert lm._from_rising(lm._rising(np.array(numbers, np.int64))).tolist() == numbers
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_language_model_probes_travel_small(shuffled):
+    draw = np.random.default_rng(5)
+    n, shards = 200_000, 62
+    rows = np.sort(draw.integers(0, 2000, n)) + (3 << 33)
+    if shuffled:
+        draw.shuffle(rows)
+    keys = draw.integers(0, shards, n).astype(np.uint64) << np.uint64(32) | draw.integers(0, 1 << 32, n).astype(np.uint64)
+    after = np.minimum(draw.geometric(0.05, n), 130)
+    lookup = lm._Lookup(lm.LogBloom(bytes(128)), 2, 1.0)
+    lookup.add(rows, keys, after)
+    batch = lookup.packed()
+    sent = sum(len(pa.compress(batch.column(c)[i].as_py(), "lz4_raw", asbytes=True)) for c in (2, 3, 4) for i in range(batch.num_rows))
+    assert sent < 6 * n
+    found = []
+    for i in range(batch.num_rows):
+        shard, a, b, c = (batch.column(k)[i].as_py() for k in (0, 2, 3, 4))
+        low = np.frombuffer(b, "<u4").astype(np.uint64)
+        found += zip(lm._from_rising(a).tolist(), (np.uint64(shard) << np.uint64(32) | low).tolist(), lm._unpacked(c), strict=True)
+    assert sorted(found) == sorted(zip(rows.tolist(), keys.tolist(), after.tolist(), strict=True))
+
+
+def test_slices_of_a_shard_are_looked_up_together():
+    draw = np.random.default_rng(6)
+    keys = draw.integers(0, 1 << 32, 3000).astype(np.uint64)
+    levels = draw.integers(1, 6, 2000)
+    bloom = lm.LogBloom.of(keys[:2000], levels)
+    gains = lm._Lookup(lm.LogBloom(bytes(128)), 2, 1.0)
+    slices = []
+    for part in np.array_split(np.arange(3000), 40):
+        after = (part % 100 + 1).astype(np.uint8)
+        slices.append((lm._rising(part), keys[part].astype("<u4").tobytes(), lm._packed(after.tobytes())))
+    together = lm._met(bloom, gains, slices)
+    alone = [np.concatenate(x) for x in zip(*[lm._met(bloom, gains, [s]) for s in slices], strict=True)]
+    for one, other in zip(together, alone, strict=True):
+        assert one.tolist() == other.tolist()
+    assert set(range(2000)) <= set(together[0].tolist())

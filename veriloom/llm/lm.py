@@ -28,12 +28,14 @@ empty result.
 from __future__ import annotations
 
 import math
+import threading
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +55,7 @@ FLUSH_TOKENS = 400_000
 FLUSH_PAIRS = 2_000_000
 FLUSH_PROBES = 200_000
 FLUSH_SUMS = 400_000
+PROBED = 1 << 16
 GROUP_TOKENS = 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LOW, HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
@@ -190,19 +193,46 @@ def _read(texts: pa.Array, rank: dict[bytes, int], hashes: np.ndarray) -> Iterat
         start, found, lengths = i + 1, [], []
 
 
+class _Codec(threading.local):
+    """Entropy coding, which the compression of Spark's shuffle lacks."""
+
+    def __init__(self):
+        self.packed, self.unpacked = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+
+
+_CODEC = _Codec()
+
+
+def _packed(data: bytes) -> bytes:
+    return _CODEC.packed(data)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return _CODEC.unpacked(data)
+
+
 def _planes(numbers: np.ndarray) -> bytes:
     """Numbers as bytes, first all lowest bytes, then the next: the constant high ones compress to nothing."""
-    return np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return _packed(np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    return np.ascontiguousarray(np.frombuffer(_unpacked(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _rising(numbers: np.ndarray) -> bytes:
+    """Planes of the steps from each number to the next, small where the numbers rise; any numbers can be packed."""
+    return _planes(np.diff(numbers.astype(np.int64), prepend=0))
+
+
+def _from_rising(data: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(data))
 
 
 def _by_shard(keys: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """An order of the keys by shard, stable, and for each shard its number and the bounds of its slice."""
     shard = (keys >> HALF).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
+    order = np.argsort(shard.astype(np.uint16) if len(shard) and shard.max() < 1 << 16 else shard, kind="stable")
     ordered = shard[order]
     if not len(ordered):
         return order, []
@@ -237,7 +267,7 @@ def _pair_filters(texts: DataFrame, held, shards: int, least: int) -> DataFrame:
         keys, n = np.unique(np.concatenate(buffer) if buffer else np.zeros(0, np.uint64), return_counts=True)
         slices = _by_shard(keys)[1]  # distinct keys come in order
         return pa.RecordBatch.from_arrays([
-            pa.array([s for s, _, _ in slices], pa.int32()), pa.array([(keys[a:b] & LOW).astype("<u4").tobytes() for _, a, b in slices], pa.binary()),
+            pa.array([s for s, _, _ in slices], pa.int32()), pa.array([_rising(keys[a:b] & LOW) for _, a, b in slices], pa.binary()),
             pa.array([_planes(n[a:b]) for _, a, b in slices], pa.binary()),
         ], names=["shard", "keys", "counts"])
 
@@ -249,7 +279,7 @@ def _pair_filters(texts: DataFrame, held, shards: int, least: int) -> DataFrame:
                     yield built(at, keys, counts)
                     keys, counts = [], []
                 at = shard.as_py()
-                keys.append(np.frombuffer(key.as_py(), "<u4"))
+                keys.append(_from_rising(key.as_py()).astype("<u4"))
                 counts.append(_from_planes(n.as_py()))
         if at is not None:
             yield built(at, keys, counts)
@@ -313,11 +343,14 @@ class _Lookup:
     def packed(self) -> pa.RecordBatch:
         rows, keys, after = (np.concatenate(x) for x in zip(*self.held, strict=True)) if self.held else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8))
         self.held, self.size = [], 0
+        if (np.diff(rows) < 0).any():
+            order = np.argsort(rows, kind="stable")
+            rows, keys, after = rows[order], keys[order], after[order]
         order, slices = _by_shard(keys)
         rows, low, after = rows[order], (keys[order] & LOW).astype("<u4"), after[order]
         return _filled(_MIXED, len(slices), {
-            "shard": [s for s, _, _ in slices], "kind": [PROBES] * len(slices), "a": [_planes(rows[s:e]) for _, s, e in slices],
-            "b": [low[s:e].tobytes() for _, s, e in slices], "c": [after[s:e].tobytes() for _, s, e in slices],
+            "shard": [s for s, _, _ in slices], "kind": [PROBES] * len(slices), "a": [_rising(rows[s:e]) for _, s, e in slices],
+            "b": [low[s:e].tobytes() for _, s, e in slices], "c": [_packed(after[s:e].tobytes()) for _, s, e in slices],
         })
 
 
@@ -423,20 +456,25 @@ def scored(documents: DataFrame, trained: str = "trained", frequent: int = FREQU
             passed = np.flatnonzero(kinds >= TEXTS)
             if len(passed):
                 yield batch.take(pa.array(passed))
+            waiting: list[tuple[bytes, bytes, bytes]] = []  # of one shard, looked up together: a slice alone can be a few pairs
+            asked = 0
             for i in np.flatnonzero(kinds < TEXTS).tolist():
                 shard, a = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
+                if waiting and (kinds[i] == FILTER or shard != at or asked > PROBED):
+                    sums.append(_met(bloom, gains, waiting))
+                    size += len(sums[-1][0])
+                    waiting, asked = [], 0
                 if kinds[i] == FILTER:
                     at, bloom = shard, LogBloom(a)
                 elif shard == at:  # a shard without a filter has no pairs
-                    keys = np.frombuffer(batch.column(3)[i].as_py(), "<u4").astype(np.uint64)
-                    levels = bloom.levels(keys)
-                    met = np.flatnonzero(levels)
-                    gained = gains.gain(levels[met], np.frombuffer(batch.column(4)[i].as_py(), np.uint8)[met].astype(np.float64))
-                    sums.append((_from_planes(a)[met], np.zeros(len(met), np.int64), np.zeros(len(met)), gained))
-                    size += len(met)
+                    waiting.append((a, batch.column(3)[i].as_py(), batch.column(4)[i].as_py()))
+                    asked += len(waiting[-1][1]) // 4
                 if size > FLUSH_SUMS:
                     yield _summed(sums, shards)
                     sums, size = [], 0
+            if waiting:
+                sums.append(_met(bloom, gains, waiting))
+                size += len(sums[-1][0])
         if sums:
             yield _summed(sums, shards)
 
@@ -471,6 +509,16 @@ def scored(documents: DataFrame, trained: str = "trained", frequent: int = FREQU
     )
 
 
+def _met(bloom: LogBloom, gains: _Lookup, packed: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, ...]:
+    """Rows, known tokens, base and gains of the packed pairs that the filter holds."""
+    rows, keys, after = zip(*packed, strict=True)
+    levels = bloom.levels(np.frombuffer(b"".join(keys), "<u4").astype(np.uint64))
+    met = np.flatnonzero(levels)
+    after = np.frombuffer(b"".join(_unpacked(c) for c in after), np.uint8)[met].astype(np.float64)
+    whose = np.concatenate([_from_rising(a) for a in rows])[met]
+    return whose, np.zeros(len(met), np.int64), np.zeros(len(met)), gains.gain(levels[met], after)
+
+
 class _Totals:
     """The texts of one shard by their number, and what is added to them."""
 
@@ -486,8 +534,8 @@ class _Totals:
 
     def add(self, rows: bytes, known: bytes, sums: bytes) -> None:
         self._ready()
-        at = self.order[np.searchsorted(self.sorted, _from_planes(rows))]  # packed rows are distinct
-        base, model = np.frombuffer(sums, "<f8").reshape(2, -1)
+        at = self.order[np.searchsorted(self.sorted, _from_rising(rows))]  # packed rows are distinct
+        base, model = np.frombuffer(_unpacked(sums), "<f8").reshape(2, -1)
         self.known[at] += _from_planes(known)
         self.base[at] += base
         self.model[at] += model
@@ -517,8 +565,8 @@ def _summed(sums: list[tuple], shards: int) -> pa.RecordBatch:
     starts = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0)[: len(order)])
     parts = [order[s:e] for s, e in zip(starts, np.append(starts[1:], len(order)), strict=True)]
     return _filled(_MIXED, len(parts), {
-        "shard": shard[order[starts]].astype(np.int32), "kind": [SUMS] * len(parts), "a": [_planes(of["row"][p]) for p in parts],
-        "b": [_planes(of["known"][p]) for p in parts], "c": [np.concatenate([of["base"][p], of["model"][p]]).astype("<f8").tobytes() for p in parts],
+        "shard": shard[order[starts]].astype(np.int32), "kind": [SUMS] * len(parts), "a": [_rising(of["row"][p]) for p in parts],
+        "b": [_planes(of["known"][p]) for p in parts], "c": [_packed(np.concatenate([of["base"][p], of["model"][p]]).astype("<f8").tobytes()) for p in parts],
     })
 
 
