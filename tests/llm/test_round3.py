@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from veriloom.llm import lm, toxicity
+from veriloom.llm import importance, lm, toxicity
 
 
 def _neighbourhoods(texts):
@@ -78,3 +78,11 @@ def test_slices_of_a_shard_are_looked_up_together():
     for one, other in zip(together, alone, strict=True):
         assert one.tolist() == other.tolist()
     assert set(range(2000)) <= set(together[0].tolist())
+
+
+def test_a_filter_on_weights_does_not_weigh_texts_twice(spark):
+    texts = spark.createDataFrame([(1, "a b c"), (2, None), (3, "d")], "doc_id long, text string")
+    marked = importance.weighted(texts, np.arange(importance.BUCKETS) / 1e4)
+    found = marked.filter("n_grams > 0").select("doc_id", "log_weight", "n_grams")
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted((r["doc_id"], r["n_grams"]) for r in found.collect()) == [(1, 9), (3, 3)]

@@ -126,7 +126,11 @@ def _counts(texts: DataFrame) -> np.ndarray:
 
 
 def weighted(documents: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """``documents`` with ``log_weight`` and ``n_grams``."""
+    """``documents`` with ``log_weight`` and ``n_grams``.
+
+    Filters on them stay above them: one that is moved below runs the function a second time in the same task, and each
+    core then holds two Python workers for as long as the executor lives.
+    """
 
     @F.pandas_udf("log_weight double, n_grams long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -141,7 +145,7 @@ def weighted(documents: DataFrame, ratio: np.ndarray) -> DataFrame:
             yield pd.DataFrame({"log_weight": np.concatenate(sums), "n_grams": np.concatenate(sizes)})
         WORDS.clear()
 
-    return documents.withColumn("_w", run(F.col("text"))).withColumns({"log_weight": F.col("_w.log_weight"), "n_grams": F.col("_w.n_grams")}).drop("_w")
+    return documents.withColumn("_w", run.asNondeterministic()(F.col("text"))).withColumns({"log_weight": F.col("_w.log_weight"), "n_grams": F.col("_w.n_grams")}).drop("_w")
 
 
 def _sample(labels: DataFrame, quality: int, size: int, target: bool) -> DataFrame:
