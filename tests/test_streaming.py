@@ -3,7 +3,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from veriloom import constants as K
-from veriloom.operators import reports, rules, samplegen
+from veriloom.operators import readings, reports, rules, samplegen
+from veriloom.plans.verify import process_gathered
 from veriloom.sources import scans, tables
 from veriloom.sources.tables import RegistryLog
 from veriloom.streaming import attempts, intake
@@ -132,6 +133,23 @@ def test_late_reads_are_merged_with_earlier_ones(spark, tmp_path):
     assert plain(together) == plain(log)
 
 
+def test_with_stored_answers_no_text_is_state(spark, tmp_path):
+    one, hindi, urdu = LINES.format(n=1), "यह है और के लिए में " * 200, "محمد یوسف قریشی"
+    first = [read("a", 1, 0.4, text=one), read("b", 1, 0.9, text=hindi), read("c", 1, 0.0, error="broken"), read("d", 1, 0.9, text="12 3")]
+    late = [read("a", 2, 0.8, text=urdu), read("c", 2, 0.3, text=hindi + urdu), read("d", 2, 0.95, text=hindi), read("b", 3, 0.9, text=one)]
+    answers = spark.createDataFrame([(d, '{"property_id": "P1", "village": "Bhiwandi"}') for d in "abcd"], "document_id string, raw string")
+    log = feed(spark, str(tmp_path), [first, late], options={"answers": answers})
+    rows = spark.createDataFrame(first + late, READ_SCHEMA)
+    documents = rows.select("document_id", "filename").distinct()
+    # The plain way: texts are kept until the script is known.
+    whole = documents.join(readings.gather(rows), "document_id")
+    want = process_gathered(whole, answers=answers).select("document_id", "engine", "script_type", "ok", "overall_confidence")
+    assert sorted(map(str, log.current(spark, "readings").select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert {r.document_id: r.script_type for r in want.collect()} == {"a": K.URDU, "b": K.HINDI, "c": K.HINDI, "d": K.HINDI}
+    state = spark.read.format("statestore").load(f"{tmp_path}/cp").select(F.to_json("value").alias("v")).collect()
+    assert len(state) == 4 and all(one[:12] not in r.v and urdu not in r.v and len(r.v) < 2000 for r in state)
+
+
 def test_refused_uploads_displace_nothing(spark, tmp_path):
     good, bad = read("a", 1, 0.9, text=LINES.format(n=1)), read("a", 1, 1.0, day=3, filename="a.exe", text="x")
     log = feed(spark, str(tmp_path), [[good], [bad], [read("a", 2, 0.2, text="y")]])
