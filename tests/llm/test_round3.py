@@ -7,8 +7,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from veriloom.llm import importance, lm, toxicity
+from veriloom.llm.common import remainder
 
 
 def _neighbourhoods(texts):
@@ -86,3 +88,20 @@ def test_a_filter_on_weights_does_not_weigh_texts_twice(spark):
     found = marked.filter("n_grams > 0").select("doc_id", "log_weight", "n_grams")
     assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert sorted((r["doc_id"], r["n_grams"]) for r in found.collect()) == [(1, 9), (3, 3)]
+
+
+def test_dictionaries_are_trained_in_a_task_and_as_on_the_driver(spark, monkeypatch):
+    rows = [(i, f"plain words of text {i % 9} and {i} more " * 12 + (f"blarg{i % 5} gronk {i}" * 6 if i % 3 == 0 else "")) for i in range(120)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    kept = [r.text for r in docs.join(marks, "doc_id").filter((remainder("doc_id", 4) != 2) & (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)) < 3))
+            .orderBy("toxic", F.xxhash64("doc_id", F.lit(1))).collect()]
+    toxic = [t for t in kept if "blarg" in t]
+    want = toxicity.train_dictionaries(toxic, [t for t in kept if "blarg" not in t])
+
+    def here(*_):
+        raise AssertionError("trained on the driver")
+
+    monkeypatch.setattr(toxicity, "train_dictionaries", here)
+    got = toxicity.fit(docs.repartition(7), marks)
+    assert toxic and (got.toxic, got.ordinary) == (want.toxic, want.ordinary)
+    assert toxicity.fit(docs.repartition(7), marks, toxic_sample=3).toxic != want.toxic

@@ -160,7 +160,7 @@ def _crowded(documents: DataFrame) -> np.ndarray:
     """Shingles met often in a sample of the documents. They decide an order only, so a sample loses no pair."""
     sample = documents.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
     counts = stored(sample.select(F.explode(_shingle_sets(F.col("text"))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CROWDED))
-    return np.sort(counts.orderBy(F.desc("n"), "h").limit(MOST_CROWDED).select("h").toPandas()["h"].to_numpy(np.int64))
+    return np.sort(counts.orderBy(F.desc("n"), "h").limit(MOST_CROWDED).select("h").toArrow()["h"].to_numpy())
 
 
 def parity_bits(found: np.ndarray) -> np.ndarray:

@@ -195,6 +195,16 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> Model:
     return Model(own + shared, filler + shared)
 
 
+def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The two dictionaries from all sampled pieces, whose number has a bound: in a task, as the driver would keep their memory for good."""
+    kinds: dict[int, list[tuple]] = {1: [], 0: []}
+    for batch in batches:
+        for toxic, *piece in zip(*(batch[c].tolist() for c in ("toxic", "at", "doc_id", "start", "text")), strict=True):
+            kinds[toxic].append(tuple(piece))
+    found = train_dictionaries(*([piece[-1] for piece in sorted(kinds[k])] for k in (1, 0)))
+    yield pd.DataFrame({"toxic": [found.toxic], "ordinary": [found.ordinary]})
+
+
 def fit(
     documents: DataFrame,
     labels: DataFrame,
@@ -219,11 +229,13 @@ def fit(
     starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(PIECE_CHARS))
     pieces = train.filter("text is not null").withColumn("start", F.explode(starts))
     pieces = pieces.select("toxic", "doc_id", "start", F.expr(f"substring(text, start, {PIECE_CHARS})").alias("text"))
-    found = {}
+    order_of_pieces = F.xxhash64("doc_id", "start")
+    taken = None
     for toxic, size in ((1, toxic_sample), (0, ordinary_sample)):
-        rows = pieces.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start", "text").limit(size)
-        found[toxic] = [r["text"] for r in rows.select("text").collect()]
-    model = train_dictionaries(found[1], found[0])
+        rows = pieces.filter(F.col("toxic") == toxic).withColumn("at", order_of_pieces).orderBy("at", "doc_id", "start", "text").limit(size)
+        taken = rows if taken is None else taken.unionByName(rows)
+    trained = taken.coalesce(1).mapInPandas(_train, "toxic binary, ordinary binary").collect()
+    model = Model(bytes(trained[0]["toxic"]), bytes(trained[0]["ordinary"])) if trained else train_dictionaries([], [])
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
