@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veriloom.llm import importance, lm, toxicity
-from veriloom.llm.common import remainder
+from veriloom.llm.common import connected_components, remainder
 
 
 def _neighbourhoods(texts):
@@ -105,3 +105,31 @@ def test_dictionaries_are_trained_in_a_task_and_as_on_the_driver(spark, monkeypa
     got = toxicity.fit(docs.repartition(7), marks)
     assert toxic and (got.toxic, got.ordinary) == (want.toxic, want.ordinary)
     assert toxicity.fit(docs.repartition(7), marks, toxic_sample=3).toxic != want.toxic
+
+
+def test_components_of_few_edges_take_few_tasks(spark):
+    draw = random.Random(7)
+    pairs = [(i, i + 1) for i in range(300) if i % 20] + [(1000, n) for n in range(1001, 1400)] + [(draw.randrange(2000, 2300), draw.randrange(2000, 2300)) for _ in range(140)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for u, v in pairs:
+        if u != v:
+            parent[max(root(u), root(v))] = min(root(u), root(v))
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        found = connected_components(spark.createDataFrame(pairs, "u long, v long"))
+        assert {r.id: r.component for r in found.collect()} == {x: root(x) for x in list(parent)}
+        assert found.limit(0).count() == 0 and connected_components(found.limit(0).toDF("u", "v")).count() == 0
+        kept = spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(found._jdf.queryExecution().optimizedPlan().collectLeaves())
+        assert max(leaf.rdd().getNumPartitions() for leaf in kept) <= 2
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)

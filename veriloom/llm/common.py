@@ -81,6 +81,9 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float |
     return low
 
 
+EDGES_A_TASK = 1 << 16
+
+
 def _changed(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -89,24 +92,28 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """``(id, component)`` for every id in ``edges(u, v)``: the least id it can reach.
 
     Alternating stars: each round hangs every id on the least of its neighbours, so long chains shrink in
-    logarithmically many rounds. Only minima and one join per half round are shuffled; nothing is collected.
+    logarithmically many rounds. Only minima and one join per half round are shuffled; nothing is collected. A round starts
+    no more tasks than its edges need, however many shuffle partitions there are: it leaves some files for each, and the driver
+    remembers each.
     """
     edges = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = _changed(edges)
     if seen[0]:
         for _ in range(max_rounds):
+            tasks = -(-seen[0] // EDGES_A_TASK)
+            edges = edges.coalesce(tasks)
             both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
             least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
             large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            large = large.filter("u <> v").distinct()
+            large = large.filter("u <> v").distinct().coalesce(2 * tasks)
             least = large.groupBy("u").agg(F.min("v").alias("m"))
             small = large.join(least, "u")
             edges = stored(
                 small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-                .filter("u <> v").distinct()
+                .filter("u <> v").distinct().coalesce(2 * tasks)
             )
             now = _changed(edges)
-            if now == seen:
+            if now == seen or not now[0]:
                 break
             seen = now
         else:
